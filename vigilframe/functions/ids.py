@@ -24,7 +24,7 @@ TYPE_ALIASES = {
     "cert": "certificate",
     "net": "network",
 }
-MAX_KEY = 400
+MAX_KEY = 200
 
 
 def digest(*parts: Column, length: int = 24) -> Column:
