@@ -63,30 +63,49 @@ MODEL_SQL: dict[str, tuple[list[str], str]] = {
     ),
     "obj": (
         ["customer", "supplier", "nation", "region", "part"],
+        "SELECT id, type, name, tag, criticality, cvss, flags LIKE '%disabled%' AS disabled, "
+        "flags LIKE '%privileged%' AS privileged, flags LIKE '%wildcard%' AS wildcard, flags LIKE '%nomfa%' AS nomfa, "
+        "flags LIKE '%hasmfa%' AS mfa, flags LIKE '%external%' AS external, flags LIKE '%internet%' AS internet, "
+        "flags LIKE '%workstation%' AS workstation FROM ("
         "SELECT concat('user:c', CAST(c_custkey AS STRING)) AS id, 'user' AS type, c_name AS name, "
-        "CASE WHEN c_acctbal < 0 THEN true ELSE false END AS disabled, "
-        "CASE WHEN c_mktsegment = 'MACHINERY' THEN true ELSE false END AS privileged, "
-        "CAST(NULL AS STRING) AS criticality, CAST(NULL AS DOUBLE) AS cvss, lower(c_mktsegment) AS tag FROM {customer} "
-        "UNION ALL SELECT concat('host:s', CAST(s_suppkey AS STRING)), 'host', s_name, false, false, "
+        "lower(c_mktsegment) AS tag, CAST(NULL AS STRING) AS criticality, CAST(NULL AS DOUBLE) AS cvss, "
+        "concat(CASE WHEN c_acctbal < 0 THEN 'disabled ' ELSE '' END, "
+        "CASE WHEN c_acctbal > 9500 THEN 'privileged ' ELSE '' END, "
+        "CASE c_mktsegment WHEN 'MACHINERY' THEN 'nomfa' WHEN 'BUILDING' THEN 'hasmfa' ELSE '' END) AS flags "
+        "FROM {customer} "
+        "UNION ALL SELECT concat('host:s', CAST(s_suppkey AS STRING)), 'host', s_name, "
+        "CASE WHEN s_acctbal < 1000 THEN 'workstation' ELSE 'server' END, "
         "CASE WHEN s_acctbal >= 8000 THEN 'critical' WHEN s_acctbal >= 5000 THEN 'high' "
-        "WHEN s_acctbal >= 2000 THEN 'medium' ELSE 'low' END, CAST(NULL AS DOUBLE), 'server' FROM {supplier} "
-        "UNION ALL SELECT concat('group:n', CAST(n_nationkey AS STRING)), 'group', n_name, false, false, "
-        "CAST(NULL AS STRING), CAST(NULL AS DOUBLE), 'group' FROM {nation} "
-        "UNION ALL SELECT concat('network:n', CAST(n_nationkey AS STRING)), 'network', n_name, false, false, "
-        "CAST(NULL AS STRING), CAST(NULL AS DOUBLE), CASE WHEN n_regionkey = 0 THEN 'internet' ELSE 'internal' END "
-        "FROM {nation} "
-        "UNION ALL SELECT concat('role:r', CAST(r_regionkey AS STRING)), 'role', r_name, false, "
-        "CASE WHEN r_regionkey < 2 THEN true ELSE false END, CAST(NULL AS STRING), CAST(NULL AS DOUBLE), 'role' "
-        "FROM {region} "
-        "UNION ALL SELECT concat('service:p', CAST(p_partkey AS STRING)), 'service', p_name, false, false, "
+        "WHEN s_acctbal >= 2000 THEN 'medium' ELSE 'low' END, CAST(NULL AS DOUBLE), "
+        "CASE WHEN s_acctbal < 1000 THEN 'workstation' ELSE '' END FROM {supplier} "
+        "UNION ALL SELECT concat('group:n', CAST(n_nationkey AS STRING)), 'group', n_name, 'group', "
+        "CAST(NULL AS STRING), CAST(NULL AS DOUBLE), '' FROM {nation} "
+        "UNION ALL SELECT concat('group:g', CAST(r_regionkey AS STRING)), 'group', r_name, 'group', "
+        "CAST(NULL AS STRING), CAST(NULL AS DOUBLE), '' FROM {region} "
+        "UNION ALL SELECT concat('network:n', CAST(n_nationkey AS STRING)), 'network', n_name, 'network', "
+        "CAST(NULL AS STRING), CAST(NULL AS DOUBLE), CASE WHEN n_regionkey = 0 THEN 'internet' ELSE '' END FROM {nation} "
+        "UNION ALL SELECT concat('identity:i', CAST(n_nationkey AS STRING)), 'identity', concat('svc-', n_name), 'service', "
+        "CAST(NULL AS STRING), CAST(NULL AS DOUBLE), CASE WHEN n_regionkey < 2 THEN 'privileged' ELSE '' END FROM {nation} "
+        "UNION ALL SELECT concat('role:r', CAST(r_regionkey AS STRING)), 'role', r_name, 'role', "
+        "CAST(NULL AS STRING), CAST(NULL AS DOUBLE), '' FROM {region} "
+        "UNION ALL SELECT concat('role:p', CAST(r_regionkey AS STRING)), 'role', concat('admin-', r_name), 'role', "
+        "CAST(NULL AS STRING), CAST(NULL AS DOUBLE), CASE r_regionkey WHEN 0 THEN 'privileged wildcard' "
+        "WHEN 1 THEN 'privileged' ELSE '' END FROM {region} "
+        "UNION ALL SELECT concat('organization:o', CAST(r_regionkey AS STRING)), 'organization', r_name, 'organization', "
+        "CAST(NULL AS STRING), CAST(NULL AS DOUBLE), CASE WHEN r_regionkey = 4 THEN 'external' ELSE '' END FROM {region} "
+        "UNION ALL SELECT concat('cloud_resource:c', CAST(r_regionkey AS STRING)), 'cloud_resource', r_name, 'cloud', "
+        "'high', CAST(NULL AS DOUBLE), '' FROM {region} "
+        "UNION ALL SELECT concat('secret:x', CAST(s_suppkey AS STRING)), 'secret', s_name, 'secret', "
+        "CAST(NULL AS STRING), CAST(NULL AS DOUBLE), '' FROM {supplier} WHERE s_acctbal BETWEEN 6000 AND 7000 "
+        "UNION ALL SELECT concat('service:p', CAST(p_partkey AS STRING)), 'service', p_name, lower(p_type), "
         "CASE p_type WHEN 'PROMO' THEN 'critical' WHEN 'LARGE' THEN 'high' WHEN 'MEDIUM' THEN 'medium' ELSE 'low' END, "
-        "CAST(NULL AS DOUBLE), lower(p_type) FROM {part} "
+        "CAST(NULL AS DOUBLE), '' FROM {part} "
         "UNION ALL SELECT DISTINCT concat('vulnerability:v', CAST(p_size AS STRING), '-', lower(p_brand)), "
-        "'vulnerability', concat('V', CAST(p_size AS STRING), ' ', p_brand), false, false, CAST(NULL AS STRING), "
-        "p_size / CAST(5.0 AS DOUBLE), 'vulnerability' FROM {part} WHERE p_size >= 30",
+        "'vulnerability', concat('V', CAST(p_size AS STRING), ' ', p_brand), 'vulnerability', CAST(NULL AS STRING), "
+        "p_size / CAST(5.0 AS DOUBLE), '' FROM {part} WHERE p_size >= 30) objects_with_flags",
     ),
     "rel": (
-        ["customer", "supplier", "nation", "orders", "lineitem", "part"],
+        ["customer", "supplier", "nation", "region", "orders", "lineitem", "part"],
         "SELECT concat('user:c', CAST(c_custkey AS STRING)) AS src, 'MEMBER_OF' AS type, "
         "concat('group:n', CAST(c_nationkey AS STRING)) AS dst, CAST(0.9 AS DOUBLE) AS conf, "
         "CAST(NULL AS BIGINT) AS first_us, CAST(NULL AS BIGINT) AS last_us, CAST(NULL AS BIGINT) AS to_us "
@@ -95,6 +114,38 @@ MODEL_SQL: dict[str, tuple[list[str], str]] = {
         "concat('network:n', CAST(s_nationkey AS STRING)), CAST(1.0 AS DOUBLE), NULL, NULL, NULL FROM {supplier} "
         "UNION ALL SELECT concat('group:n', CAST(n_nationkey AS STRING)), 'HAS_ROLE', "
         "concat('role:r', CAST(n_regionkey AS STRING)), CAST(0.8 AS DOUBLE), NULL, NULL, NULL FROM {nation} "
+        "UNION ALL SELECT concat('group:n', CAST(n_nationkey AS STRING)), 'MEMBER_OF', "
+        "concat('group:g', CAST(n_regionkey AS STRING)), CAST(0.9 AS DOUBLE), NULL, NULL, NULL FROM {nation} "
+        "UNION ALL SELECT concat('group:g', CAST(r_regionkey AS STRING)), 'HAS_ROLE', "
+        "concat('role:p', CAST(r_regionkey AS STRING)), CAST(0.9 AS DOUBLE), NULL, NULL, NULL FROM {region} "
+        "UNION ALL SELECT concat('role:p', CAST(n_regionkey AS STRING)), 'ADMIN_OF', "
+        "concat('host:s', CAST(max(s_suppkey) AS STRING)), CAST(0.9 AS DOUBLE), NULL, NULL, NULL "
+        "FROM {nation} JOIN {supplier} ON s_nationkey = n_nationkey GROUP BY n_regionkey "
+        "UNION ALL SELECT concat('user:c', CAST(c_custkey AS STRING)), 'HAS_IDENTITY', "
+        "concat('identity:i', CAST(c_nationkey AS STRING)), CAST(0.8 AS DOUBLE), NULL, NULL, NULL "
+        "FROM {customer} WHERE c_acctbal > 9000 "
+        "UNION ALL SELECT concat('identity:i', CAST(s_nationkey AS STRING)), 'CAN_ACCESS', "
+        "concat('host:s', CAST(max(s_suppkey) AS STRING)), CAST(0.8 AS DOUBLE), NULL, NULL, NULL "
+        "FROM {supplier} GROUP BY s_nationkey "
+        "UNION ALL SELECT concat('host:s', CAST(s_suppkey AS STRING)), 'USES', "
+        "concat('identity:i', CAST(s_nationkey AS STRING)), CAST(0.7 AS DOUBLE), NULL, NULL, NULL "
+        "FROM {supplier} WHERE s_acctbal > 5000 "
+        "UNION ALL SELECT concat('host:s', CAST(s_suppkey AS STRING)), 'CONTAINS_SECRET', "
+        "concat('secret:x', CAST(s_suppkey AS STRING)), CAST(0.9 AS DOUBLE), NULL, NULL, NULL "
+        "FROM {supplier} WHERE s_acctbal BETWEEN 6000 AND 7000 "
+        "UNION ALL SELECT concat('secret:x', CAST(s_suppkey AS STRING)), 'AUTHENTICATES_AS', "
+        "concat('identity:i', CAST(s_nationkey AS STRING)), CAST(0.95 AS DOUBLE), NULL, NULL, NULL "
+        "FROM {supplier} WHERE s_acctbal BETWEEN 6000 AND 7000 "
+        "UNION ALL SELECT concat('organization:o', CAST(r_regionkey AS STRING)), 'TRUSTS', "
+        "concat('organization:o', CAST((r_regionkey + 1) % 5 AS STRING)), CAST(0.7 AS DOUBLE), NULL, NULL, NULL FROM {region} "
+        "UNION ALL SELECT concat('organization:o', CAST(r_regionkey AS STRING)), 'CONTAINS', "
+        "concat('cloud_resource:c', CAST(r_regionkey AS STRING)), CAST(0.9 AS DOUBLE), NULL, NULL, NULL FROM {region} "
+        "UNION ALL SELECT concat('cloud_resource:c', CAST(n_regionkey AS STRING)), 'CONTAINS', "
+        "concat('host:s', CAST(s_suppkey AS STRING)), CAST(0.9 AS DOUBLE), NULL, NULL, NULL "
+        "FROM {nation} JOIN {supplier} ON s_nationkey = n_nationkey WHERE s_acctbal >= 7000 "
+        "UNION ALL SELECT concat('user:c', CAST(c_custkey AS STRING)), 'OWNS', "
+        "concat('host:s', CAST(s_suppkey AS STRING)), CAST(0.6 AS DOUBLE), NULL, NULL, NULL "
+        "FROM {customer} JOIN {supplier} ON s_suppkey = c_custkey AND s_acctbal < 1000 "
         "UNION ALL SELECT concat('role:r', CAST(n_regionkey AS STRING)), 'CAN_ACCESS', "
         "concat('host:s', CAST(min(s_suppkey) AS STRING)), CAST(0.9 AS DOUBLE), NULL, NULL, NULL "
         "FROM {nation} JOIN {supplier} ON s_nationkey = n_nationkey GROUP BY n_regionkey "
