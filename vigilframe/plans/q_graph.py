@@ -178,11 +178,11 @@ def hop_explain(t):
     return named.select("src", "dst", sem.explain(F.col("why"), F.col("frm_name"), F.col("to_name"), meta).alias("why"))
 
 
-PROP_OUT = "SELECT start, node, mode, round(conf, 6) AS conf, depth, priv AS privileged, coalesce(vid, '') AS vulnerability FROM pr"
+PROP_OUT = "SELECT start, node, mode, round(conf + 1e-10, 6) AS conf, depth, priv AS privileged, coalesce(vid, '') AS vulnerability FROM pr"
 
 
 def _show(df):
-    return df.select("start", "node", "mode", F.round("conf", 6).alias("conf"), "depth", "privileged",
+    return df.select("start", "node", "mode", F.round(F.col("conf") + 1e-10, 6).alias("conf"), "depth", "privileged",
                      F.coalesce("vulnerability", F.lit("")).alias("vulnerability"))
 
 
@@ -278,10 +278,20 @@ CONTROL_CTES = f"{propagate_ctes('cr', ACCOUNTS, EXPOSURE_DEPTH, 0.2)}"
 EXPLOIT_CTES = f"{propagate_ctes('xr', 'SELECT start FROM entries', EXPOSURE_DEPTH, 0.05, 'reach', True)}"
 
 
-@query("entry_reach", "obj rel", f"WITH {ENTRY_CTES} SELECT start, node, round(conf, 6) AS conf, depth, net AS hops FROM er")
+_MODELS: dict[tuple[str, str], risk.Exposure] = {}
+
+
+def model(t) -> risk.Exposure:
+    """The exposure model of one directory; its searches are written once per application and shared."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = risk.Exposure(t.rel, t.obj, EXPOSURE_DEPTH)
+    return _MODELS[key]
+
+
+@query("entry_reach", "obj rel", f"WITH {ENTRY_CTES} SELECT start, node, round(conf + 1e-10, 6) AS conf, depth, net AS hops FROM er")
 def entry_reach(t):
-    e = risk.Exposure(t.rel, t.obj, EXPOSURE_DEPTH)
-    return e.entry_reach().select("start", "node", F.round("conf", 6).alias("conf"), "depth", F.col("net").alias("hops"))
+    return model(t).entry_reach().select("start", "node", F.round(F.col("conf") + 1e-10, 6).alias("conf"), "depth", F.col("net").alias("hops"))
 
 
 @query("asset_vulns", "obj rel",
@@ -327,7 +337,7 @@ EXPO_SQL = f"WITH {EXPO_CTES} " + fold_sql("SELECT id AS subject FROM assets", E
 
 @query("exposure", "obj rel", EXPO_SQL)
 def exposure(t):
-    return risk.Exposure(t.rel, t.obj, EXPOSURE_DEPTH).assessment().select("subject", "score", "level", "factors")
+    return model(t).assessment().select("subject", "score", "level", "factors")
 
 
 @query("exposure_metrics", "obj rel",
@@ -340,11 +350,11 @@ def exposure(t):
        UNION SELECT start, node FROM cr WHERE mode <> 'reach' AND start LIKE 'user:%') JOIN assets ON id = node WHERE criticality =
        'critical'""")
 def exposure_metrics(t):
-    return risk.Exposure(t.rel, t.obj, EXPOSURE_DEPTH).metrics()
+    return model(t).metrics()
 
 
 @query("exposure_findings", "obj rel",
        f"""SELECT 'finding:exposure:asset-exposure:' || substr(sha256(subject || chr(31)), 1, 12) AS id, level AS severity, subject, score
        FROM ({EXPO_SQL}) WHERE level IN ('HIGH', 'CRITICAL')""")
 def exposure_findings(t):
-    return risk.Exposure(t.rel, t.obj, EXPOSURE_DEPTH).findings().select("id", "severity", "subject", "score")
+    return model(t).findings().select("id", "severity", "subject", "score")

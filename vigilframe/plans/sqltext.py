@@ -33,8 +33,8 @@ def propagate_ctes(
 
     def pick(src: str, known: str) -> str:
         return (
-            f"SELECT {cols} FROM (SELECT e.*, row_number() OVER (PARTITION BY e.start, e.node, e.mode ORDER BY e.conf DESC, e.prev, "
-            f"e.rl) AS rn, k.known FROM {src} e LEFT JOIN {known} k ON k.start = e.start AND k.node = e.node AND k.mode = e.mode) "
+            f"SELECT {cols} FROM (SELECT e.*, row_number() OVER (PARTITION BY e.start, e.node, e.mode ORDER BY e.conf DESC, e.priv, "
+            f"e.cred, e.trust, e.net, e.vid NULLS FIRST) AS rn, k.known FROM {src} e LEFT JOIN {known} k ON k.start = e.start AND k.node = e.node AND k.mode = e.mode) "
             f"WHERE rn = 1 AND conf > coalesce(known, -1) + 1e-12"
         )
 
@@ -45,8 +45,8 @@ def propagate_ctes(
     levels = [f"{p}0"]
     if upgrade and mode == "reach":
         out.append(
-            f"{p}0u AS MATERIALIZED (SELECT l.start, l.node, 'control' AS mode, l.conf * v.up AS conf, l.depth, l.node AS prev, "
-            f"'EXPLOITABLE' AS rl, l.priv, l.cred, l.trust, l.net, coalesce(l.vid, v.vid) AS vid FROM {p}0 l JOIN vul v "
+            f"{p}0u AS MATERIALIZED (SELECT l.start, l.node, 'control' AS mode, l.conf * v.up AS conf, l.depth, '' AS prev, "
+            f"'' AS rl, l.priv, l.cred, l.trust, l.net, coalesce(l.vid, v.vid) AS vid FROM {p}0 l JOIN vul v "
             f"ON v.node = l.node WHERE l.conf * v.up >= {floor})"
         )
         out.append(f"{p}0f AS MATERIALIZED (SELECT {cols} FROM {p}0 UNION ALL SELECT {cols} FROM {p}0u)")
@@ -63,13 +63,13 @@ def propagate_ctes(
         out.append(f"{p}n{d} AS MATERIALIZED ({pick(f'{p}e{d}', f'{p}k{d}')})")
         if upgrade and d < depth:
             out.append(
-                f"{p}u{d} AS (SELECT l.start, l.node, 'control' AS mode, l.conf * v.up AS conf, l.depth, l.node AS prev, "
-                f"'EXPLOITABLE' AS rl, l.priv, l.cred, l.trust, l.net, coalesce(l.vid, v.vid) AS vid FROM {p}n{d} l JOIN vul v "
+                f"{p}u{d} AS (SELECT l.start, l.node, 'control' AS mode, l.conf * v.up AS conf, l.depth, '' AS prev, "
+                f"'' AS rl, l.priv, l.cred, l.trust, l.net, coalesce(l.vid, v.vid) AS vid FROM {p}n{d} l JOIN vul v "
                 f"ON v.node = l.node WHERE l.mode = 'reach' AND l.conf * v.up >= {floor})"
             )
             out.append(
                 f"{p}{d} AS MATERIALIZED (SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY start, node, mode ORDER BY conf "
-                f"DESC, depth, prev, rl) AS rn FROM (SELECT {cols} FROM {p}n{d} UNION ALL ({pick(f'{p}u{d}', f'{p}k{d}')}))) "
+                f"DESC, depth, priv, cred, trust, net, vid NULLS FIRST) AS rn FROM (SELECT {cols} FROM {p}n{d} UNION ALL ({pick(f'{p}u{d}', f'{p}k{d}')}))) "
                 f"WHERE rn = 1)"
             )
             levels.append(f"{p}{d}")
@@ -78,7 +78,7 @@ def propagate_ctes(
     every = " UNION ALL ".join(f"SELECT {cols} FROM {x}" for x in levels)
     out.append(
         f"{p} AS MATERIALIZED (SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY start, node ORDER BY CASE mode WHEN 'reach' "
-        f"THEN 2 ELSE 1 END, conf DESC, depth, mode, prev, rl) AS rn FROM ({every}) WHERE node <> start) WHERE rn = 1)"
+        f"THEN 2 ELSE 1 END, conf DESC, depth, mode) AS rn FROM ({every}) WHERE node <> start) WHERE rn = 1)"
     )
     return ", ".join(out)
 
