@@ -44,9 +44,9 @@ def parse(values: Column) -> Column:
     """``any``, ``tcp``, ``tcp/443``, ``udp/1000-2000``, ``443`` or a service name."""
 
     def one(v: Column) -> Column:
-        t = F.lower(F.trim(v))
-        for name, spec in WELL_KNOWN.items():
-            t = F.when(t == name, F.lit(spec)).otherwise(t)
+        typed = F.lower(F.trim(v))
+        named = F.create_map(*[F.lit(x) for pair in WELL_KNOWN.items() for x in pair])
+        t = F.coalesce(named[typed], typed)
         pattern = r"^(?:(tcp|udp|icmp|any)\s*/\s*)?(\d{1,5})(?:\s*-\s*(\d{1,5}))?$"
         proto = F.regexp_extract(t, pattern, 1)
         lo = F.regexp_extract(t, pattern, 2).try_cast("int")
@@ -79,10 +79,10 @@ def intersect(a: Column, b: Column) -> Column:
 
 
 def subtract(a: Column, b: Column) -> Column:
-    """What is left of ``a``: for every range the gaps between the cuts of ``b``."""
+    """What is left of ``a``: for every range the gaps between the cuts of ``b`` (both merged)."""
 
     def gaps(x: Column) -> Column:
-        cuts = F.filter(merge(b), lambda y: (y["proto"] == x["proto"]) & (y["hi"] >= x["lo"]) & (y["lo"] <= x["hi"]))
+        cuts = F.filter(b, lambda y: (y["proto"] == x["proto"]) & (y["hi"] >= x["lo"]) & (y["lo"] <= x["hi"]))
         lows = F.concat(F.array(x["lo"]), F.transform(cuts, lambda y: y["hi"] + 1))
         highs = F.concat(F.transform(cuts, lambda y: y["lo"] - 1), F.array(x["hi"]))
         spans = F.zip_with(lows, highs, lambda lo, hi: _range(x["proto"], lo, hi))

@@ -90,8 +90,8 @@ def generic_key(text: Column) -> Column:
             .otherwise(_item(F.lit(1), _lookup(t, GENERIC_PRE, 9), t))
         )
 
-    # the padding token of the comparison repeats forever; sixteen tokens cover real versions
-    pad = F.array_repeat(_item(F.lit(2), F.lit(0), F.lit("")), 16)
+    # the padding token of the comparison repeats forever; twenty-four tokens cover real versions
+    pad = F.array_repeat(_item(F.lit(2), F.lit(0), F.lit("")), 24)
     return F.when(tokens[0].rlike(r"^\d+$"), F.slice(F.concat(F.transform(tokens, item), pad), 1, 24))
 
 

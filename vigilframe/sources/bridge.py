@@ -27,7 +27,7 @@ EVENT_COLUMNS = {
     "severity": "CASE WHEN event_type <> 'error' THEN 'INFO' WHEN value >= 100 THEN 'HIGH' "
     "WHEN value >= 40 THEN 'MEDIUM' ELSE 'LOW' END",
     "severity_rank": "CASE WHEN event_type <> 'error' THEN 0 WHEN value >= 100 THEN 3 WHEN value >= 40 THEN 2 ELSE 1 END",
-    "confidence": "round(0.5 + ({k} % 50) / 100.0, 4)",
+    "confidence": "CAST(round(0.5 + ({k} % 50) / 100.0, 4) AS DOUBLE)",
     "bytes": "CAST(floor(value * 100000) AS BIGINT)",
     "source": "concat('src', CAST({k} % 5 AS STRING))",
     "parser": "CASE WHEN {k} % 2 = 0 THEN 'json' ELSE 'text' END",
