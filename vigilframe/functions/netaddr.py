@@ -46,9 +46,7 @@ def prefix_length(cidr: Column) -> Column:
 
 def prefix_of(address_number: Column, length: Column) -> Column:
     """The network an address belongs to at the given prefix length."""
-    size = F.shiftleft(F.lit(1).cast("long"), (32 - length).cast("int")) if not isinstance(length, int) else F.lit(
-        1 << (32 - length)
-    )
+    size = F.pow(F.lit(2), 32 - length).cast("long")
     return address_number - address_number % size
 
 

@@ -76,7 +76,7 @@ def _group(pattern: str, i: int, column: str = "line") -> Column:
 def access_log(server: str = "web", reference_us: Column | None = None) -> tuple[Column, Column]:
     """(recognised, record) for the common and combined web-server formats."""
     line = F.col("line")
-    g = [None] + [_group(ACCESS, i) for i in range(1, 11)]
+    g = [None] + [F.col(f"_a{i}") for i in range(1, 11)]
     status = g[7].cast("int")
     rec = _record(
         parse_micros(g[3], reference_us), F.lit("http.request"), F.concat(F.lit("ip:"), g[1]),
@@ -92,10 +92,7 @@ def syslog(reference_us: Column | None = None) -> tuple[Column, Column]:
     """Three header forms; sshd, sudo, su, logind, cron and kernel firewall messages, the rest as log messages."""
     line = F.col("line")
 
-    def head(i: int) -> Column:
-        return F.coalesce(*[_group(p, i) for p in (SYSLOG_IETF, SYSLOG_ISO, SYSLOG_BSD)])
-
-    ts, host, prog, pid, msg = head(2), head(3), head(4), head(5), F.coalesce(head(6), F.lit(""))
+    ts, host, prog, pid, msg = (F.col(f"_s{i}") for i in range(2, 7))
     program = F.lower(prog)
 
     def m(pattern: str, i: int) -> Column:
@@ -150,7 +147,7 @@ def syslog(reference_us: Column | None = None) -> tuple[Column, Column]:
 
 
 def cloudtrail() -> tuple[Column, Column]:
-    j = F.from_json("line", CLOUDTRAIL)
+    j = F.col("_jc")
     ident, params = j["userIdentity"], j["requestParameters"]
     arn = F.coalesce(ident["arn"], F.lit(""))
     role = F.nullif(F.regexp_extract(arn, r"^arn:[^:]*:sts::(\d+):assumed-role/([^/]+)/(.+)$", 2), F.lit(""))
@@ -198,7 +195,7 @@ def cloudtrail() -> tuple[Column, Column]:
 
 
 def k8s_audit() -> tuple[Column, Column]:
-    j = F.from_json("line", K8S)
+    j = F.col("_jk")
     ref = j["objectRef"]
     user, verb = F.coalesce(j["user"]["username"], F.lit("unknown")), F.coalesce(j["verb"], F.lit("unknown"))
     resource = F.coalesce(ref["resource"], F.substring_index(F.coalesce(j["requestURI"], F.lit("api")), "?", 1))
@@ -219,7 +216,7 @@ def k8s_audit() -> tuple[Column, Column]:
 
 
 def ecs() -> tuple[Column, Column]:
-    j = F.from_json("line", ECS)
+    j = F.col("_je")
     cat, kind, action = F.lower(F.coalesce(j["event"]["category"], F.lit(""))), F.lower(F.coalesce(j["event"]["type"], F.lit(""))), F.coalesce(j["event"]["action"], F.lit(""))
 
     def has(text: Column, word: str) -> Column:
@@ -268,7 +265,7 @@ def ecs() -> tuple[Column, Column]:
 
 
 def flow_json() -> tuple[Column, Column]:
-    j = F.from_json("line", FLOW)
+    j = F.col("_jf")
     src, dst = F.coalesce(j["src_ip"], j["source_ip"], j["src"]), F.coalesce(j["dst_ip"], j["dest_ip"], j["destination_ip"], j["dst"])
     port, proto = F.coalesce(j["dst_port"], j["dest_port"]), F.lower(F.coalesce(j["protocol"], j["proto"]))
     decision = F.coalesce(j["decision"], j["action"], j["verdict"])
@@ -289,7 +286,7 @@ def flow_json() -> tuple[Column, Column]:
 
 def vpc_flow() -> tuple[Column, Column]:
     def n(i: int) -> Column:
-        return F.nullif(_group(VPC_FLOW, i), F.lit("-"))
+        return F.nullif(F.col(f"_v{i}"), F.lit("-"))
 
     proto = n(8)
     for number, name in PROTOCOL_NAMES.items():
@@ -305,11 +302,24 @@ def vpc_flow() -> tuple[Column, Column]:
     return F.col("line").rlike(VPC_FLOW), rec
 
 
+def _stage(family: str) -> dict[str, Column]:
+    """What a family takes from the line, each extracted once into a column of its own."""
+    if family == "access":
+        return {f"_a{i}": _group(ACCESS, i) for i in range(1, 11)}
+    if family == "syslog":
+        heads = {f"_s{i}": F.coalesce(*[_group(p, i) for p in (SYSLOG_IETF, SYSLOG_ISO, SYSLOG_BSD)]) for i in range(2, 7)}
+        return heads | {"_s6": F.coalesce(heads["_s6"], F.lit(""))}
+    if family == "vpc-flow":
+        return {f"_v{i}": _group(VPC_FLOW, i) for i in range(1, 15)}
+    name, schema = {"cloudtrail": ("_jc", CLOUDTRAIL), "k8s": ("_jk", K8S), "ecs": ("_je", ECS), "flow-json": ("_jf", FLOW)}[family]
+    return {name: F.from_json("line", schema)}
+
+
 def decode(lines: DataFrame, family: str, reference_us: Column | None = None, server: str = "web") -> DataFrame:
     """``lines(line, ...)`` of one family: decoded columns added; ``error`` set where the family does not fit."""
     ok, rec = _family(family, reference_us, server)
     ok = F.coalesce(ok, F.lit(False))
-    out = lines.withColumn("rec", F.when(ok, rec))
+    out = lines.withColumns(_stage(family)).withColumn("rec", F.when(ok, rec))
     return out.select(*lines.columns, "rec.*", F.when(F.col("rec").isNull(), F.lit(f"not in {family} format")).alias("error"))
 
 
@@ -339,5 +349,6 @@ def decode_mixed(lines: DataFrame, reference_us: Column | None = None, server: s
     rec = text
     for name in reversed(FAMILIES[:-1]):
         rec = F.when(F.col("family") == name, recs[name]).otherwise(rec)
-    out = lines.where(line != "").withColumn("family", family)
+    staged = {k: v for name in FAMILIES[:-1] for k, v in _stage(name).items()}
+    out = lines.where(line != "").withColumns(staged).withColumn("family", family)
     return out.withColumn("rec", rec).select(*lines.columns, "family", "rec.*")
