@@ -289,7 +289,7 @@ def command_family(command: Column) -> Column:
 
 def suspicious_commands(commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(detections, explained): routine exports that a scheduler started are explained."""
-    c = commands.withColumn("f", command_family(F.col("command"))).where("f IS NOT NULL").select("*", "f.*")
+    c = commands.drop("severity").withColumn("f", command_family(F.col("command"))).where("f IS NOT NULL").select("*", "f.*")
     routine = F.col("family").isin(ROUTINE_WHEN_SCHEDULED) & F.coalesce("scheduled", F.lit(False))
     g = c.where(~routine).groupBy("target_id", "actor_id", "family", "severity").agg(
         F.count("*").alias("n"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
