@@ -1,11 +1,115 @@
+"""External surface: severity ladders, certificates, DNS, ownership, exposed services."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from vigilframe.functions import netaddr
 from vigilframe.functions.levels import SEVERITIES, severity_name
-def ladder(base, steps, ceiling="CRITICAL"):
+from vigilframe.operators.graph import closure
+
+# Ports that should not face the Internet.
+SENSITIVE_PORTS: dict[int, tuple[str, str]] = {
+    21: ("FTP", "MEDIUM"), 22: ("SSH", "MEDIUM"), 23: ("Telnet", "HIGH"), 135: ("MS-RPC", "HIGH"), 139: ("NetBIOS", "HIGH"), 161: ("SNMP", "MEDIUM"),
+    445: ("SMB", "HIGH"), 623: ("IPMI", "HIGH"), 1433: ("SQL Server", "HIGH"), 1521: ("Oracle Database", "HIGH"), 2049: ("NFS", "HIGH"),
+    2375: ("Docker API", "CRITICAL"), 2376: ("Docker API", "HIGH"), 3306: ("MySQL", "HIGH"), 3389: ("RDP", "HIGH"), 5432: ("PostgreSQL", "HIGH"),
+    5900: ("VNC", "HIGH"), 5984: ("CouchDB", "HIGH"), 5985: ("WinRM", "HIGH"), 5986: ("WinRM", "HIGH"), 6379: ("Redis", "HIGH"), 9042: ("Cassandra", "HIGH"),
+    9200: ("Elasticsearch", "HIGH"), 11211: ("memcached", "HIGH"), 27017: ("MongoDB", "HIGH"),
+}
+DAY_US = 86_400_000_000
+
+
+def ladder(base: str, steps: Column, ceiling: str = "CRITICAL") -> Column:
+    """Severity after moves up and down from a baseline, each clamped between LOW and the ceiling."""
     top = SEVERITIES.index(ceiling)
-    def move(level, step):
+
+    def move(level: Column, step: Column) -> Column:
         return F.when(step > 0, F.least(F.lit(top), level + step)).when(step < 0, F.greatest(F.lit(1), level + step)).otherwise(level)
+
     return severity_name(F.aggregate(steps, F.lit(SEVERITIES.index(base)), move))
-def name_covers(pattern, name):
+
+
+def name_covers(pattern: Column, name: Column) -> Column:
+    """Certificate names: equal, or a wildcard for exactly one label."""
     wild = pattern.startswith("*.") & (F.substring_index(name, ".", 1) != "") & F.contains(name, F.lit("."))
     rest = F.substring(name, F.instr(name, ".") + 1, F.length(name))
     return (pattern == name) | (wild & (rest == F.substring(pattern, 3, 300)))
+
+
+def certificates(certs: DataFrame, now_us: int | Column, soon_days: int = 30) -> DataFrame:
+    """Expired and soon expiring certificates ``(id, not_after_us)``."""
+    now = now_us if isinstance(now_us, Column) else F.lit(now_us)
+    days = F.floor((F.col("not_after_us") - now) / DAY_US)
+    rule = F.when(F.col("not_after_us") < now, "expired-certificate").when(days <= soon_days, "expiring-certificate")
+    severity = F.when(rule == "expired-certificate", "HIGH").when(days <= 7, "MEDIUM").otherwise("LOW")
+    return certs.withColumn("rule", rule).where("rule IS NOT NULL").select("rule", F.col("id").alias("subject"), severity.alias("severity"))
+
+
+def name_mismatch(endpoints: DataFrame, names: DataFrame) -> DataFrame:
+    """Endpoints ``(endpoint, name, cert)`` whose certificate covers none of its names ``(cert, pattern)``.
+
+    A pattern can only cover a name when it equals the name or its one-label wildcard, so the test is an equi join.
+    """
+    parent = F.substring(F.col("name"), F.instr("name", ".") + 1, F.length("name"))
+    options = endpoints.withColumn("pattern", F.explode(F.array(F.col("name"), F.concat(F.lit("*."), parent))))
+    good = options.join(names.distinct(), ["cert", "pattern"], "left_semi").select("endpoint", "name").distinct()
+    return endpoints.join(good, ["endpoint", "name"], "left_anti").select(
+        F.lit("certificate-name-mismatch").alias("rule"), F.concat_ws("|", "endpoint", "name").alias("subject"), F.lit("MEDIUM").alias("severity"))
+
+
+def resolve_names(dns: DataFrame, hops: int = 8) -> DataFrame:
+    """(name, node): everything a name leads to over CNAME chains, addresses included; ``dns(name, type, value)``."""
+    edges = dns.where("type IN ('CNAME', 'A', 'AAAA')").select(F.col("name").alias("src"), F.col("value").alias("dst"))
+    starts = dns.select(F.col("name").alias("start")).distinct()
+    return closure(edges, starts, hops).where("hops > 0").select(F.col("start").alias("name"), "node", "hops")
+
+
+def dangling(dns: DataFrame, live: DataFrame) -> DataFrame:
+    """Names whose chain ends in nothing that answers; ``live(node)``."""
+    ends = resolve_names(dns).join(live.select("node").distinct().withColumn("ok", F.lit(True)), "node", "left")
+    g = ends.groupBy("name").agg(F.bool_or(F.coalesce("ok", F.lit(False))).alias("ok"))
+    return g.where("NOT ok").select(F.lit("dangling-dns").alias("rule"), F.col("name").alias("subject"), F.lit("MEDIUM").alias("severity"))
+
+
+def exposed_services(services: DataFrame) -> DataFrame:
+    """Services on sensitive ports that face the Internet: ``(service, port, internet)``."""
+    name, level = None, None
+    for port, (label, sev) in SENSITIVE_PORTS.items():
+        c = F.col("port") == port
+        name = F.when(c, label) if name is None else name.when(c, label)
+        level = F.when(c, sev) if level is None else level.when(c, sev)
+    s = services.withColumns({"product": name, "severity": level}).where("product IS NOT NULL AND internet")
+    return s.select(F.lit("exposed-sensitive-service").alias("rule"), F.col("service").alias("subject"), "severity", "product")
+
+
+def ownership(assets: DataFrame, owners: DataFrame, parents: DataFrame) -> DataFrame:
+    """(asset, owner, via): its own owner, else the smallest owner of a parent ``parents(asset, parent)``."""
+    own = assets.select("asset").join(owners.groupBy("asset").agg(F.min("owner").alias("direct")), "asset", "left")
+    up = parents.join(owners.select(F.col("asset").alias("parent"), "owner"), "parent").groupBy("asset").agg(F.min("owner").alias("inherited"))
+    via = F.when(F.col("direct").isNotNull(), "direct").when(F.col("inherited").isNotNull(), "inherited")
+    return own.join(up, "asset", "left").select("asset", F.coalesce("direct", "inherited").alias("owner"), via.alias("via"))
+
+
+def unowned(assets: DataFrame, owned: DataFrame) -> DataFrame:
+    """Assets without any owner: LOW, one up when internet-facing, one up when important."""
+    lost = assets.join(owned.where("owner IS NOT NULL").select("asset"), "asset", "left_anti")
+    steps = F.array(F.col("internet").cast("int"), F.col("criticality").isin("high", "critical").cast("int"))
+    return lost.select(F.lit("unowned-asset").alias("rule"), F.col("asset").alias("subject"), ladder("LOW", steps, "HIGH").alias("severity"))
+
+
+def internal_addresses(dns: DataFrame) -> DataFrame:
+    """Public names that resolve to an internal address."""
+    hit = dns.where((F.col("type") == "A") & netaddr.ip_scope(F.col("value")).isin("internal", "loopback", "link-local"))
+    return hit.select(F.lit("internal-address-in-dns").alias("rule"), F.col("name").alias("subject"), F.lit("LOW").alias("severity")).distinct()
+
+
+def shadow(found: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Assets that answer but are in no inventory."""
+    return found.join(inventory.select("asset"), "asset", "left_anti").select(
+        F.lit("shadow-asset").alias("rule"), F.col("asset").alias("subject"), F.lit("MEDIUM").alias("severity"))
+
+
+def public_storage(buckets: DataFrame) -> DataFrame:
+    steps = F.array(F.col("sensitive").cast("int"), F.col("writable").cast("int"))
+    return buckets.where("public").select(F.lit("public-cloud-storage").alias("rule"), F.col("asset").alias("subject"), ladder("MEDIUM", steps).alias("severity"))

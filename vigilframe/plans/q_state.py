@@ -327,7 +327,7 @@ def policy_flows(t):
 @query("policy_access", "obj rel",
        """WITH q AS (SELECT id AS principal, 'read' AS action, 'role:p0' AS resource FROM obj WHERE type = 'user'), h AS (SELECT src AS principal, dst AS holder FROM rel WHERE type = 'MEMBER_OF' AND
        src LIKE 'user:%' UNION SELECT id, id FROM obj WHERE type = 'user') SELECT q.principal, q.action, q.resource, CASE WHEN bool_or(h.holder IN (SELECT id FROM obj WHERE id IN ('group:n1',
-       'group:n2'))) THEN 'deny' WHEN q.principal IN (SELECT id FROM obj WHERE disabled) THEN 'deny' ELSE 'allow' END AS decision FROM q JOIN h ON h.principal = q.principal GROUP BY ALL""")
+       'group:n2'))) THEN 'deny' WHEN bool_or(q.principal IN (SELECT id FROM obj WHERE disabled)) THEN 'deny' ELSE 'allow' END AS decision FROM q JOIN h ON h.principal = q.principal GROUP BY ALL""")
 def policy_access(t):
     """Everyone may read, two groups and every disabled account may not."""
     who = t.obj.where("type = 'user'").select(F.col("id").alias("principal"))
