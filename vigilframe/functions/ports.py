@@ -29,7 +29,7 @@ def merge(ranges: Column) -> Column:
     empty = F.array().cast(f"array<{RANGE}>")
 
     def add(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         joins = (F.size(acc) > 0) & (last["proto"] == r["proto"]) & (r["lo"] <= last["hi"] + 1)
         grown = F.concat(
             F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),

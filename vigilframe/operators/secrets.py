@@ -48,7 +48,12 @@ def is_placeholder(value: Column) -> Column:
 def scan(texts: DataFrame, key: str, text: str = "text", threshold: float = 4.5) -> DataFrame:
     """(key, line, rule, value) of every candidate in whole texts, placeholders left out."""
     lines = texts.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("n", "content")).select(key, (F.col("n") + 1).alias("line"), "content")
-    found = [F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(1)), lambda v, r=r: F.struct(F.lit(r).alias("rule"), v.alias("value"))) for r, (p, _) in TOKENS.items()]
+
+    def named(rule: str, pattern: str) -> Column:
+        values = F.regexp_extract_all("content", F.lit(pattern), F.lit(1))
+        return F.transform(values, lambda v: F.struct(F.lit(rule).alias("rule"), v.alias("value")))
+
+    found = [named(rule, pattern) for rule, (pattern, _) in TOKENS.items()]
     hits = lines.select(key, "line", F.explode(F.flatten(F.array(*found))).alias("h")).select(key, "line", "h.*").distinct()
     near = lines.where(F.col("content").rlike(KEYWORD)).select(key, "line", F.explode(F.regexp_extract_all("content", F.lit(RANDOM), F.lit(1))).alias("value"))
     is_hex = F.col("value").rlike(r"^[0-9a-fA-F]+$")
