@@ -21,20 +21,20 @@ EVENT_COLUMNS = {
     "action": "event_type",
     "outcome": "CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END",
     "actor_id": "concat('user:u', CAST(user_id AS STRING))",
-    "target_id": "concat('host:h', CAST({k} % 20 AS STRING))",
-    "src_ip": "CASE WHEN {k} < 80 THEN concat('10.10.', CAST({k} % 4 AS STRING), '.', CAST(user_id % 250 AS STRING)) "
-    "ELSE concat('198.51.100.', CAST({k} - 80 AS STRING)) END",
+    "target_id": "concat('host:h', CAST(k % 20 AS STRING))",
+    "src_ip": "CASE WHEN k < 80 THEN concat('10.10.', CAST(k % 4 AS STRING), '.', CAST(user_id % 250 AS STRING)) "
+    "ELSE concat('198.51.100.', CAST(k - 80 AS STRING)) END",
     "severity": "CASE WHEN event_type <> 'error' THEN 'INFO' WHEN value >= 100 THEN 'HIGH' "
     "WHEN value >= 40 THEN 'MEDIUM' ELSE 'LOW' END",
     "severity_rank": "CASE WHEN event_type <> 'error' THEN 0 WHEN value >= 100 THEN 3 WHEN value >= 40 THEN 2 ELSE 1 END",
-    "confidence": "CAST(round(0.5 + ({k} % 50) / 100.0, 4) AS DOUBLE)",
+    "confidence": "CAST(round(0.5 + (k % 50) / 100.0, 4) AS DOUBLE)",
     "bytes": "CAST(floor(value * 100000) AS BIGINT)",
-    "source": "concat('src', CAST({k} % 5 AS STRING))",
-    "parser": "CASE WHEN {k} % 2 = 0 THEN 'json' ELSE 'text' END",
-    "path": "concat('/', event_type, '/', CAST({k} AS STRING), '.', CASE WHEN {k} % 7 = 0 THEN 'zip' ELSE 'html' END)",
-    "status": "CASE WHEN event_type = 'error' THEN 500 WHEN {k} % 10 < 4 THEN 404 ELSE 200 END",
-    "message": "concat('User ', CAST(user_id AS STRING), ' ', event_type, ' on H', CAST({k} % 20 AS STRING))",
-    "k": "{k}",
+    "source": "concat('src', CAST(k % 5 AS STRING))",
+    "parser": "CASE WHEN k % 2 = 0 THEN 'json' ELSE 'text' END",
+    "path": "concat('/', event_type, '/', CAST(k AS STRING), '.', CASE WHEN k % 7 = 0 THEN 'zip' ELSE 'html' END)",
+    "status": "CASE WHEN event_type = 'error' THEN 500 WHEN k % 10 < 4 THEN 404 ELSE 200 END",
+    "message": "concat('User ', CAST(user_id AS STRING), ' ', event_type, ' on H', CAST(k % 20 AS STRING))",
+    "k": "k",
 }
 
 
@@ -47,7 +47,7 @@ def _fill(expr: str, dialect: dict[str, str]) -> str:
 
 # name -> (input tables, SQL text); `{name}` in the text stands for a table
 MODEL_SQL: dict[str, tuple[list[str], str]] = {
-    "ev": (["events"], "SELECT " + ", ".join(f"{e} AS {n}" for n, e in EVENT_COLUMNS.items()) + " FROM {events}"),
+    "ev": (["events"], "SELECT " + ", ".join(f"{e} AS {n}" for n, e in EVENT_COLUMNS.items()) + " FROM (SELECT *, {k} AS k FROM {events}) e"),
     # role-tagged involvement of objects in events
     "eo": (
         ["ev"],
