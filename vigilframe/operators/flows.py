@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK = "us div 3600000000"  # hours
+
 # TCP flag bits and the applications of well-known server ports.
 SYN, ACK = 0x02, 0x10
 PORT_APPS = {53: "dns", 80: "http", 8080: "http", 443: "tls", 8443: "tls"}
@@ -73,19 +75,32 @@ def dns_pairs(messages: DataFrame) -> DataFrame:
 
 
 def ordered_pairs(messages: DataFrame, key: str = "flow_id") -> DataFrame:
-    """The n-th request of a flow with its n-th response."""
-    w = Window.partitionBy(key, "response").orderBy("us", "number")
-    n = messages.withColumn("n", F.row_number().over(w))
+    """The n-th request of a flow with its n-th response.
+
+    Messages are numbered inside hour blocks; a running sum over block counts turns that into the number within the flow, so a long flow
+    is never ordered in one task.
+    """
+    m = messages.withColumn("block", F.expr(BLOCK))
+    counts = m.groupBy(key, "response", "block").agg(F.count("*").alias("c"))
+    earlier = Window.partitionBy(key, "response").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0))).drop("c")
+    inside = m.withColumn("i", F.row_number().over(Window.partitionBy(key, "response", "block").orderBy("us", "number")))
+    n = inside.join(counts, [key, "response", "block"]).withColumn("n", (F.col("before") + F.col("i")).cast("int"))
     req = n.where("NOT response").select(key, "n", F.col("us").alias("request_us"))
     res = n.where("response").select(key, "n", F.col("us").alias("response_us"))
     return req.join(res, [key, "n"], "left")
 
 
 def handshakes(hellos: DataFrame, key: str = "flow_id") -> DataFrame:
-    """Each server hello with the last client hello before it."""
-    w = Window.partitionBy(key).orderBy("us", "number").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("role") == "client", F.col("us")), ignorenulls=True).over(w)
-    return hellos.withColumn("client_us", last).where("role = 'server'").select(key, F.col("us").alias("server_us"), "client_us")
+    """Each server hello with the last client hello before it, looked up in its hour first and then in earlier hours."""
+    client = F.when(F.col("role") == "client", F.col("us"))
+    h = hellos.withColumn("block", F.expr(BLOCK))
+    blocks = h.groupBy(key, "block").agg(F.max(client).alias("last_client"))
+    earlier = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("carried", F.max("last_client").over(earlier)).drop("last_client")
+    w = Window.partitionBy(key, "block").orderBy("us", "number").rowsBetween(Window.unboundedPreceding, -1)
+    near = h.withColumn("near", F.max(client).over(w)).where("role = 'server'").join(blocks, [key, "block"])
+    return near.select(key, F.col("us").alias("server_us"), F.coalesce("near", "carried").alias("client_us"))
 
 
 def flow_events(flows: DataFrame) -> DataFrame:
