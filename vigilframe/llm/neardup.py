@@ -28,7 +28,8 @@ ORDERS = 20
 DEPTH = 10  # slots that one order sorts by
 NEIGHBOURS = 3  # entries before and after that are looked at in each order
 SKETCH_AGREE = 98  # of 128 two-bit slots: below it a link at 0.85 is out by more than four standard deviations
-ROUNDS = 12
+BEST_ONLY = 2  # rounds that compare each set with its best open candidate; later ones compare all that is open
+ROUNDS = 100  # a guard: every round compares pairs that no earlier one has, so the rounds end by themselves
 
 _SEEDS = np.random.default_rng(85).integers(1, 1 << 63, (2, SLOTS), dtype=np.uint64) | np.uint64(1)
 _LAYOUT = np.stack([np.random.default_rng(order).permutation(SLOTS)[:DEPTH] for order in range(ORDERS)])
@@ -59,22 +60,24 @@ def _signature(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
-def signed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Per row: set size, identity of the set, signature, and the packed text for the comparison on full sets."""
+def signed(docs: DataFrame, size: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: set size, identity of the set, signature, the packed text for the comparison on full sets, and the columns named in ``carry``."""
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
+    schema = SIGNED + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[2:])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part in pieces(batch, "text"):
-                texts = part.column(1).fill_null("")
+                texts = part.column(1)
                 sets = shingle_sets(texts, size)
                 ids = [np.array([len(s), s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(s))], dtype=np.uint64).tobytes() if len(s) else None for s in sets]
                 signatures = [_signature(s).tobytes() if len(s) else None for s in sets]
-                packed = [pack.compress(t.as_buffer()) if len(s) else None for t, s in zip(texts, sets, strict=True)]
-                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (ids, signatures, packed))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", "signature", "packed"])
+                packed = [pack.compress(t.as_buffer()) if t.is_valid else None for t in texts]
+                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (ids, signatures, packed)), *part.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", "signature", "packed", *part.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sign, SIGNED)
+    return chosen.mapInArrow(sign, schema)
 
 
 def _entries(sets: DataFrame) -> DataFrame:
@@ -132,12 +135,10 @@ def _neighbours(entries: DataFrame) -> DataFrame:
         part_no = TaskContext.get().partitionId()
         tail: tuple = ()
         first = True
-        for batch in batches:
+        for batch in (b for b in batches if b.num_rows):
             keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             sketches = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             ids = batch.column(2).to_pylist()
-            if not batch.num_rows:
-                continue
             if first:
                 yield _edge(keys[:NEIGHBOURS], sketches, ids, part_no, 1)
                 first = False
@@ -196,13 +197,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int = SHIN
             for part in _chunks(batch):
                 linked = []
                 for a, b, x, y in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
+                    if len(known) > 64:
+                        known.clear()
                     for key, packed in ((a, x), (b, y)):
                         if key not in known:
-                            if len(known) > 64:
-                                known.clear()
                             known[key] = shingle_sets(pa.array([unpack.decompress(packed)], pa.binary()), size)[0]
-                    if a not in known:
-                        known[a] = shingle_sets(pa.array([unpack.decompress(x)], pa.binary()), size)[0]
                     common = len(np.intersect1d(known[a], known[b], assume_unique=True))
                     linked.append(100 * common >= percent * (len(known[a]) + len(known[b]) - common))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
@@ -224,64 +223,92 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     split where one node has very many links. Nothing is collected; each step is written to the shared folder.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = cut(small)
-        changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not changed:
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges, before = cut(small.where("u <> v").distinct()), mark
+        mark = _mark(edges)
+        if mark == before:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; repeated ids fall in one row each, with the same component if their sets link.
+def _mark(edges: DataFrame) -> tuple:
+    """Tells one set of edges from another: how many there are, and two sums of their hashes."""
+    return tuple(edges.select(F.xxhash64("u", "v").alias("h"), F.hash("u", "v").alias("g")).agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)")), F.sum("g")).first())
 
-    A null id never becomes a component's name unless all its members have none.
-    """
-    rows = cut(signed(docs, size).withColumn("row", F.monotonically_increasing_id()))
-    classes = cut(rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id")))
+
+def _resolved(rows: DataFrame, percent: int, size: int) -> DataFrame:
+    """(set_id, root): the component of every set, named by one of its sets. ``rows``: what ``signed`` gives, with a ``row`` number."""
+    classes = cut(rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("row").alias("row")))
     sets = rows.select("row", "signature").join(classes.select("row", "set_id"), "row").select("set_id", "signature")
     open_pairs = cut(candidates(sets))
     texts = rows.select("row", "packed").join(classes.select("row", "set_id"), "row").select("set_id", "packed")
-    links, checked = None, None
+    checked, roots = None, None
     for turn in range(ROUNDS):
         left = open_pairs
         if checked is not None:
-            left = left.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        if links is not None:
-            roots = components(links)
-            left = (
-                left.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-                .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "agree")
-            )
+            left = left.join(checked, ["a", "b"], "left_anti")
+            for end in ("a", "b"):
+                left = left.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+            left = left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "agree")
         left = cut(left)
         if left.isEmpty():
             break
-        if turn < ROUNDS - 1:  # each set's best neighbour first; links between those usually join a whole group, and the rest need no comparison
+        if turn < BEST_ONLY:  # each set's best neighbour first; links between those usually join a whole group, and the rest need no comparison
             ends = left.select(F.col("a").alias("n"), "a", "b", "agree").unionByName(left.select(F.col("b").alias("n"), "a", "b", "agree"))
             left = ends.groupBy("n").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.*").distinct()
         fresh = cut(confirmed(left, texts, percent, size))
-        checked = fresh if checked is None else checked.unionByName(fresh)
-        true = checked.where("linked").select("a", "b")
-        links = true
-        hubs = _friends(fresh, true)
-        open_pairs = open_pairs.unionByName(hubs).groupBy("a", "b").agg(F.max("agree").alias("agree"))
-    named = classes.select("set_id", "least_id")
-    if links is not None:
-        roots = components(links)
-        named = named.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        named = named.join(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("set_id", "component_id")
+        checked = fresh if checked is None else cut(checked.unionByName(fresh))
+        links = checked.where("linked").select("a", "b")
+        roots = cut(components(links))
+        open_pairs = cut(open_pairs.unionByName(_friends(fresh, links)).groupBy("a", "b").agg(F.max("agree").alias("agree")))
     else:
-        named = named.withColumnRenamed("least_id", "component_id")
+        raise RuntimeError(f"near-duplicate candidates are left after {ROUNDS} rounds")
+    named = classes.select("set_id")
+    if roots is None:
+        return named.withColumn("root", F.col("set_id"))
+    return named.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    A null id names no component unless all its members have none. Rows that repeat an id are judged by their own text each.
+    """
+    rows = cut(signed(docs, size).withColumn("row", F.monotonically_increasing_id()))
+    roots = _resolved(rows, percent, size)
+    ids = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least_id")).join(roots, "set_id")
+    named = roots.join(ids.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("set_id", "component_id")
     out = rows.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def kept_rows(docs: DataFrame, percent: int = 85, size: int = SHINGLE) -> DataFrame:
+    """``docs`` with exactly one row of each component: the one with the smallest id. Rows without words all stay."""
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    rows = cut(signed(docs, size, carry).withColumn("row", F.monotonically_increasing_id()))
+    roots = _resolved(rows, percent, size)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+    own = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(first.alias("first")).join(roots, "set_id")
+    kept = own.groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+    kept = kept.unionByName(rows.where("set_id IS NULL").select("row"))
+    chosen = rows.join(kept, "row", "left_semi").select("doc_id", "packed", *(c for c in rows.columns if c.startswith("carried_")))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for part in _chunks(batch):
+                texts = [None if p is None else tool.decompress(p).decode() for p in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), *part.columns[2:]], names=["doc_id", "text", *part.schema.names[2:]])
+
+    schema = "doc_id long, text string" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[2:])
+    return chosen.mapInArrow(unpack, schema).select(*(F.col(c if c in ("doc_id", "text") else f"carried_{c}").alias(c) for c in docs.columns))
+
+
 def _friends(fresh: DataFrame, links: DataFrame) -> DataFrame:
     """For a pair that was just refused: each side with the most linked neighbour of the other side, which is often the text both were made from."""
     ends = links.select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(links.select(F.col("b").alias("n"), F.col("a").alias("m")))
