@@ -119,6 +119,20 @@ def _knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), counts
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row pivots, one rank-one step a column; needs no threaded library."""
+    n = len(a)
+    work = np.concatenate([a, np.eye(n)], axis=1)
+    for k in range(n):
+        at = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, at]] = work[[at, k]]
+        work[k] /= work[k, k]
+        factors = work[:, k].copy()
+        factors[k] = 0
+        work -= np.outer(factors, work[k])
+    return work[:, n:]
+
+
 def solve(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """Patterns (pieces of each class) and how many sequences follow each; together they hold ``counts`` pieces of each class."""
     classes = np.flatnonzero(counts)
@@ -142,7 +156,7 @@ def solve(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
         out = int(ratio.argmin())
         columns[:, out] = column
         if pivot % 100 == 99:
-            inverse = np.linalg.inv(columns)
+            inverse = _inverse(columns)
         else:
             row = inverse[out] / change[out]
             inverse -= np.outer(change, row)
