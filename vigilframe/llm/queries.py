@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilframe.llm import decontam, licenses, neardup, packing, quality, qualityrules, secretscan
+from vigilframe.llm import decontam, licenses, lmscore, neardup, packing, quality, qualityrules, secretscan, suffixes, wrappers
 from vigilframe.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(part(c).alias(c) for c in ("n_words", "n_base", "first_word", "last_word")), F.array_join(part("base_labels"), ",").alias("base_labels"),
         F.array_join(part("labels"), ",").alias("labels"), part("score").alias("score"),
     )
+
+
+@query("op6_lm_scoring")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
