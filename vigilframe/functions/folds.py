@@ -24,3 +24,8 @@ def joined(values: Column, sep: str = ",") -> Column:
 
 def distinct_sorted(value: Column) -> Column:
     return F.array_sort(F.collect_set(value))
+
+
+def once(value: Column, body) -> Column:
+    """``body`` of ``value``; the plan holds ``value`` a single time."""
+    return F.transform(F.array(value), body)[0]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vigilframe.functions.folds import once
+
 # Networks that count as the organization's own.
 INTERNAL_V4 = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "100.64.0.0/10"]
 V4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
@@ -51,10 +53,14 @@ def prefix_of(address_number: Column, length: Column) -> Column:
 
 
 def ip_scope(text: Column, extra: list[str] | None = None) -> Column:
-    """internal, public, loopback, link-local, multicast, unspecified, reserved; null if not an address."""
-    ip = clean_ip(text)
-    n = ipv4_number(ip)
+    """internal, public, loopback, link-local, multicast, unspecified, reserved; null if not an address.
+
+    The clean text and its number are computed once per row, however many ranges they are compared with.
+    """
+    return once(clean_ip(text), lambda ip: once(ipv4_number(ip), lambda n: _scope(ip, n, extra)))
+
 
+def _scope(ip: Column, n: Column, extra: list[str] | None) -> Column:
     def inside(cidr: str) -> Column:
         low, high, _ = cidr_range(cidr)
         return n.between(low, high)

@@ -14,7 +14,8 @@ TOKEN_SHAPES = [
     r"\bsk-[A-Za-z0-9_-]{16,}\b",
     r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b",
 ]
-PRIVATE_KEY = r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"
+# Where a secret stands in a text. A key block without its end is masked to the end of the text.
+PRIVATE_KEY = r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|$(?!\n))"
 BEARER = r"(?i)(\bbearer\s+)"
 ASSIGNED = r"(?i)((?:api[_-]?key|apikey|secret|token|passw(?:or)?d|pwd|access[_-]?key)\s*[=:]\s*[\"']?)"
 URL_LOGIN = r"(?i)\b([a-z][a-z0-9+.-]{1,20}://[^:/\s@]{1,64}:)([^@\s/]{1,128})(@)"
@@ -72,7 +73,7 @@ def _mask_whole(text: Column, shape: str) -> Column:
 
 
 def redact_sql(statement: Column) -> Column:
-    return F.substring(redact_text(F.regexp_replace(statement, SQL_PASSWORD, "$1'****'")), 1, 4000)
+    return redact_text(F.regexp_replace(statement, SQL_PASSWORD, "$1'****'"))
 
 
 def sql_verb(statement: Column) -> Column:
@@ -83,7 +84,7 @@ def sql_verb(statement: Column) -> Column:
 def sql_tables(statement: Column) -> Column:
     names = F.regexp_extract_all(statement, F.lit(SQL_TABLE), F.lit(1))
     clean = F.transform(names, lambda x: F.regexp_replace(x, r'^"+|"+$', ""))
-    return F.slice(F.array_distinct(F.filter(clean, lambda x: ~F.lower(x).isin("select", "set", "where"))), 1, 16)
+    return F.array_distinct(F.filter(clean, lambda x: ~F.lower(x).isin("select", "set", "where")))
 
 
 def sql_risks(statement: Column) -> Column:
@@ -91,15 +92,15 @@ def sql_risks(statement: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy in bits per character."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
+    """Shannon entropy in bits per character, over the whole text: one pass per distinct character."""
+    distinct = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    n = F.length(text).cast("double")
 
     def part(c: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == c)) / n
+        p = (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / n
         return -p * F.log2(p)
 
-    return F.when(F.length(text) > 0, F.aggregate(F.transform(F.array_distinct(chars), part), F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
+    return F.when(F.length(text) > 0, F.aggregate(F.transform(distinct, part), F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
 
 
 def csv_safe(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vigilframe.functions.folds import once
+
 # The plausible range of telemetry, 1990-01-01 to 2200-01-01.
 MIN_US, MAX_US = 631_152_000_000_000, 7_258_118_400_000_000
 DAY_US = 86_400_000_000
@@ -16,11 +18,8 @@ def _micros(ts: Column) -> Column:
 
 
 def _month(name: Column) -> Column:
-    expr = None
-    for i, m in enumerate(MONTHS, start=1):
-        cond = F.lower(name) == m
-        expr = F.when(cond, F.lit(f"{i:02d}")) if expr is None else expr.when(cond, F.lit(f"{i:02d}"))
-    return expr
+    numbers = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS, start=1) for x in (m, f"{i:02d}")))
+    return F.try_element_at(numbers, F.lower(name))
 
 
 def epoch_micros(number: Column) -> Column:
@@ -34,8 +33,17 @@ def epoch_micros(number: Column) -> Column:
 
 
 def parse_micros(text: Column, reference_us: Column | None = None) -> Column:
-    """Microseconds for ISO variants, epoch numbers, web-server, syslog (year from ``reference_us``), US and mail dates."""
-    t = F.trim(text)
+    """Microseconds for ISO variants, epoch numbers, web-server, syslog (year from ``reference_us``), US and mail dates.
+
+    The form is told first; only the groups of that form are then taken out. Text and result stand in the plan once.
+    """
+    def checked(t: Column) -> Column:
+        return once(_by_form(t, reference_us), lambda us: F.when((F.length(t) <= 64) & us.between(MIN_US, MAX_US - 1), us))
+
+    return once(F.trim(text), checked)
+
+
+def _by_form(t: Column, reference_us: Column | None) -> Column:
     number = t.try_cast("double")
 
     iso = F.regexp_replace(t, r"(:\d{2}),(\d)", "$1.$2")
@@ -45,7 +53,7 @@ def parse_micros(text: Column, reference_us: Column | None = None) -> Column:
     iso = F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2")
     iso = F.regexp_replace(iso, r"(\.\d{6})\d+", "$1")
     # a text without offset is UTC
-    iso = F.when(iso.rlike(r"[+-]\d{2}:\d{2}$"), iso).otherwise(F.concat(iso, F.lit("+00:00")))
+    iso = once(iso, lambda x: F.when(x.rlike(r"[+-]\d{2}:\d{2}$"), x).otherwise(F.concat(x, F.lit("+00:00"))))
     iso_us = _micros(iso.try_cast("timestamp"))
 
     def assemble(year: Column, month: Column, day: Column, clock: Column, offset: Column) -> Column:
@@ -58,7 +66,7 @@ def parse_micros(text: Column, reference_us: Column | None = None) -> Column:
     def w(i: int) -> Column:
         return F.regexp_extract(t, web, i)
 
-    web_offset = F.when(w(5) == "", "+00:00").otherwise(F.concat(F.substring(w(5), 1, 3), F.lit(":"), F.substring(w(5), 4, 2)))
+    web_offset = once(w(5), lambda z: F.when(z == "", "+00:00").otherwise(F.concat(F.substring(z, 1, 3), F.lit(":"), F.substring(z, 4, 2))))
     web_us = assemble(w(3), _month(w(2)), w(1), w(4), web_offset)
 
     sys_re = r"^([A-Za-z]{3})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)$"
@@ -72,9 +80,8 @@ def parse_micros(text: Column, reference_us: Column | None = None) -> Column:
     def syslog_for(y: Column) -> Column:
         return assemble(y.cast("string"), _month(s(1)), s(2), s(3), F.lit("+00:00"))
 
-    this_year = syslog_for(year)
     # a date more than a day ahead of the reference belongs to the year before
-    sys_us = F.when(this_year - DAY_US > ref, syslog_for(year - 1)).otherwise(this_year)
+    sys_us = once(syslog_for(year), lambda us: F.when(us - DAY_US > ref, syslog_for(year - 1)).otherwise(us))
 
     us_re = r"^(\d{1,2})/(\d{1,2})/(\d{4})\s+(\d{1,2}):(\d{2}):(\d{2})\s*([AaPp][Mm])?$"
 
@@ -94,7 +101,7 @@ def parse_micros(text: Column, reference_us: Column | None = None) -> Column:
     mail_offset = F.when(m(5) == "", "+00:00").otherwise(F.concat(m(5), F.lit(":"), m(6)))
     mail_us = assemble(m(3), _month(m(2)), m(1), m(4), mail_offset)
 
-    parsed = (
+    return (
         F.when(t.rlike(r"^-?\d+(\.\d+)?$"), epoch_micros(number))
         .when(t.rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}[ T]\d{2}:\d{2}"), iso_us)
         .when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), _micros(F.concat(t, F.lit("T00:00:00+00:00")).try_cast("timestamp")))
@@ -103,7 +110,6 @@ def parse_micros(text: Column, reference_us: Column | None = None) -> Column:
         .when(t.rlike(us_re), us_us)
         .when(t.rlike(mail_re), mail_us)
     )
-    return F.when((F.length(t) <= 64) & parsed.between(MIN_US, MAX_US - 1), parsed)
 
 
 def duration_micros(text: Column) -> Column:

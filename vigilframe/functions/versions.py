@@ -20,6 +20,10 @@ PEP440 = (
 SEMVER = r"^\s*[vV=]*\s*(\d+)(?:\.(\d+))?(?:\.(\d+))?(?:-([0-9A-Za-z.\-]+))?(?:\+[0-9A-Za-z.\-+]*)?\s*$"
 
 
+# Releases that a shorter version is taken to end in; two versions are told apart unless one goes on with more zeros than this.
+PADDING = 24
+
+
 def _num(text: Column) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")).try_cast("decimal(30,0)"), F.lit(0).cast("decimal(30,0)"))
 
@@ -90,9 +94,12 @@ def generic_key(text: Column) -> Column:
             .otherwise(_item(F.lit(1), _lookup(t, GENERIC_PRE, 9), t))
         )
 
-    # the padding token of the comparison repeats forever; twenty-four tokens cover real versions
-    pad = F.array_repeat(_item(F.lit(2), F.lit(0), F.lit("")), 24)
-    return F.when(tokens[0].rlike(r"^\d+$"), F.slice(F.concat(F.transform(tokens, item), pad), 1, 24))
+    # trailing releases go, so that equal versions have equal keys; every other token stays, however many there are, and what follows them is a release
+    release = _item(F.lit(2), F.lit(0), F.lit(""))
+    items = F.transform(tokens, item)
+    last = F.array_position(F.transform(F.reverse(items), lambda i: i != release), True)
+    kept = F.when(last > 0, F.slice(items, 1, (F.size(items) - last + 1).cast("int"))).otherwise(F.slice(items, 1, 0))
+    return F.when(tokens[0].rlike(r"^\d+$"), F.concat(kept, F.array_repeat(release, PADDING)))
 
 
 def version_key(ecosystem: Column, text: Column) -> Column:

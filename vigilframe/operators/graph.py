@@ -163,7 +163,7 @@ def closure(
     return union_all(layers).withColumn("hops", F.size("chain") - 1)
 
 
-def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(id, component) for an undirected ``links(a, b)``: smallest id of the component.
 
     Alternates "everyone points to the smallest neighbour" with pointer doubling, so the rounds grow with the
@@ -173,7 +173,7 @@ def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     both = cut(both.where("a <> b").distinct())
     label = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select(
         "id", F.least("id", "m").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         # smallest label among the neighbours
         near = both.join(label.select(F.col("id").alias("b"), F.col("component").alias("nb")), "b").groupBy(
             F.col("a").alias("id")).agg(F.min("nb").alias("nb"))
@@ -188,5 +188,4 @@ def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
         changed = not nxt.where("component <> new").isEmpty()
         label = nxt.select("id", F.col("new").alias("component"))
         if not changed:
-            break
-    return label
+            return label

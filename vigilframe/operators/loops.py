@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,12 +13,20 @@ _LOCAL_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where none is set."""
+    """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
+
+    Without one, a session whose executors live in the driver's own process gets a temporary folder that is removed when the process ends. A session
+    on a cluster is refused: parts written to the disks of different machines could not be read back.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append(tempfile.mkdtemp(prefix="vigilframe-"))
+        atexit.register(shutil.rmtree, _LOCAL_DIR[0], ignore_errors=True)
     return _LOCAL_DIR[0]
 
 

@@ -23,30 +23,42 @@ def search(objects: DataFrame, text: str, limit: int = 25) -> DataFrame:
     return hit.withColumn("rank", _rank(name, key, wanted)).orderBy("rank", F.length("name"), "id").limit(limit)
 
 
-def resolve(refs: DataFrame, objects: DataFrame) -> DataFrame:
-    """Best object for each ``refs(ref)`` and how many objects share its tier.
+def resolve(refs: DataFrame, objects: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(ref, id, candidates) for every reference: the best object and how many objects share its tier; no id and 0 candidates where nothing fits.
 
-    A substring match needs the first three letters of the reference somewhere in the name, so names are joined by
-    their three-letter pieces instead of comparing every pair. Names are reduced to distinct ones first.
+    Tiers: the id or its key or the name, an alias from ``aliases(id, alias)``, a prefix, a substring. A substring match needs a piece of the
+    reference in the name: its rarest three letters, or the whole of a shorter one. Names are joined by their pieces of one to three letters instead
+    of comparing every pair, and are reduced to distinct ones first.
     """
-    r = refs.select("ref", F.lower(F.trim("ref")).alias("w")).where(F.length("w") >= GRAM)
-    names = objects.select(F.lower("name").alias("n")).distinct()
-    grams = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("n") - (GRAM - 1), F.lit(1))), lambda i: F.substr(F.col("n"), i, F.lit(GRAM))))
-    # the rarest piece of a reference is its join key, which keeps common pieces from becoming hot
-    pieces = names.select("n", F.explode(grams).alias("g"))
+    r = refs.select("ref").distinct().withColumn("w", F.lower(F.trim("ref")))
+    names = objects.select(F.lower("name").alias("n")).where("n IS NOT NULL").distinct()
+
+    def grams(text: str, size: int):
+        return F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substr(F.col(text), i, F.lit(size)))
+
+    def pieces_of(text: str, sizes):
+        return F.array_distinct(F.flatten(F.array(*(F.when(F.length(text) >= k, grams(text, k)).otherwise(F.array().cast("array<string>")) for k in sizes))))
+
+    pieces = names.select("n", F.explode(pieces_of("n", range(1, GRAM + 1))).alias("g"))
     freq = pieces.groupBy("g").agg(F.count("*").alias("f"))
-    ref_grams = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("w") - (GRAM - 1)), lambda i: F.substr(F.col("w"), i, F.lit(GRAM))))
-    key = r.select("ref", "w", F.explode(ref_grams).alias("g")).join(freq, "g", "left").groupBy("ref", "w").agg(
+    own = F.when(F.length("w") < GRAM, F.array("w")).otherwise(pieces_of("w", [GRAM]))
+    key = r.where(F.length("w") > 0).select("ref", "w", F.explode(own).alias("g")).join(freq, "g", "left").groupBy("ref", "w").agg(
         F.min_by("g", F.struct(F.coalesce("f", F.lit(0)), F.col("g"))).alias("g"))
     hit = key.join(pieces, "g").where(F.contains(F.col("n"), F.col("w"))).select("ref", "w", "n")
     full = hit.join(objects.select("id", "name", F.lower("name").alias("n")), "n")
     ident = F.substring(F.col("id"), F.instr("id", ":") + 1, F.length("id"))
-    full = full.withColumn("tier", _rank(F.col("n"), ident, F.col("w")))
+    full = full.withColumn("tier", _rank(F.col("n"), ident, F.col("w"))).select("ref", "tier", "id", "name")
+    by_id = objects.select("id", "name", F.explode(F.array_distinct(F.array(F.lower("id"), F.lower(ident)))).alias("w"))
+    full = full.unionByName(r.join(by_id, "w").select("ref", F.lit(0).alias("tier"), "id", "name"))
+    if aliases is not None:
+        named = aliases.select("id", F.lower(F.trim("alias")).alias("w")).join(objects.select("id", "name"), "id")
+        full = full.unionByName(r.join(named, "w").select("ref", F.lit(1).alias("tier"), "id", "name"))
+    # an object counts once, in its best tier
+    full = full.groupBy("ref", "id").agg(F.min("tier").alias("tier"), F.min("name").alias("name"))
     per_tier = full.groupBy("ref", "tier").agg(
         F.count("*").alias("candidates"), F.min_by("id", F.struct(F.length("name"), F.col("id"))).alias("id"))
-    return per_tier.groupBy("ref").agg(F.min_by(F.struct("id", "candidates"), "tier").alias("b")).select("ref", "b.*")
+    best = per_tier.groupBy("ref").agg(F.min_by(F.struct("id", "candidates"), "tier").alias("b")).select("ref", "b.*")
+    return r.select("ref").join(best, "ref", "left").select("ref", "id", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
 
 
 def resolve_names(rows: DataFrame, column: str, aliases: DataFrame) -> DataFrame:

@@ -21,28 +21,61 @@ TOKENS: dict[str, tuple[str, float]] = {
     "url-credentials": (r"(?i)\b[a-z][a-z0-9+.\-]{1,20}://[^\s:/?#@\"'<>]{1,128}:([^\s@/?#\"'<>]{1,256})@[a-z0-9.\-_~%\[\]]+", 0.8),
     "assignment": (r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_.\-]?key|access[_.\-]?key)[\"']?\s*(?::=|=>|=|:)\s*[\"']([^\"'\s]{4,512})[\"']", 0.6),
 }
+# Words that announce a secret, and the shape of a random-looking string.
 KEYWORD = (
     r"(?i)secret|token|passw(?:or)?d|\bpwd\b|credential|api[_\-.]?key|access[_\-.]?key|private[_\-.]?key|\bauth(?:[_\-.]?(?:key|token))?\b|authorization|bearer|"
     r"signing[_\-.]?key|encryption[_\-.]?key|master[_\-.]?key"
 )
 RANDOM = r"(?<![A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{20,512})(?![A-Za-z0-9+/_\-])"
-PLACEHOLDER_WORDS = ["password", "passwd", "secret", "token", "changeme", "test", "none", "null", "true", "false", "todo", "user", "admin", "root", "string", "value"]
-PLACEHOLDER_PARTS = ["changeme", "change_me", "change-me", "replace_me", "replace-me", "replaceme", "your_", "your-", "yourpass", "_here", "-here", "example",
-                     "placeholder", "dummy", "redacted", "xxxx", "****"]
-PLACEHOLDER_SHAPES = (
-    r"^\$\{[^}]*\}$|^\$[A-Za-z_][A-Za-z0-9_]*$|^\$\(.*\)?$|\{\{.*\}\}|^%\(.+\)s$|^%s$|^#\{.*\}$|^%\{.*\}$|^@[\w.\-]+@$|^__\w+__$|^<[^<>]*>$|^\[[^\[\]]*\]$|"
-    r"^[xX*•._#\-]+$|(?i)^(?:ENC\[|vault:|op://|ref\+|arn:aws:|secretsmanager:|sm://|env:)|^[*&!]"
-)
+# Words, parts and shapes of values that stand for a secret without being one.
+PLACEHOLDER_WORDS = [
+    "changeme", "change_me", "change-me", "password", "passwd", "pass", "secret", "token", "apikey", "api_key", "example", "sample", "dummy", "placeholder", "redacted",
+    "none", "null", "nil", "true", "false", "undefined", "todo", "tbd", "fixme", "empty", "string", "required", "optional", "your_password", "yourpassword", "mypassword",
+    "my_password", "foo", "bar", "foobar",
+]
+PLACEHOLDER_PARTS = [
+    "changeme", "change_me", "change-me", "replace_me", "replace-me", "replaceme", "your_", "your-", "yourpass", "_here", "-here", "example", "placeholder", "dummy",
+    "redacted", "xxxx", "****",
+]
+PLACEHOLDER_SHAPES = [
+    r"^\$\{[^}]*\}$",
+    r"^\$[A-Za-z_][A-Za-z0-9_]*$",
+    r"^\$\(.*\)?$",
+    r"\{\{.*\}\}",
+    r"^%\(.+\)s$|^%s$",
+    r"^#\{.*\}$|^%\{.*\}$",
+    r"^@[\w.\-]+@$",
+    r"^__\w+__$",
+    r"^<[^<>]*>$",
+    r"^\[[^\[\]]*\]$",
+    r"^[xX*•._#\-]+$",
+    r"(?i)^(?:ENC\[|vault:|op://|ref\+|arn:aws:|secretsmanager:|sm://|env:|ENV\[)",
+    r"^[*&!]",
+]
+# Paths that look like tests.
 TEST_PATH = r"(?i)(^|[/_.\-])(tests?|specs?|fixtures?|examples?|samples?|mocks?|docs?)([/_.\-]|$)"
 
 
-def is_placeholder(value: Column) -> Column:
+def is_placeholder(value: Column, key: Column | None = None) -> Column:
+    """Whether a value only stands for a secret. ``key``: the name it was assigned to; a value that repeats its own name, or the last part of it, is one."""
     t = F.regexp_replace(F.trim(value), r"^[\"']+|[\"']+$", "")
     low = F.lower(t)
-    part = F.lit(False)
-    for p in PLACEHOLDER_PARTS:
-        part = part | F.contains(low, F.lit(p))
-    return (F.length(t) < 4) | low.isin(PLACEHOLDER_WORDS) | part | t.rlike(PLACEHOLDER_SHAPES)
+    found = (F.length(t) < 4) | low.isin(PLACEHOLDER_WORDS) | F.contains(t, F.lit("EXAMPLE"))
+    if key is not None:
+        name = F.lower(key)
+        found = found | F.coalesce((low == name) | (low == F.substring_index(name, "_", -1)), F.lit(False))
+    for part in PLACEHOLDER_PARTS:
+        found = found | F.contains(low, F.lit(part))
+    for shape in PLACEHOLDER_SHAPES:
+        found = found | t.rlike(shape)
+    return found
+
+
+# A cloud secret key has no shape of its own; its line must name it.
+CLOUD_SECRET = r"(?<![A-Za-z0-9/+])([A-Za-z0-9/+]{40})(?![A-Za-z0-9/+=])"
+CLOUD_SECRET_LINE = r"(?i)(?:aws|amazon)[\w.\-]{0,30}?secret|secret[_\-. ]?access[_\-. ]?key"
+CLOUD_SECRET_BITS = 3.5
+CLOUD_SECRET_CONFIDENCE = 0.7
 
 
 def scan(texts: DataFrame, key: str, text: str = "text", threshold: float = 4.5) -> DataFrame:
@@ -54,6 +87,8 @@ def scan(texts: DataFrame, key: str, text: str = "text", threshold: float = 4.5)
         return F.transform(values, lambda v: F.struct(F.lit(rule).alias("rule"), v.alias("value")))
 
     found = [named(rule, pattern) for rule, (pattern, _) in TOKENS.items()]
+    cloud = F.filter(named("aws-secret-access-key", CLOUD_SECRET), lambda h: h["value"].rlike(r"\d") & h["value"].rlike("[a-z]") & h["value"].rlike("[A-Z]") & (entropy(h["value"]) >= CLOUD_SECRET_BITS))
+    found.append(F.when(F.col("content").rlike(CLOUD_SECRET_LINE), cloud).otherwise(F.filter(cloud, lambda h: F.lit(False))))
     hits = lines.select(key, "line", F.explode(F.flatten(F.array(*found))).alias("h")).select(key, "line", "h.*").distinct()
     near = lines.where(F.col("content").rlike(KEYWORD)).select(key, "line", F.explode(F.regexp_extract_all("content", F.lit(RANDOM), F.lit(1))).alias("value"))
     is_hex = F.col("value").rlike(r"^[0-9a-fA-F]+$")
@@ -67,7 +102,7 @@ def scan(texts: DataFrame, key: str, text: str = "text", threshold: float = 4.5)
 
 def confidence(rule: Column, path: Column) -> Column:
     """Precision of the rule, lowered for paths that look like tests; 0.05 to 0.99."""
-    base = F.lit(0.5)
+    base = F.when(rule == "aws-secret-access-key", CLOUD_SECRET_CONFIDENCE).otherwise(F.lit(0.5))
     for name, (_, score) in TOKENS.items():
         base = F.when(rule == name, score).otherwise(base)
     return F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.99), base - F.when(path.rlike(TEST_PATH), 0.3).otherwise(0.0))), 4)
@@ -86,10 +121,15 @@ def report(hits: DataFrame, key: str, salt: str) -> DataFrame:
     return rules.join(places, "fingerprint")
 
 
-def allowlisted(hits: DataFrame, rules: list[str] | None = None, globs: list[str] | None = None, fingerprints: DataFrame | None = None) -> Column:
+def allowlisted(hits: DataFrame, rules: list[str] | None = None, globs: list[str] | None = None) -> Column:
     """Whether a hit (columns rule, path) is allowed by rule or by a path glob."""
     out = F.col("rule").isin(rules or [])
     for g in globs or []:
         pattern = "".join(".*" if ch == "*" else "." if ch == "?" else f"\\{ch}" if not ch.isalnum() else ch for ch in g)
         out = out | F.col("path").rlike(f"^{pattern}$")
     return out
+
+
+def without_allowed(hits: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """Hits (column fingerprint) whose fingerprint is not in the allowlist."""
+    return hits.join(fingerprints.select("fingerprint").distinct(), "fingerprint", "left_anti")

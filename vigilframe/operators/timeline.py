@@ -88,25 +88,31 @@ def page(
 def max_window(events: DataFrame, keys: list[str], window_us: int, id_col: str = "id") -> DataFrame:
     """Per key the largest number of events inside any sliding window, earliest window first.
 
-    A window that ends at t looks back ``window_us``. Time is cut into blocks of that length; each instant joins
-    its own block as a possible end and the next block as context, so a hot key is spread over its blocks and no
-    task holds a whole key.
+    A window that ends at t looks back ``window_us``. Time is cut into blocks of that length. An instant adds its events from its time on; in the
+    next block they count from the start and leave just after their window has passed. So the number inside a window is a running sum of one block:
+    no frame is ever computed anew, and a busy key is spread over its blocks. First and last events are looked up for the best window only.
     """
-    instants = events.groupBy(*keys, "us").agg(
-        F.count("*").alias("c"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id")
+    at = F.col("us")
+    own = F.expr(f"(us - pmod(us, {window_us}L)) div {window_us}L")
+    steps = F.array(
+        F.struct(own.alias("block"), at.alias("us"), F.lit(1).alias("step"), F.lit(1).alias("own")),
+        F.struct((own + 1).alias("block"), ((own + 1) * window_us).alias("us"), F.lit(1).alias("step"), F.lit(0).alias("own")),
+        F.struct((own + 1).alias("block"), (at + window_us + 1).alias("us"), F.lit(-1).alias("step"), F.lit(0).alias("own")),
     )
-    block = F.expr(f"us div {window_us}")
-    spread = instants.withColumn("block", F.explode(F.array(block, block + 1))).withColumn("own", F.col("block") == block)
-    # the array holds the own block first, the next block second
-    w = Window.partitionBy(*keys, "block").orderBy("us").rangeBetween(-window_us, Window.currentRow)
-    scored = spread.select(
-        *keys, "us", "own", "last_id",
-        F.sum("c").over(w).alias("n"), F.min("us").over(w).alias("start_us"),
-        F.min(F.struct("us", "first_id")).over(w)["first_id"].alias("first_id"),
-    ).where("own")
-    best = F.max_by(F.struct("n", "start_us", F.col("us").alias("end_us"), "first_id", "last_id"),
-                    F.struct(F.col("n"), -F.col("us")))
-    return scored.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+    counted = (
+        events.where(at.isNotNull()).select(*keys, F.explode(steps).alias("s")).select(*keys, "s.*").where(F.col("us") < (F.col("block") + 1) * window_us)
+        .groupBy(*keys, "block", "us").agg(F.sum("step").alias("step"), F.max("own").alias("own"))
+    )
+    running = Window.partitionBy(*keys, "block").orderBy("us").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = counted.withColumn("n", F.sum("step").over(running)).where("own = 1")
+    best = ends.groupBy(*keys).agg(F.max_by(F.struct("n", F.col("us").alias("end_us")), F.struct(F.col("n"), -F.col("us"))).alias("b")).select(*keys, "b.*")
+    best = best.select(*(F.col(k).alias(f"best_{k}") for k in keys), "n", "end_us")
+    same = [F.col(k).eqNullSafe(F.col(f"best_{k}")) for k in keys]
+    rows = events.select(*keys, "us", F.col(id_col).alias("id"))
+    inside = rows.join(best, [*same, F.col("us").between(F.col("end_us") - window_us, F.col("end_us"))])
+    return inside.groupBy(*keys, "n", "end_us").agg(
+        F.min("us").alias("start_us"), F.min(F.struct("us", "id"))["id"].alias("first_id"), F.max(F.when(F.col("us") == F.col("end_us"), F.col("id"))).alias("last_id"),
+    ).select(*keys, "n", "start_us", "end_us", "first_id", "last_id")
 
 
 def bucket_median_with_zeros(events: DataFrame, keys: list[str], width_us: int) -> DataFrame:

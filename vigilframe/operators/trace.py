@@ -62,7 +62,7 @@ def corroborate(links: DataFrame, cap: float = 0.95) -> DataFrame:
     def add(acc: Column, x: Column) -> Column:
         return F.round(F.least(F.lit(cap), 1 - (1 - acc) * (1 - x)), 3)
 
-    folded = F.aggregate(F.slice("c", 2, 1000), F.col("c")[0], add)
+    folded = F.aggregate(F.slice("c", 2, F.size("c")), F.col("c")[0], add)
     return g.select(*LINK, folded.alias("confidence"), "event_id", F.size("c").alias("sources"))
 
 

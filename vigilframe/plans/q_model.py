@@ -65,12 +65,12 @@ def content_hash(t):
 
 
 @query("entropy", "",
-       """WITH c AS (SELECT doc_id, unnest(string_split(substr(text, 1, 200), '')) AS ch FROM documents), n AS (SELECT doc_id, ch, count(*) AS c
+       """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT doc_id, ch, count(*) AS c
        FROM c GROUP BY ALL), p AS (SELECT doc_id, c / sum(c) OVER (PARTITION BY doc_id) AS p FROM n) SELECT doc_id, round(sum(-p * log2(p)), 6) AS
        bits FROM p GROUP BY doc_id""")
 def entropy(t):
-    """Entropy of the head of each document, the way a token would be scored."""
-    return t.documents.select("doc_id", F.round(text.entropy(F.substring("text", 1, 200)), 6).alias("bits"))
+    """Entropy of each whole document."""
+    return t.documents.select("doc_id", F.round(text.entropy(F.col("text")), 6).alias("bits"))
 
 
 @query("port_sets", "",
