@@ -24,11 +24,12 @@ from vigilframe.llm.common import Words, cut, flat, lowered, mixed, pieces, runs
 
 SHINGLE = 5
 SLOTS = 128
-ORDERS = 20
-DEPTH = 10  # slots that one order sorts by
+ORDERS = 16
+DEPTH = 8  # slots that one order sorts by
 NEIGHBOURS = 3  # entries before and after that are looked at in each order
 SKETCH_AGREE = 98  # of 128 two-bit slots: below it a link at 0.85 is out by more than four standard deviations
-BEST_ONLY = 2  # rounds that compare each set with its best open candidate; later ones compare all that is open
+BEST = 3  # candidates of each set that the first round compares; later ones compare all that is open between different components
+PART_ROWS = 100_000  # rows of pairs or links that one task writes
 ROUNDS = 100  # a guard: every round compares pairs that no earlier one has, so the rounds end by themselves
 
 _SEEDS = np.random.default_rng(85).integers(1, 1 << 63, (2, SLOTS), dtype=np.uint64) | np.uint64(1)
@@ -71,7 +72,7 @@ def signed(docs: DataFrame, size: int = SHINGLE, carry: tuple[str, ...] = ()) ->
             for part in pieces(batch, "text"):
                 texts = part.column(1)
                 sets = shingle_sets(texts, size)
-                ids = [np.array([len(s), s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(s))], dtype=np.uint64).tobytes() if len(s) else None for s in sets]
+                ids = [np.array([s.sum(dtype=np.uint64) + np.uint64(len(s)), np.bitwise_xor.reduce(mixed(s))], dtype=np.uint64).tobytes() if len(s) else None for s in sets]
                 signatures = [_signature(s).tobytes() if len(s) else None for s in sets]
                 packed = [pack.compress(t.as_buffer()) if t.is_valid else None for t in texts]
                 columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (ids, signatures, packed)), *part.columns[2:]]
@@ -216,21 +217,21 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, 256)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, parts: int, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node each linked node reaches. Alternates large-star and small-star steps until nothing changes.
 
     A node's smallest neighbour is an aggregate that combines before the shuffle, and the join that follows is an ordinary one, which Spark can
-    split where one node has very many links. Nothing is collected; each step is written to the shared folder.
+    split where one node has very many links. Nothing is collected; each step is written to the shared folder, in ``parts`` files.
     """
-    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct().coalesce(parts))
     mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().coalesce(parts))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges, before = cut(small.where("u <> v").distinct()), mark
+        edges, before = cut(small.where("u <> v").distinct().coalesce(parts)), mark
         mark = _mark(edges)
         if mark == before:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
@@ -242,30 +243,36 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def _resolved(rows: DataFrame, percent: int, size: int) -> DataFrame:
-    """(set_id, root): the component of every set, named by one of its sets. ``rows``: what ``signed`` gives, with a ``row`` number."""
+    """(set_id, root): the component of every set, named by one of its sets. ``rows``: what ``signed`` gives, with a ``row`` number.
+
+    Only sets that have a candidate take part in what follows, and their texts are written once.
+    """
     classes = cut(rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("row").alias("row")))
-    sets = rows.select("row", "signature").join(classes.select("row", "set_id"), "row").select("set_id", "signature")
-    open_pairs = cut(candidates(sets))
-    texts = rows.select("row", "packed").join(classes.select("row", "set_id"), "row").select("set_id", "packed")
+    open_pairs = cut(candidates(rows.select("row", "signature").join(classes, "row").select("set_id", "signature")))
+    parts = max(8, -(-open_pairs.count() // PART_ROWS))
+    members = open_pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    texts = cut(rows.select("row", "packed").join(classes.join(members, "set_id"), "row").select("set_id", "packed"))
     checked, roots = None, None
-    for turn in range(ROUNDS):
+    for _ in range(ROUNDS):
         left = open_pairs
-        if checked is not None:
+        if checked is None:  # each set's best neighbours first; links between those usually join a whole group, and the rest need no comparison
+            ends = left.select(F.col("a").alias("n"), "a", "b", "agree").unionByName(left.select(F.col("b").alias("n"), "a", "b", "agree"))
+            best = F.slice(F.sort_array(F.collect_list(F.struct("agree", "a", "b")), asc=False), 1, BEST)  # of at most 2 * NEIGHBOURS * ORDERS
+            left = ends.groupBy("n").agg(best.alias("p")).select(F.inline("p")).select("a", "b").distinct()
+        else:
             left = left.join(checked, ["a", "b"], "left_anti")
             for end in ("a", "b"):
                 left = left.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-            left = left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "agree")
-        left = cut(left)
-        if left.isEmpty():
+            left = left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        fresh = cut(confirmed(left, texts, percent, size).coalesce(16 * parts))
+        if fresh.isEmpty():
             break
-        if turn < BEST_ONLY:  # each set's best neighbour first; links between those usually join a whole group, and the rest need no comparison
-            ends = left.select(F.col("a").alias("n"), "a", "b", "agree").unionByName(left.select(F.col("b").alias("n"), "a", "b", "agree"))
-            left = ends.groupBy("n").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.*").distinct()
-        fresh = cut(confirmed(left, texts, percent, size))
-        checked = fresh if checked is None else cut(checked.unionByName(fresh))
-        links = checked.where("linked").select("a", "b")
-        roots = cut(components(links))
-        open_pairs = cut(open_pairs.unionByName(_friends(fresh, links)).groupBy("a", "b").agg(F.max("agree").alias("agree")))
+        links = fresh.where("linked").select("a", "b")
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        checked = fresh if checked is None else cut(checked.unionByName(fresh).coalesce(parts))
+        roots = cut(components(links, parts).coalesce(parts))
+        open_pairs = cut(open_pairs.select("a", "b").unionByName(_friends(fresh, checked.where("linked").select("a", "b"))).distinct().coalesce(parts))
     else:
         raise RuntimeError(f"near-duplicate candidates are left after {ROUNDS} rounds")
     named = classes.select("set_id")
@@ -317,4 +324,4 @@ def _friends(fresh: DataFrame, links: DataFrame) -> DataFrame:
     refused = fresh.where("NOT linked")
     one = refused.join(hub.withColumnRenamed("n", "b"), "b").select("a", F.col("hub").alias("b"))
     other = refused.join(hub.withColumnRenamed("n", "a"), "a").select("b", F.col("hub").alias("a"))
-    return one.unionByName(other).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(SKETCH_AGREE).alias("agree")).distinct()
+    return one.unionByName(other).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
