@@ -13,7 +13,8 @@ from vigilframe.functions import netaddr
 from vigilframe.functions.levels import severity_name, severity_rank
 from vigilframe.functions.text import sql_risks
 from vigilframe.operators.graph import connected_components
-from vigilframe.operators.timeline import first_seen_source, max_window, order_statistic
+from vigilframe.operators.search import containing
+from vigilframe.operators.timeline import first_seen_source, latest_before, max_window, order_statistic
 
 MINUTE_US, HOUR_US, DAY_US = 60_000_000, 3_600_000_000, 86_400_000_000
 MB = 1_000_000
@@ -144,17 +145,20 @@ def transfer_threshold(flows: DataFrame) -> DataFrame:
 
 def scheduled_context(events: DataFrame, jobs: DataFrame, writes: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Events (id, host, us, bytes) with the nearest scheduled job of their host in the hour before, and whether a file of about
-    the same size was written between. Times are matched in hour blocks, so a busy host is spread over its hours."""
+    the same size was written between. Writes are met by host, hour and power of two of the size."""
     hour = F.expr(f"us div {HOUR_US}")
-    e = events.select("id", "host", "us", "bytes").withColumn("h", F.explode(F.array(hour, hour - 1)))
-    j = jobs.select("host", F.col("us").alias("job_us"), F.col("id").alias("job_id")).withColumn("h", F.expr(f"job_us div {HOUR_US}"))
-    near = e.join(j, ["host", "h"]).where(f"job_us <= us AND job_us >= us - {HOUR_US}").groupBy("id", "host", "us", "bytes").agg(
-        F.max(F.struct("job_us", "job_id")).alias("job"))
-    w = writes.select("host", F.col("us").alias("w_us"), F.col("bytes").alias("w_bytes")).withColumn("h", F.expr(f"w_us div {HOUR_US}"))
-    spread = near.withColumn("h", F.explode(F.array(hour, hour - 1)))
-    fits = spread.join(w, ["host", "h"]).where((F.col("w_us") >= F.col("job.job_us")) & (F.col("w_us") <= F.col("us")) & (
+    known = latest_before(events.select("id", "host", "us", "bytes"), jobs.select("host", "us", F.col("id").alias("job_id")), ["host"], ["job_id"], HOUR_US)
+    near = known.select("id", "host", "us", "bytes", F.col("latest.us").alias("job_us"), F.col("latest.job_id").alias("job_id"))
+
+    def power(size):
+        return F.floor(F.log2(F.greatest(size.cast("double"), F.lit(1.0)))).cast("int")
+
+    sizes = F.sequence(power(F.col("bytes") * (1 - tolerance)), power(F.col("bytes") * (1 + tolerance)))
+    w = writes.select("host", F.col("us").alias("w_us"), F.col("bytes").alias("w_bytes")).withColumn("h", F.expr(f"w_us div {HOUR_US}")).withColumn("power", power(F.col("w_bytes")))
+    spread = near.withColumn("h", F.explode(F.array(hour, hour - 1))).withColumn("power", F.explode(sizes))
+    fits = spread.join(w, ["host", "h", "power"]).where((F.col("w_us") >= F.col("job_us")) & (F.col("w_us") <= F.col("us")) & (
         F.abs(F.col("w_bytes") - F.col("bytes")) <= tolerance * F.col("bytes"))).select("id").distinct().withColumn("file", F.lit(True))
-    return near.join(fits, "id", "left").select("id", "job.job_id", "job.job_us", F.coalesce("file", F.lit(False)).alias("file_written"))
+    return near.join(fits, "id", "left").select("id", "job_id", "job_us", F.coalesce("file", F.lit(False)).alias("file_written"))
 
 
 def large_transfers(flows: DataFrame, explained: DataFrame | None = None) -> DataFrame:
@@ -240,15 +244,18 @@ def service_new_source(signins: DataFrame, earlier: int = 3) -> DataFrame:
 def change_cover(events: DataFrame, changes: DataFrame, step_us: int = DAY_US) -> DataFrame:
     """(id, change_id): the first approved change whose window holds the event and whose actor or service fits.
 
-    Windows are expanded to the days they touch and joined on the day.
+    Which names hold which wanted text is found over distinct names, by their pieces; events then meet the changes of their own actor or target on
+    the days these touch.
     """
     c = changes.where(F.lower("status").isin("approved", "scheduled", "implemented", "in_progress", "in-progress", "implement", "authorized"))
     days = F.sequence(F.expr(f"from_us div {step_us}"), F.expr(f"until_us div {step_us}"))
-    c = c.select("change_id", "from_us", "until_us", F.lower(F.coalesce("actor", F.lit(""))).alias("who"),
-                 F.lower(F.coalesce("service", F.lit(""))).alias("what"), F.explode(days).alias("day"))
-    e = events.select("id", "us", F.lower("actor_id").alias("a"), F.lower("target_id").alias("t")).withColumn("day", F.expr(f"us div {step_us}"))
-    fits = ((F.col("what") != "") & F.contains("t", "what")) | ((F.col("who") != "") & F.contains("a", "who"))
-    return e.join(c, "day").where(F.col("us").between(F.col("from_us"), F.col("until_us")) & fits).groupBy("id").agg(F.min("change_id").alias("change_id"))
+    e = events.select("id", "us", F.lower("actor_id").alias("actor"), F.lower("target_id").alias("service")).withColumn("day", F.expr(f"us div {step_us}"))
+    covered = []
+    for side in ("actor", "service"):
+        wanted = c.select("change_id", "from_us", "until_us", F.lower(F.col(side)).alias("wanted"), F.explode(days).alias("day")).where("wanted <> ''")
+        pairs = containing(e.select(F.col(side).alias("name")), wanted.select("wanted")).withColumnRenamed("name", side)
+        covered.append(e.join(pairs, side).join(wanted, ["wanted", "day"]).where("us BETWEEN from_us AND until_us").select("id", "change_id"))
+    return covered[0].unionByName(covered[1]).groupBy("id").agg(F.min("change_id").alias("change_id"))
 
 
 def destructive_changes(deletes: DataFrame, covered: DataFrame) -> DataFrame:
@@ -324,11 +331,8 @@ def large_exports(files: DataFrame, size: int = 100 * MB) -> tuple[DataFrame, Da
 
 def dns_before(flows: DataFrame, answers: DataFrame) -> DataFrame:
     """Flows (id, dst_ip, us) with the newest name that resolved to their address in the hour before."""
-    hour = F.expr(f"us div {HOUR_US}")
-    f = flows.select("id", "dst_ip", "us").withColumn("h", F.explode(F.array(hour, hour - 1)))
-    a = answers.select(F.col("ip").alias("dst_ip"), "name", F.col("us").alias("a_us")).withColumn("h", F.expr(f"a_us div {HOUR_US}"))
-    return f.join(a, ["dst_ip", "h"]).where(f"a_us <= us AND a_us >= us - {HOUR_US}").groupBy("id").agg(
-        F.max_by("name", F.struct("a_us", "name")).alias("name"))
+    found = latest_before(flows.select("id", "dst_ip", "us"), answers.select(F.col("ip").alias("dst_ip"), "us", "name"), ["dst_ip"], ["name"], HOUR_US)
+    return found.groupBy("id").agg(F.max("latest").alias("l")).select("id", F.col("l.name").alias("name"))
 
 
 def chains(detections: DataFrame, pivots: DataFrame, gap_us: int = 2 * HOUR_US) -> DataFrame:

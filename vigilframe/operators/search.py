@@ -23,28 +23,35 @@ def search(objects: DataFrame, text: str, limit: int = 25) -> DataFrame:
     return hit.withColumn("rank", _rank(name, key, wanted)).orderBy("rank", F.length("name"), "id").limit(limit)
 
 
-def resolve(refs: DataFrame, objects: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(ref, id, candidates) for every reference: the best object and how many objects share its tier; no id and 0 candidates where nothing fits.
+def containing(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct (name, wanted) where ``names(name)`` contains ``texts(wanted)``.
 
-    Tiers: the id or its key or the name, an alias from ``aliases(id, alias)``, a prefix, a substring. A substring match needs a piece of the
-    reference in the name: its rarest three letters, or the whole of a shorter one. Names are joined by their pieces of one to three letters instead
-    of comparing every pair, and are reduced to distinct ones first.
+    A name must have a piece of the text: its rarest three letters, or the whole of a shorter one. So names are joined by their pieces of one to three
+    letters instead of comparing every pair. Empty texts are in no pair.
     """
-    r = refs.select("ref").distinct().withColumn("w", F.lower(F.trim("ref")))
-    names = objects.select(F.lower("name").alias("n")).where("n IS NOT NULL").distinct()
+    wanted = texts.select("wanted").where("wanted <> ''").distinct()
+    pieces = names.select("name").where("name IS NOT NULL").distinct().select("name", F.explode(_pieces("name", range(1, GRAM + 1))).alias("g"))
+    freq = pieces.groupBy("g").agg(F.count("*").alias("f"))
+    own = F.when(F.length("wanted") < GRAM, F.array("wanted")).otherwise(_pieces("wanted", [GRAM]))
+    key = wanted.select("wanted", F.explode(own).alias("g")).join(freq, "g", "left").groupBy("wanted").agg(F.min_by("g", F.struct(F.coalesce("f", F.lit(0)), F.col("g"))).alias("g"))
+    return key.join(pieces, "g").where(F.contains(F.col("name"), F.col("wanted"))).select("name", "wanted")
+
 
-    def grams(text: str, size: int):
+def _pieces(text: str, sizes):
+    def cut_to(size: int):
         return F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substr(F.col(text), i, F.lit(size)))
 
-    def pieces_of(text: str, sizes):
-        return F.array_distinct(F.flatten(F.array(*(F.when(F.length(text) >= k, grams(text, k)).otherwise(F.array().cast("array<string>")) for k in sizes))))
+    return F.array_distinct(F.flatten(F.array(*(F.when(F.length(text) >= k, cut_to(k)).otherwise(F.array().cast("array<string>")) for k in sizes))))
 
-    pieces = names.select("n", F.explode(pieces_of("n", range(1, GRAM + 1))).alias("g"))
-    freq = pieces.groupBy("g").agg(F.count("*").alias("f"))
-    own = F.when(F.length("w") < GRAM, F.array("w")).otherwise(pieces_of("w", [GRAM]))
-    key = r.where(F.length("w") > 0).select("ref", "w", F.explode(own).alias("g")).join(freq, "g", "left").groupBy("ref", "w").agg(
-        F.min_by("g", F.struct(F.coalesce("f", F.lit(0)), F.col("g"))).alias("g"))
-    hit = key.join(pieces, "g").where(F.contains(F.col("n"), F.col("w"))).select("ref", "w", "n")
+
+def resolve(refs: DataFrame, objects: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(ref, id, candidates) for every reference: the best object and how many objects share its tier; no id and 0 candidates where nothing fits.
+
+    Tiers: the id or its key or the name, an alias from ``aliases(id, alias)``, a prefix, a substring.
+    """
+    r = refs.select("ref").distinct().withColumn("w", F.lower(F.trim("ref")))
+    pairs = containing(objects.select(F.lower("name").alias("name")), r.select(F.col("w").alias("wanted")))
+    hit = r.join(pairs.select(F.col("wanted").alias("w"), F.col("name").alias("n")), "w").select("ref", "w", "n")
     full = hit.join(objects.select("id", "name", F.lower("name").alias("n")), "n")
     ident = F.substring(F.col("id"), F.instr("id", ":") + 1, F.length("id"))
     full = full.withColumn("tier", _rank(F.col("n"), ident, F.col("w"))).select("ref", "tier", "id", "name")

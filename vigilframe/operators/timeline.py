@@ -115,6 +115,23 @@ def max_window(events: DataFrame, keys: list[str], window_us: int, id_col: str =
     ).select(*keys, "n", "start_us", "end_us", "first_id", "last_id")
 
 
+def latest_before(rows: DataFrame, facts: DataFrame, keys: list[str], value: list[str], within_us: int) -> DataFrame:
+    """``rows`` (keys, us, ...) with a struct ``latest`` (us and ``value``) of the newest fact of the same keys at most ``within_us`` before; others are left out.
+
+    Both sides are read once and go into blocks of time together. A block starts from the newest fact of the block before, so no row meets more than the
+    one fact that is carried along, and a busy key is spread over its blocks. Of facts at one instant the greatest value counts.
+    """
+    block = F.expr(f"(us - pmod(us, {within_us}L)) div {within_us}L").alias("block")
+    fact = facts.select(*keys, block, "us", F.struct("us", *value).alias("fact"))
+    carried = fact.groupBy(*keys, (F.col("block") + 1).alias("block")).agg(F.max("fact").alias("fact")).withColumn("us", F.col("block") * within_us)
+    own = rows.select(*keys, block, "us", F.lit(1).alias("side"), F.struct(*rows.columns).alias("own"))
+    side = F.lit(0).alias("side")
+    both = fact.select(*keys, "block", "us", side, "fact").unionByName(carried.select(*keys, "block", "us", side, "fact")).unionByName(own, allowMissingColumns=True)
+    so_far = Window.partitionBy(*keys, "block").orderBy("us", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("latest", F.max("fact").over(so_far)).where(f"side = 1 AND latest.us >= us - {within_us}")
+    return found.select("own.*", "latest")
+
+
 def bucket_median_with_zeros(events: DataFrame, keys: list[str], width_us: int) -> DataFrame:
     """Median number of events per bucket between the first and last bucket of a key, empty buckets counted as 0."""
     b = F.expr(f"us div {width_us}")

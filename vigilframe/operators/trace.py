@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigilframe.functions.folds import newest
 from vigilframe.operators.graph import union_all
 from vigilframe.operators.loops import cut
+from vigilframe.operators.timeline import latest_before
 
 HOUR_US = 3_600_000_000
 MINUTE_US = 60_000_000
@@ -71,13 +72,10 @@ def credential_exposure(reads: DataFrame, logins: DataFrame, holds: DataFrame, w
 
     ``holds(file, identity)``; the newest read in the window before each sign-in counts.
     """
-    r = reads.select(F.col("actor_id").alias("reader"), F.col("target_id").alias("file"), F.col("us").alias("read_us")).join(holds, "file")
-    block = F.expr(f"read_us div {window_us}")
-    r = r.withColumn("b", F.explode(F.array(block, block + 1)))
-    lg = logins.select(F.col("actor_id").alias("identity"), F.col("us").alias("login_us"), F.col("id").alias("login_id")).withColumn("b", F.expr(f"login_us div {window_us}"))
-    j = lg.join(r, ["identity", "b"]).where(f"read_us <= login_us AND read_us >= login_us - {window_us} AND reader <> identity")
-    return j.groupBy("login_id", "identity", "login_us").agg(F.max_by(F.struct("reader", "read_us"), F.struct("read_us", "reader")).alias("r")).select(
-        "login_id", "identity", "login_us", "r.reader", "r.read_us")
+    r = reads.select(F.col("actor_id").alias("reader"), F.col("target_id").alias("file"), "us").join(holds, "file").where("reader <> identity")
+    lg = logins.select(F.col("actor_id").alias("identity"), "us", F.col("id").alias("login_id"))
+    found = latest_before(lg, r.select("identity", "us", "reader"), ["identity"], ["reader"], window_us)
+    return found.select("login_id", "identity", F.col("us").alias("login_us"), "latest.reader", F.col("latest.us").alias("read_us"))
 
 
 def open_sessions(starts: DataFrame, ends: DataFrame, probes: DataFrame, window_us: int = 2 * HOUR_US) -> DataFrame:
@@ -87,8 +85,9 @@ def open_sessions(starts: DataFrame, ends: DataFrame, probes: DataFrame, window_
     s = s.withColumn("b", F.explode(F.array(block, block + 1)))
     p = probes.select("id", F.col("actor_id").alias("who"), F.col("target_id").alias("host"), "us").withColumn("b", F.expr(f"us div {window_us}"))
     near = p.join(s, ["host", "b"]).where(f"s_us <= us AND s_us >= us - {window_us} AND other <> who")
-    e = ends.select(F.col("actor_id").alias("other"), F.col("target_id").alias("host"), F.col("us").alias("e_us"))
-    closed = near.join(e, ["other", "host"]).where("e_us > s_us AND e_us <= us").select("id", "session_id").distinct()
+    ended = F.expr(f"e_us div {window_us}")
+    e = ends.select(F.col("actor_id").alias("other"), F.col("target_id").alias("host"), F.col("us").alias("e_us")).withColumn("b", F.explode(F.array(ended, ended + 1)))
+    closed = near.join(e, ["other", "host", "b"]).where("e_us > s_us AND e_us <= us").select("id", "session_id").distinct()
     return near.join(closed, ["id", "session_id"], "left_anti").groupBy("id").agg(
         F.max_by("other", F.struct("s_us", "session_id")).alias("other"), F.count("*").alias("open"))
 
