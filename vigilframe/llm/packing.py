@@ -12,9 +12,11 @@ The token counts are written to the shared folder once. A null text is an empty
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,8 @@ from vigilframe.llm.common import cut, pieces
 SEQUENCE = 2048
 UNIT = 8
 END_ID = 1
-KEPT_WORDS = 300_000  # words whose ids a worker remembers
+_STEM = re.compile(r"([A-Za-z]+)([.,;:!?]+)?")
+KEPT_WORDS = 500_000  # words whose ids a worker remembers
 COLUMNS = 4000  # pivots of the linear program at most; the plan is valid after any of them
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -44,20 +47,30 @@ class Encoder:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.stems: dict[str, list[int]] = {}
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.filled = np.zeros(1 << 18, np.uint32), 0
 
     def _learn(self, words: list[str]) -> None:
-        for encoding in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
-            ids, k = encoding.ids, self.learned
-            if k >= len(self.start):
-                self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
-            while self.filled + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.filled : self.filled + len(ids)] = ids
-            self.start[k], self.size[k] = self.filled, len(ids)
-            self.filled += len(ids)
-            self.learned += 1
+        """Ids of new words. ASCII letters with marks after them are two runs to the tokenizer, whatever their case, so most new words are known stems."""
+        parts = [(m.group(1).lower(), m.group(2) or "") if (m := _STEM.fullmatch(w)) else (w, "") for w in words]
+        stems = self.stems
+        fresh = [x for x in dict.fromkeys(x for pair in parts for x in pair) if x not in stems]
+        for at in range(0, len(fresh), 20_000):
+            block = fresh[at : at + 20_000]
+            for x, encoding in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
+                stems[x] = encoding.ids
+        ids = [stems[a] + stems[b] if b else stems[a] for a, b in parts]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        first, total = len(self.place) - len(words), int(size.sum())
+        while len(self.place) > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        while self.filled + total > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.size[first : len(self.place)] = size
+        self.start[first : len(self.place)] = self.filled + np.cumsum(size) - size
+        self.filled += total
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, with the end id after each text, and where each text's ids start."""
@@ -65,12 +78,9 @@ class Encoder:
             self._forget()
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = [w for ws in split for w in ws]
-        self.learned = len(self.place)
         fresh = [w for w in dict.fromkeys(words) if w not in self.place]
-        for w in fresh:
-            self.place[w] = len(self.place)
-        for at in range(0, len(fresh), 20_000):
-            self._learn(fresh[at : at + 20_000])
+        self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
+        self._learn(fresh)
         which = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         size = self.size[which]
         out = self.ids[np.repeat(self.start[which] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))]
