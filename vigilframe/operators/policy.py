@@ -24,18 +24,22 @@ def numbered(rules: DataFrame) -> DataFrame:
 def decide_flows(flows: DataFrame, rules: DataFrame, default: str = "deny") -> DataFrame:
     """The first matching rule of each distinct (src_ip, dst_ip, proto, port), else the default.
 
-    Distinct flows are joined to rules by the enclosing network of their source at the prefix lengths that rules use (at most 33
-    values, the only thing collected), then filtered by destination and port.
+    A rule is looked up by its more selective side, so rules for any source are met by destination. Distinct flows are joined by the enclosing
+    network of that side at the prefix lengths that rules use (at most 66 pairs of side and length, the only thing collected), then filtered by the
+    other side and the port.
     """
     r = numbered(rules)
-    lengths = sorted(x[0] for x in r.select("src_len").distinct().collect())
+    narrow = F.col("dst_len") > F.col("src_len")
+    r = r.withColumns({"side": F.when(narrow, "dst").otherwise("src"), "key_len": F.greatest("src_len", "dst_len"), "key_low": F.when(narrow, F.col("dst_low")).otherwise(F.col("src_low"))})
+    lengths = sorted((x[0], x[1]) for x in r.select("side", "key_len").distinct().collect())
     f = flows.select("src_ip", "dst_ip", "proto", "port").distinct()
     f = f.withColumns({"s": netaddr.ipv4_number(F.col("src_ip")), "d": netaddr.ipv4_number(F.col("dst_ip"))})
-    spread = f.withColumn("src_len", F.explode(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")))
-    spread = spread.withColumn("src_low", netaddr.prefix_of(F.col("s"), F.col("src_len")))
+    looked_up = [F.struct(F.lit(side).alias("side"), F.lit(n).alias("key_len")) for side, n in lengths]
+    spread = f.select("*", F.inline(F.array(*looked_up) if looked_up else F.expr("CAST(array() AS array<struct<side:string,key_len:int>>)")))
+    spread = spread.withColumn("key_low", netaddr.prefix_of(F.when(F.col("side") == "src", F.col("s")).otherwise(F.col("d")), F.col("key_len")))
     same_proto = (r["proto"] == "any") | (r["proto"] == spread["proto"])
-    hit = spread.join(r, ["src_len", "src_low"]).where(
-        F.col("d").between(F.col("dst_low"), F.col("dst_high")) & F.col("port").between(F.col("lo"), F.col("hi")) & same_proto)
+    hit = spread.join(r, ["side", "key_len", "key_low"]).where(
+        F.col("s").between(F.col("src_low"), F.col("src_high")) & F.col("d").between(F.col("dst_low"), F.col("dst_high")) & F.col("port").between(F.col("lo"), F.col("hi")) & same_proto)
     best = hit.groupBy("src_ip", "dst_ip", spread["proto"], "port").agg(F.min_by(F.struct("rule_id", "effect"), "ord").alias("b"))
     keys = ["src_ip", "dst_ip", "proto", "port"]
     return f.select(*keys).join(best, keys, "left").select(

@@ -278,15 +278,11 @@ CONTROL_CTES = f"{propagate_ctes('cr', ACCOUNTS, EXPOSURE_DEPTH, 0.2)}"
 EXPLOIT_CTES = f"{propagate_ctes('xr', 'SELECT start FROM entries', EXPOSURE_DEPTH, 0.05, 'reach', True)}"
 
 
-_MODELS: dict[tuple[str, str], risk.Exposure] = {}
-
-
 def model(t) -> risk.Exposure:
-    """The exposure model of one directory; its searches are written once per application and shared."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if key not in _MODELS:
-        _MODELS[key] = risk.Exposure(t.rel, t.obj, EXPOSURE_DEPTH)
-    return _MODELS[key]
+    """The exposure model of one query's tables; its searches are written once for that query."""
+    if not hasattr(t, "exposure"):
+        t.exposure = risk.Exposure(t.rel, t.obj, EXPOSURE_DEPTH)
+    return t.exposure
 
 
 @query("entry_reach", "obj rel", f"WITH {ENTRY_CTES} SELECT start, node, round(conf + 1e-10, 6) AS conf, depth, net AS hops FROM er")
