@@ -121,23 +121,29 @@ def walk(links: DataFrame, starts: DataFrame, depth: int = 3, backward: bool = T
                                                               F.lit(0.0).alias("confidence"), F.lit(0).alias("level"))
 
 
-def best_chains(links: DataFrame, starts: DataFrame, max_links: int = 12, beam: int = 3, floor: float = 0.1, min_conf: float = 0.3) -> DataFrame:
+def best_chains(links: DataFrame, starts: DataFrame, max_links: int = 6, branches: int = 3, floor: float = 0.1, min_conf: float = 0.3) -> DataFrame:
     """Best causal chain into each ``starts(start, node, bound_us)`` by summed support; no object twice.
 
-    The support of a link is its confidence, halved for every quarter of an hour (hyperbolically) before the link that follows it.
+    The support of a link is its confidence, halved for every quarter of an hour (hyperbolically) before the link that follows it. Every partial chain
+    goes on with its best ``branches`` links, so a start has at most branches^max_links of them; the first link is an observed one where there is any
+    (column ``kind``, if the links have it).
     """
-    usable = cut(links.where(F.col("confidence") >= min_conf))
-    state = cut(starts.select("start", F.array("node").alias("path"), "node", "bound_us", F.lit(0.0).alias("score"), F.lit(0).alias("n"), F.lit(True).alias("first")))
+    observed = F.col("kind") == "observed" if "kind" in links.columns else F.lit(True)
+    usable = cut(links.where(F.col("confidence") >= min_conf).select("cause", F.col("effect").alias("node"), "us", "confidence", "event_id", observed.alias("observed")))
+    state = cut(starts.select("start", F.array("node").alias("path"), F.array().cast("array<string>").alias("trail"), "node", "bound_us", F.lit(0.0).alias("score"), F.lit(0).alias("n")))
     done = [state.where("1 = 0")]
-    for _ in range(max_links):
-        j = state.join(usable.withColumnRenamed("effect", "node"), "node").where(
-            (F.col("us") <= F.col("bound_us")) & ~F.array_contains("path", F.col("cause")))
-        support = F.when(F.col("first"), F.col("confidence")).otherwise(F.col("confidence") / (1 + (F.col("bound_us") - F.col("us")) / F.lit(MINUTE_US) / 15))
-        grown = j.withColumn("support", support).where(F.col("support") >= floor).select(
-            "start", F.concat("path", F.array("cause")).alias("path"), F.col("cause").alias("node"), F.col("us").alias("bound_us"),
-            (F.col("score") + F.col("support")).alias("score"), (F.col("n") + 1).alias("n"), F.lit(False).alias("first"))
-        w = Window.partitionBy("start").orderBy(F.desc("score"), "path")
-        state = cut(grown.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= beam).drop("rk"))
+    for turn in range(max_links):
+        j = state.join(usable, "node").where((F.col("us") <= F.col("bound_us")) & ~F.array_contains("path", F.col("cause")))
+        if turn == 0:
+            j = j.withColumn("any_observed", F.max("observed").over(Window.partitionBy("start"))).where("observed OR NOT any_observed")
+            support = F.col("confidence")
+        else:
+            support = F.col("confidence") / (1 + (F.col("bound_us") - F.col("us")) / F.lit(MINUTE_US) / 15)
+        w = Window.partitionBy("start", "trail").orderBy(F.desc("support"), F.desc("us"), F.desc("cause"), F.desc("event_id"))
+        grown = j.withColumn("support", support).where(F.col("support") >= floor).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= branches)
+        state = cut(grown.select(
+            "start", F.concat("path", F.array("cause")).alias("path"), F.concat("trail", F.array("event_id")).alias("trail"), F.col("cause").alias("node"), F.col("us").alias("bound_us"),
+            (F.col("score") + F.col("support")).alias("score"), (F.col("n") + 1).alias("n")))
         if state.isEmpty():
             break
         done.append(state)

@@ -280,9 +280,10 @@ EXPLOIT_CTES = f"{propagate_ctes('xr', 'SELECT start FROM entries', EXPOSURE_DEP
 
 def model(t) -> risk.Exposure:
     """The exposure model of one query's tables; its searches are written once for that query."""
-    if not hasattr(t, "exposure"):
-        t.exposure = risk.Exposure(t.rel, t.obj, EXPOSURE_DEPTH)
-    return t.exposure
+    own = vars(t)
+    if "_exposure" not in own:
+        own["_exposure"] = risk.Exposure(t.rel, t.obj, EXPOSURE_DEPTH)
+    return own["_exposure"]
 
 
 @query("entry_reach", "obj rel", f"WITH {ENTRY_CTES} SELECT start, node, round(conf + 1e-10, 6) AS conf, depth, net AS hops FROM er")
