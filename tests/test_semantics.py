@@ -185,3 +185,77 @@ def test_first_match_policy(spark):
     assert got == {("10.0.0.5", 22): ("r1", "deny"), ("10.0.0.5", 80): ("r2", "allow"), ("11.0.0.1", 22): ("default", "deny")}
     kinds = {(x.rule_id, x.because): x.kind for x in policy.anomalies(rules).collect()}
     assert kinds == {("r3", "r2"): "shadowed", ("r2", "r1"): "conflicting"} or kinds == {("r3", "r2"): "shadowed", ("r2", "r1"): "conflicting", ("r3", "r1"): "conflicting"}
+
+
+def test_zones_of_both_address_families(spark):
+    from vigilframe.operators.network import most_specific
+
+    nets = [("10.0.0.0/8", "a"), ("10.1.0.0/16", "b"), ("2001:db8::/32", "c"), ("2001:db8:0:1::/64", "d"), ("fe80::/10", "e"), ("2001:db8::1", "f")]
+    wanted = {"10.1.2.3": "b", "10.9.9.9": "a", "8.8.8.8": None, "2001:db8::5": "c", "2001:DB8:0:1::9": "d", "fe80::1%eth0": "e", "2001:db8::1": "f", "ff02::1": None, "bad": None, "1::2::3": None}
+    out = most_specific(spark.createDataFrame([(i,) for i in wanted], "ip string"), "ip", spark.createDataFrame(nets, "cidr string, zone string"), "zone")
+    assert {r.ip: r.zone for r in out.collect()} == wanted
+
+
+def test_windows_by_running_sums(spark):
+    import random
+
+    from vigilframe.operators.timeline import max_window
+
+    rng = random.Random(2)
+    events = [(k, rng.randrange(-5000, 5000), f"e{i:04d}") for i in range(600) for k in ("a", None)]
+    out = {r.k: tuple(r)[1:] for r in max_window(spark.createDataFrame(events, "k string, us long, id string"), ["k"], 700).collect()}
+    for key, best in out.items():
+        mine = [(us, i) for k, us, i in events if k == key]
+        n, end = max(((sum(t - 700 <= us <= t for us, _ in mine), -t) for t, _ in mine))
+        inside = sorted((us, i) for us, i in mine if -end - 700 <= us <= -end)
+        assert best == (n, inside[0][0], -end, inside[0][1], max(i for us, i in mine if us == -end))
+
+
+def test_one_crowded_window(spark):
+    from pyspark.sql import functions as F
+
+    from vigilframe.operators.timeline import max_window
+
+    events = spark.range(200_000).select(F.lit("k").alias("k"), F.col("id").alias("us"), F.col("id").cast("string").alias("id"))
+    assert max_window(events, ["k"], 1_000_000).first().n == 200_000
+
+
+def test_newest_before(spark):
+    import random
+
+    from vigilframe.operators.timeline import latest_before
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.randrange(3000), i) for i in range(200)]
+    facts = [(rng.choice("ab"), rng.randrange(3000), f"v{i}") for i in range(60)]
+    out = latest_before(spark.createDataFrame(rows, "k string, us long, no int"), spark.createDataFrame(facts, "k string, us long, v string"), ["k"], ["v"], 250)
+    found = {r.no: (r.latest.us, r.latest.v) for r in out.collect()}
+    wanted = {no: max(m) for k, us, no in rows if (m := [(u, v) for f, u, v in facts if f == k and us - 250 <= u <= us])}
+    assert found == wanted
+
+
+def test_many_sources_of_one_fact(spark):
+    from vigilframe.operators.trace import corroborate
+
+    rows = [("a", "b", "R", 1, 0.9 if i == 1499 else 0.001, f"e{i:05d}", f"s{i}") for i in range(1500)]
+    out = corroborate(spark.createDataFrame(rows, "cause string, effect string, relation string, us long, confidence double, event_id string, source string"), cap=1.0).first()
+    assert out.sources == 1500 and out.confidence > 0.94  # the last source counts too
+
+
+def test_references_short_unknown_and_by_alias(spark):
+    from vigilframe.operators.search import resolve
+
+    objects = spark.createDataFrame([("host:db1", "DB One"), ("host:db2", "db two"), ("user:al", "Al")], "id string, name string")
+    aliases = spark.createDataFrame([("host:db2", "billing")], "id string, alias string")
+    refs = spark.createDataFrame([("db",), ("al",), ("host:db1",), ("nothing",), ("Billing",), ("o",)], "ref string")
+    out = {r.ref: (r.id, r.candidates) for r in resolve(refs, objects, aliases).collect()}
+    assert out == {"db": ("host:db1", 2), "al": ("user:al", 1), "host:db1": ("host:db1", 1), "nothing": (None, 0), "Billing": ("host:db2", 1), "o": ("host:db1", 2)}
+
+
+def test_key_block_without_end_is_masked(spark):
+    from pyspark.sql import functions as F
+
+    from vigilframe.functions.text import redact_text
+
+    text = "before -----BEGIN RSA PRIVATE KEY-----\nMIIabc\ndef\n"
+    assert spark.range(1).select(redact_text(F.lit(text))).first()[0] == "before [REDACTED]"

@@ -52,6 +52,42 @@ def prefix_of(address_number: Column, length: Column) -> Column:
     return address_number - address_number % size
 
 
+def address_key(text: Column) -> Column:
+    """An address of either family as (family, hi, lo): 4 with its number in ``lo``, 6 with its 128 bits as two longs; null if it is no address."""
+
+    def six(ip: Column) -> Column:
+        def groups(part: Column) -> Column:
+            return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
+
+        def filled(sides: Column) -> Column:
+            left, right = groups(sides[0]), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+            zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))
+            return F.when(F.size(sides) == 2, F.concat(left, zeros, right)).when(F.size(sides) == 1, left)
+
+        def packed(all_groups: Column) -> Column:
+            whole = (F.size(all_groups) == 8) & F.forall(all_groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+            return once(F.when(whole, F.array_join(F.transform(all_groups, lambda g: F.lpad(g, 4, "0")), "")), lambda digits: F.when(digits.isNotNull(), F.struct(
+                F.lit(6).alias("family"), F.conv(F.substring(digits, 1, 16), 16, -10).cast("long").alias("hi"), F.conv(F.substring(digits, 17, 16), 16, -10).cast("long").alias("lo"))))
+
+        return once(once(F.split(ip, "::"), filled), packed)
+
+    def either(ip: Column) -> Column:
+        four = F.struct(F.lit(4).alias("family"), F.lit(0).cast("long").alias("hi"), ipv4_number(ip).alias("lo"))
+        return F.when(ip.rlike(V4), four).when(F.contains(ip, F.lit(":")), six(ip))
+
+    return once(clean_ip(text), either)
+
+
+def network_key(family: Column, hi: Column, lo: Column, length: Column) -> Column:
+    """(hi, lo) of the network an address lies in at a prefix length of its family."""
+
+    def masked(half: Column, bits: Column) -> Column:
+        return F.when(bits <= 0, F.lit(0).cast("long")).when(bits >= 64, half).otherwise(half.bitwiseAND(F.call_function("shiftleft", F.lit(-1).cast("long"), (64 - bits).cast("int"))))
+
+    four = F.struct(hi.alias("hi"), masked(lo, length + 32).alias("lo"))
+    return F.when(family == 4, four).otherwise(F.struct(masked(hi, length).alias("hi"), masked(lo, length - 64).alias("lo")))
+
+
 def ip_scope(text: Column, extra: list[str] | None = None) -> Column:
     """internal, public, loopback, link-local, multicast, unspecified, reserved; null if not an address.
 

@@ -9,18 +9,20 @@ from vigilframe.functions import netaddr
 
 
 def most_specific(rows: DataFrame, address: str, networks: DataFrame, value: str, cidr: str = "cidr") -> DataFrame:
-    """``value`` of the smallest IPv4 network around each address, null where there is none.
+    """``value`` of the smallest network around each address, of either address family; null where there is none.
 
-    Distinct addresses are expanded to their enclosing network at each of the 33 prefix lengths and joined by
-    equality; a repeated address costs one lookup.
+    Distinct addresses are expanded to their enclosing network at each prefix length of their family and joined by equality; a repeated address
+    costs one lookup.
     """
-    nets = networks.select(
-        netaddr.network_low(F.col(cidr)).alias("low"), netaddr.prefix_length(F.col(cidr)).alias("len"), F.col(value))
-    nets = nets.groupBy("low", "len").agg(F.min(value).alias(value))
-    n = netaddr.ipv4_number(netaddr.clean_ip(F.col(address)))
-    ips = rows.select(F.col(address)).distinct().withColumn("n", n).where("n IS NOT NULL")
-    spread = ips.withColumn("len", F.explode(F.sequence(F.lit(0), F.lit(32)))).withColumn("low", netaddr.prefix_of(F.col("n"), F.col("len")))
-    best = spread.join(nets, ["low", "len"]).groupBy(address).agg(F.max_by(value, "len").alias(value))
+    base, bits = F.substring_index(F.col(cidr), "/", 1), F.when(F.instr(cidr, "/") > 0, F.substring_index(F.col(cidr), "/", -1).try_cast("int"))
+    nets = networks.select(F.col(value), netaddr.address_key(base).alias("a"), bits.alias("bits")).where("a IS NOT NULL")
+    nets = nets.select(value, F.col("a.family").alias("family"), "a.hi", "a.lo", F.coalesce("bits", F.when(F.col("a.family") == 4, 32).otherwise(128)).alias("len"))
+    nets = nets.withColumn("n", netaddr.network_key(F.col("family"), F.col("hi"), F.col("lo"), F.col("len"))).groupBy("family", "len", "n.hi", "n.lo").agg(F.min(value).alias(value))
+    ips = rows.select(F.col(address)).distinct().withColumn("a", netaddr.address_key(F.col(address))).where("a IS NOT NULL")
+    ips = ips.select(address, F.col("a.family").alias("family"), F.col("a.hi").alias("h"), F.col("a.lo").alias("l"))
+    spread = ips.withColumn("len", F.explode(F.sequence(F.lit(0), F.when(F.col("family") == 4, 32).otherwise(128))))
+    spread = spread.withColumn("n", netaddr.network_key(F.col("family"), F.col("h"), F.col("l"), F.col("len"))).select(address, "family", "len", "n.hi", "n.lo")
+    best = spread.join(nets, ["family", "len", "hi", "lo"]).groupBy(address).agg(F.max_by(value, "len").alias(value))
     return rows.join(best, address, "left")
 
 
