@@ -29,6 +29,7 @@ DEPTH = 8  # slots that one order sorts by
 NEIGHBOURS = 3  # entries before and after that are looked at in each order
 SKETCH_AGREE = 98  # of 128 two-bit slots: below it a link at 0.85 is out by more than four standard deviations
 BEST = 3  # candidates of each set that the first round compares; later ones compare all that is open between different components
+FRIEND_ROUNDS = 2  # rounds whose refused pairs propose the other text's best-linked neighbour
 PART_ROWS = 100_000  # rows of pairs or links that one task writes
 ROUNDS = 100  # a guard: every round compares pairs that no earlier one has, so the rounds end by themselves
 
@@ -253,7 +254,7 @@ def _resolved(rows: DataFrame, percent: int, size: int) -> DataFrame:
     members = open_pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     texts = cut(rows.select("row", "packed").join(classes.join(members, "set_id"), "row").select("set_id", "packed"))
     checked, roots = None, None
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         left = open_pairs
         if checked is None:  # each set's best neighbours first; links between those usually join a whole group, and the rest need no comparison
             ends = left.select(F.col("a").alias("n"), "a", "b", "agree").unionByName(left.select(F.col("b").alias("n"), "a", "b", "agree"))
@@ -272,7 +273,8 @@ def _resolved(rows: DataFrame, percent: int, size: int) -> DataFrame:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         checked = fresh if checked is None else cut(checked.unionByName(fresh).coalesce(parts))
         roots = cut(components(links, parts).coalesce(parts))
-        open_pairs = cut(open_pairs.select("a", "b").unionByName(_friends(fresh, checked.where("linked").select("a", "b"))).distinct().coalesce(parts))
+        if turn < FRIEND_ROUNDS:
+            open_pairs = cut(open_pairs.select("a", "b").unionByName(_friends(fresh, checked.where("linked").select("a", "b"))).distinct().coalesce(parts))
     else:
         raise RuntimeError(f"near-duplicate candidates are left after {ROUNDS} rounds")
     named = classes.select("set_id")
