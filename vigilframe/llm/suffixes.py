@@ -33,6 +33,7 @@ RUN_ENTRIES = 1 << 20  # entries of one sorted run
 BLOCK_ENTRIES = 4096
 RANGE_BYTES = 32 << 20  # text for which one more range is made
 HEADS_PER_RANGE = 40
+GROUP = 16  # strings around an anchor that are first judged together
 WHOLE, PARTLY = 1, 2  # the surroundings repeat; the anchor also stands in other surroundings
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -77,13 +78,26 @@ class Anchors:
         low, high = self.around()
         return mixed(spans_hash(self.data, low, high, self.sums) + (self.place - low).astype(np.uint64))
 
-    def strings(self, which: np.ndarray) -> np.ndarray:
-        """Starts of the strings whose smallest hash stands at one of these anchors."""
-        start = (self.place[which][:, None] - np.arange(WINDOW)[None, :]).ravel()
-        owner = np.repeat(self.value[self.place[which]], WINDOW)
-        fits = start >= 0
-        start, owner = start[fits], owner[fits]
-        return np.unique(start[self.least[start] == owner])
+    def groups(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The strings whose smallest hash stands at these anchors (the leftmost of equal ones), in groups of ``GROUP`` by their distance to it.
+
+        Per group: hash of the bytes that all its possible strings share, hash of all bytes of the strings it has, anchor, first start, number of strings.
+        """
+        order = np.lexsort((self.place, self.value[self.place]))
+        before = np.full(len(self.place), -1)
+        before[order[1:]] = np.where(self.value[self.place[order[1:]]] == self.value[self.place[order[:-1]]], self.place[order[:-1]], -1)
+        place, apart = self.place[which], np.arange(-(-WINDOW // GROUP) * GROUP)
+        start = place[:, None] - apart[None, :]
+        own = (start > before[which][:, None]) & (apart < WINDOW)[None, :]
+        own &= self.least[np.maximum(start, 0)] == self.value[place][:, None]
+        own = own.reshape(len(place), -1, GROUP)
+        anchor, group = np.nonzero(own.any(axis=2))
+        mine = own[anchor, group]
+        last = place[anchor] - group * GROUP - mine.argmax(axis=1)
+        first = place[anchor] - group * GROUP - (GROUP - 1 - mine[:, ::-1].argmax(axis=1))
+        core = place[anchor] - group * GROUP
+        shared = mixed(spans_hash(self.data, core, core - GROUP + 1 + STRING, self.sums) + group.astype(np.uint64) + np.uint64(1))
+        return shared, spans_hash(self.data, first, last + STRING, self.sums), anchor, first, last - first + 1
 
 
 def front_coded(keys: np.ndarray) -> bytes:
@@ -322,21 +336,64 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
     return texts.select("row", "packed").mapInArrow(list_, "around long, row long, place int")
 
 
-def string_rows(texts: DataFrame) -> DataFrame:
-    """(string, row, start) for every string whose anchor also stands in other surroundings. ``texts``: row, packed, partly (places)."""
+def group_rows(texts: DataFrame) -> DataFrame:
+    """(core, full, row, first, n) of the groups of strings around anchors that also stand in other surroundings. ``texts``: row, packed, partly (places)."""
 
     def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, places = batch.column(0).to_numpy(), batch.column(2)
-            for first, last, data, offsets in _opened(batch, 1):
+            for first_row, last_row, data, offsets in _opened(batch, 1):
                 a = Anchors(data, offsets)
-                wanted = np.concatenate([np.array(places[k].as_py(), np.int64) + offsets[k - first] for k in range(first, last)])
-                start = a.strings(np.searchsorted(a.place, np.sort(wanted)))
-                text = np.searchsorted(offsets, start, "right") - 1
-                own = spans_hash(data, start, start + STRING, a.sums).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(rows[first + text]), pa.array((start - offsets[text]).astype(np.int32))], names=["string", "row", "start"])
+                wanted = np.concatenate([np.array(places[k].as_py(), np.int64) + offsets[k - first_row] for k in range(first_row, last_row)])
+                which = np.searchsorted(a.place, np.sort(wanted))
+                core, full, anchor, first, n = a.groups(which)
+                text = a.text[which[anchor]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(core.view(np.int64)), pa.array(full.view(np.int64)), pa.array(rows[first_row + text]), pa.array((first - offsets[text]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    names=["core", "full", "row", "first", "n"],
+                )
+
+    return texts.select("row", "packed", "partly").mapInArrow(list_, "core long, full long, row long, first int, n int")
 
-    return texts.select("row", "packed", "partly").mapInArrow(list_, "string long, row long, start int")
+
+def string_rows(texts: DataFrame) -> DataFrame:
+    """(string, row, start) of every string of open groups; strings of groups that are settled come without a place. ``texts``: row, packed, open (first, n, settled)."""
+
+    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, opened = batch.column(0).to_numpy(), batch.column(2)
+            for first_row, last_row, data, offsets in _opened(batch, 1):
+                sums = prefix_hash(data)
+                groups = [(g["first"] + int(offsets[k - first_row]), g["n"], k, g["settled"]) for k in range(first_row, last_row) for g in opened[k].as_py()]
+                first, n, owner, settled = (np.array(x) for x in zip(*groups, strict=True))
+                start = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+                owner, settled = np.repeat(owner, n), np.repeat(settled, n).astype(bool)
+                own = spans_hash(data, start, start + STRING, sums).view(np.int64)
+                known = np.unique(own[settled])
+                yield pa.RecordBatch.from_arrays([pa.array(known), pa.nulls(len(known), pa.int64()), pa.nulls(len(known), pa.int32())], names=["string", "row", "start"])
+                fresh = ~settled
+                yield pa.RecordBatch.from_arrays([pa.array(own[fresh]), pa.array(rows[owner[fresh]]), pa.array((start[fresh] - offsets[owner[fresh] - first_row]).astype(np.int32))], names=["string", "row", "start"])
+
+    return texts.select("row", "packed", "open").mapInArrow(list_, "string long, row long, start int")
+
+
+def repeated_strings(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(row, runs, starts): where strings around partly repeated anchors repeat; runs are (first, n) of neighbouring starts.
+
+    A string of a group can only repeat if the bytes shared by the group do; if all bytes of a group repeat, all its strings do. Only groups in between
+    are opened, together with the settled ones that share their bytes.
+    """
+    groups = cut(group_rows(texts.select("row", "packed").join(places.where(F.size("partly") > 0).select("row", "partly"), "row")))
+    keys = groups.select(F.explode(F.array("core", "full")).alias("key")).groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    groups = groups.join(keys.select(F.col("key").alias("core")), "core").join(keys.select(F.col("key").alias("full"), F.lit(True).alias("settled")), "full", "left")
+    groups = cut(groups.select("core", "row", "first", "n", F.coalesce("settled", F.lit(False)).alias("settled")))
+    unsettled = groups.groupBy("core").agg(F.bool_and("settled").alias("all")).where("NOT all").select("core")
+    opened = groups.join(unsettled, "core").groupBy("row").agg(F.collect_list(F.struct("first", "n", "settled")).alias("open"))
+    strings = cut(string_rows(texts.select("row", "packed").join(opened, "row")))
+    repeated = strings.groupBy("string").agg(F.count("*").alias("times")).where("times > 1").select("string")
+    starts = strings.where("row IS NOT NULL").join(repeated, "string").groupBy("row").agg(F.collect_list("start").alias("starts"))
+    runs = groups.where("settled").groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    return runs.join(starts, "row", "full")
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -347,7 +404,7 @@ def _removal(joined: DataFrame) -> DataFrame:
         tool = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, packed, whole, starts in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for doc_id, packed, whole, runs, starts in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 data = np.frombuffer(tool.decompress(packed), np.uint8)
                 n = len(data)
                 depth = np.zeros(n + 1, np.int64)
@@ -355,6 +412,10 @@ def _removal(joined: DataFrame) -> DataFrame:
                     begin = np.array(starts, np.int64)
                     np.add.at(depth, begin, 1)
                     np.add.at(depth, begin + STRING, -1)
+                if runs:
+                    begin, many = (np.array([r[c] for r in runs], np.int64) for c in ("first", "n"))
+                    np.add.at(depth, begin, 1)
+                    np.add.at(depth, begin + many - 1 + STRING, -1)
                 if whole:
                     begin = np.maximum(np.array(whole, np.int64) - (WINDOW - 1), 0)
                     end = np.minimum(np.array(whole, np.int64) + STRING, n)
@@ -366,7 +427,7 @@ def _removal(joined: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.select("doc_id", "packed", "whole", "starts").mapInArrow(remove, REMOVED)
+    return joined.select("doc_id", "packed", "whole", "runs", "starts").mapInArrow(remove, REMOVED)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -382,8 +443,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     flagged = anchor_rows(texts).join(marks, "around")
     whole, partly = F.expr("mark & 1 = 1"), F.expr("mark & 2 = 2")
     places = cut(flagged.groupBy("row").agg(F.collect_list(F.when(whole, F.col("place"))).alias("whole"), F.collect_list(F.when(partly, F.col("place"))).alias("partly")))
-    strings = cut(string_rows(texts.select("row", "packed").join(places.where(F.size("partly") > 0).select("row", "partly"), "row")))
-    repeated = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    starts = strings.join(repeated, "string").groupBy("row").agg(F.collect_list("start").alias("starts"))
-    spans = places.select("row", "whole").join(starts, "row", "left")
+    spans = places.select("row", "whole").join(repeated_strings(texts, places), "row", "left")
     return _removal(texts.select("row", "doc_id", "packed").join(spans, "row", "left"))
