@@ -25,6 +25,7 @@ from vigilframe.llm.common import Words, cut, flat, fold, lowered, mixed, pieces
 FOLDS = 10
 ORDER = 4
 CHUNK_BYTES = 48 << 20  # text of one chunk
+SETTLE_KEYS = 1_500_000  # keys a chunk holds before equal ones are summed
 RANGE_BYTES = 16 << 20  # text for which one more range of keys is made
 TOKEN, GRAM = 0, 1
 END_TOKEN = np.uint64(0x656E64)
@@ -95,7 +96,7 @@ class Report:
             self.keys[kind].append(_summed(keys, train[text].astype(np.int64)))
             self.pending += len(self.keys[kind][-1][0])
         self.bytes += len(data)
-        if self.pending > 4_000_000:
+        if self.pending > SETTLE_KEYS:
             self.settle()
 
     def settle(self) -> None:
