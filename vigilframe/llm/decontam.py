@@ -154,7 +154,7 @@ def _pass(docs: DataFrame, phrases: Phrases) -> DataFrame:
                     before = old_spans[k].as_py() or []
                     new_spans.append(_merged(before + s) if s else before)
                     new_items.append(sorted({*(old_items[k].as_py() or []), *(i or [])}))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, pa.array(new_spans, _SPANS), pa.array(new_items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, pa.array(new_spans, _SPANS), pa.array(new_items, pa.list_(pa.string())), *batch.columns[5:]], names=batch.schema.names)
 
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -169,7 +169,8 @@ def _pass(docs: DataFrame, phrases: Phrases) -> DataFrame:
                     shard, waiting, row, held = Shard(phrases), [], 0, 0
         yield from flush()
 
-    return docs.mapInArrow(search, FOUND)
+    carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[5:])
+    return docs.mapInArrow(search, FOUND + carried)
 
 
 def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, str]]]:
@@ -184,9 +185,9 @@ def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[
     yield block
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text, n_words, spans, items): merged spans of hit words, end exclusive, and the ids of the items that occur."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("CAST(NULL AS array<struct<start:long,end:long>>)").alias("spans"), F.expr("CAST(NULL AS array<string>)").alias("items"))
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, n_words, spans, items, and the columns named in ``carry``): merged spans of hit words, end exclusive, and the ids of the items that occur."""
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("CAST(NULL AS array<struct<start:long,end:long>>)").alias("spans"), F.expr("CAST(NULL AS array<string>)").alias("items"), *(F.col(c) for c in carry))
     for block in blocks_of(benchmark):
         out = _pass(out, phrases_of(block, window))
     return out
