@@ -28,7 +28,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects contaminated documents; the others stay whole."""
-    return decontam.judged(decontam.find(docs, table(spark, sf_dir, "benchmark"))).where("NOT contaminated").select(*COLUMNS)
+    return decontam.judged(decontam.find(docs, table(spark, sf_dir, "benchmark"), carry=COLUMNS[2:])).where("NOT contaminated").select(*COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
