@@ -131,6 +131,23 @@ def test_near_duplicates(docs, empty):
     assert len([t for _, t in rows if brute.shingles(t)]) == len({c for _, _, c, _ in brute.near([(k, t) for k, (_, t) in enumerate(corpus()) if brute.shingles(t)])}) <= len(wanted)
 
 
+def test_near_duplicates_of_a_crowd(spark):
+    """1,500 different edits of one text, all linked to it but hardly to each other: more than any order's neighbours can show."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [base]
+    for _ in range(1500):
+        words = list(base)
+        for k in range(6):
+            words[5 + 65 * k + rng.randrange(60)] = f"x{rng.randrange(10**7)}"
+        texts.append(words)
+    middle, *edits = (brute.shingles(" ".join(w)) for w in texts)
+    assert all(100 * len(middle & e) >= 85 * len(middle | e) for e in edits)
+    assert sum(100 * len(e & f) >= 85 * len(e | f) for e, f in zip(edits, edits[1:], strict=False)) < 15
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert {r.component_id for r in neardup.near_duplicates(table).collect()} == {0}
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 

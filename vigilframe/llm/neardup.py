@@ -4,7 +4,8 @@ Every document's set of word shingles gets one minhash signature. The signature
 over all documents by range partitions, so a crowded region is spread over many tasks. In a sorted order the neighbours with the longest common
 prefix are the candidates: where many documents share a prefix, the sort goes on to deeper slots by itself, which is the depth that adapts to each
 region. A sketch kept in each entry drops neighbours that are plainly different. What is left is compared on the full sets, hub by hub, and the
-confirmed links are closed to components.
+confirmed links are closed to components. A refused pair proposes the hubs of either side to the other, until none proposes a new pair: so all edits
+of one text meet it, however many of them crowd around it.
 
 Equal sets are one class from the start, so copies are never paired with each other. A text without words is linked with nothing.
 """
@@ -14,27 +15,30 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.llm.common import Words, cut, flat, lowered, mixed, pieces, runs_of
 
 SHINGLE = 5
 SLOTS = 128
-ORDERS = 16
-DEPTH = 8  # slots that one order sorts by
+ORDERS = 20
+WHOLE = 2  # slots that stand whole at the start of a sort key
+DEPTH = 18  # slots that one order sorts by; those after the first ``WHOLE`` give 16 bits each
 NEIGHBOURS = 3  # entries before and after that are looked at in each order
 SKETCH_AGREE = 98  # of 128 two-bit slots: below it a link at 0.85 is out by more than four standard deviations
 BEST = 3  # candidates of each set that the first round compares; later ones compare all that is open between different components
-FRIEND_ROUNDS = 2  # rounds whose refused pairs propose the other text's best-linked neighbour
+HUB = 2  # a neighbour with so many times a text's links counts as a hub of it
 PART_ROWS = 100_000  # rows of pairs or links that one task writes
 ROUNDS = 100  # a guard: every round compares pairs that no earlier one has, so the rounds end by themselves
 
 _SEEDS = np.random.default_rng(85).integers(1, 1 << 63, (2, SLOTS), dtype=np.uint64) | np.uint64(1)
 _LAYOUT = np.stack([np.random.default_rng(order).permutation(SLOTS)[:DEPTH] for order in range(ORDERS)])
+_TIES = np.random.default_rng(86).integers(1, 1 << 63, ORDERS, dtype=np.uint64) | np.uint64(1)
 
 SIGNED = "doc_id long, n_shingles long, set_id binary, signature binary, packed binary"
 
@@ -83,19 +87,23 @@ def signed(docs: DataFrame, size: int = SHINGLE, carry: tuple[str, ...] = ()) ->
 
 
 def _entries(sets: DataFrame) -> DataFrame:
-    """One row per set and order: the key that is sorted, the two-bit sketch, the set."""
+    """One row per set and order: the key that is sorted (order, slots, and a tie-break of this order's own), the two-bit sketch, the set."""
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 slots = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, SLOTS)
-                bits = np.unpackbits((slots & 3).astype(np.uint8)[:, :, None], axis=2)[:, :, 6:].reshape(len(slots), -1)
-                sketch = np.packbits(bits, axis=1)
+                sketch = _sketch(slots)
                 n = len(slots)
-                keys = np.zeros((n, ORDERS, 1 + 4 * DEPTH), dtype=np.uint8)
-                keys[:, :, 0] = np.arange(ORDERS)
-                keys[:, :, 1:] = np.ascontiguousarray(slots[:, _LAYOUT].astype(">u4")).view(np.uint8).reshape(n, ORDERS, 4 * DEPTH)
+                laid = slots[:, _LAYOUT]
+                ties = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint64).reshape(n, -1)[:, :1] * _TIES
+                keys = np.concatenate([
+                    np.broadcast_to(np.arange(ORDERS, dtype=np.uint8)[None, :, None], (n, ORDERS, 1)),
+                    np.ascontiguousarray(laid[:, :, :WHOLE].astype(">u4")).view(np.uint8),
+                    np.ascontiguousarray(laid[:, :, WHOLE:].astype(np.uint16).astype(">u2")).view(np.uint8),
+                    (ties >> np.uint64(48)).astype(">u2")[:, :, None].view(np.uint8),
+                ], axis=2)
                 numbers = np.repeat(np.arange(n), ORDERS)
                 yield pa.RecordBatch.from_arrays(
                     [_fixed(keys.reshape(n * ORDERS, -1)), _fixed(sketch).take(pa.array(numbers)), part.column(0).take(pa.array(numbers))], names=["key", "sketch", "set_id"],
@@ -104,6 +112,18 @@ def _entries(sets: DataFrame) -> DataFrame:
     return sets.select("set_id", "signature").mapInArrow(lay_out, "key binary, sketch binary, set_id binary")
 
 
+def _sketch(slots: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits((slots & 3).astype(np.uint8)[:, :, None], axis=2)[:, :, 6:].reshape(len(slots), -1)
+    return np.packbits(bits, axis=1)
+
+
+def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slots in which two-bit sketches agree."""
+    apart = x ^ y
+    apart = (apart | (apart >> 1)) & 0x55
+    return SLOTS - np.bitwise_count(apart).sum(axis=1, dtype=np.int64)
+
+
 def _fixed(rows: np.ndarray) -> pa.Array:
     n, width = rows.shape
     offsets = np.arange(0, (n + 1) * width, width, dtype=np.int32)
@@ -117,9 +137,7 @@ def _close(keys: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if len(keys) <= lag:
             break
         near = np.flatnonzero((keys[lag:, :5] == keys[:-lag, :5]).all(axis=1))
-        apart = sketches[near + lag] ^ sketches[near]
-        apart = (apart | (apart >> 1)) & 0x55
-        same = SLOTS - np.bitwise_count(apart).sum(axis=1, dtype=np.int64)
+        same = _agreeing(sketches[near + lag], sketches[near])
         keep = same >= SKETCH_AGREE
         left.append(near[keep])
         right.append(near[keep] + lag)
@@ -252,7 +270,8 @@ def _resolved(rows: DataFrame, percent: int, size: int) -> DataFrame:
     open_pairs = cut(candidates(rows.select("row", "signature").join(classes, "row").select("set_id", "signature")))
     parts = max(8, -(-open_pairs.count() // PART_ROWS))
     members = open_pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    texts = cut(rows.select("row", "packed").join(classes.join(members, "set_id"), "row").select("set_id", "packed"))
+    # the sketch stays beside the text: proposals are judged by it before texts are compared
+    texts = cut(rows.select("row", "packed", "signature").join(classes.join(members, "set_id"), "row").select("set_id", "packed", _sketches("signature").alias("sketch")))
     checked, roots = None, None
     for turn in range(ROUNDS):
         left = open_pairs
@@ -261,10 +280,9 @@ def _resolved(rows: DataFrame, percent: int, size: int) -> DataFrame:
             best = F.slice(F.sort_array(F.collect_list(F.struct("agree", "a", "b")), asc=False), 1, BEST)  # of at most 2 * NEIGHBOURS * ORDERS
             left = ends.groupBy("n").agg(best.alias("p")).select(F.inline("p")).select("a", "b").distinct()
         else:
-            left = left.join(checked, ["a", "b"], "left_anti")
-            for end in ("a", "b"):
-                left = left.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-            left = left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+            links = checked.where("linked").select("a", "b")
+            proposed = _apart(_proposed(cut(_apart(checked.where("NOT linked").select("a", "b"), roots)), links).join(checked, ["a", "b"], "left_anti"), roots)
+            left = _apart(left.select("a", "b").join(checked, ["a", "b"], "left_anti"), roots).unionByName(_alike(proposed, texts)).distinct()
         fresh = cut(confirmed(left, texts, percent, size).coalesce(16 * parts))
         if fresh.isEmpty():
             break
@@ -273,8 +291,6 @@ def _resolved(rows: DataFrame, percent: int, size: int) -> DataFrame:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         checked = fresh if checked is None else cut(checked.unionByName(fresh).coalesce(parts))
         roots = cut(components(links, parts).coalesce(parts))
-        if turn < FRIEND_ROUNDS:
-            open_pairs = cut(open_pairs.select("a", "b").unionByName(_friends(fresh, checked.where("linked").select("a", "b"))).distinct().coalesce(parts))
     else:
         raise RuntimeError(f"near-duplicate candidates are left after {ROUNDS} rounds")
     named = classes.select("set_id")
@@ -318,12 +334,47 @@ def kept_rows(docs: DataFrame, percent: int = 85, size: int = SHINGLE) -> DataFr
     return chosen.mapInArrow(unpack, schema).select(*(F.col(c if c in ("doc_id", "text") else f"carried_{c}").alias(c) for c in docs.columns))
 
 
-def _friends(fresh: DataFrame, links: DataFrame) -> DataFrame:
-    """For a pair that was just refused: each side with the most linked neighbour of the other side, which is often the text both were made from."""
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The (a, b) whose ends are in different components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def _proposed(refused: DataFrame, links: DataFrame) -> DataFrame:
+    """For every refused pair: each side with the hubs of the other, one of which is often the text both were made from.
+
+    Hubs of a text are its most linked neighbour and all neighbours with ``HUB`` times its own links or more. ``refused`` is all that was refused so
+    far, because a side may have got its first link, or a new hub, since.
+    """
     ends = links.select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(links.select(F.col("b").alias("n"), F.col("a").alias("m")))
     degree = ends.groupBy("n").agg(F.count("*").alias("degree"))
-    hub = ends.join(degree.select(F.col("n").alias("m"), "degree"), "m").groupBy("n").agg(F.max_by("m", F.struct("degree", "m")).alias("hub"))
-    refused = fresh.where("NOT linked")
-    one = refused.join(hub.withColumnRenamed("n", "b"), "b").select("a", F.col("hub").alias("b"))
-    other = refused.join(hub.withColumnRenamed("n", "a"), "a").select("b", F.col("hub").alias("a"))
+    rated = ends.join(degree.select(F.col("n").alias("m"), "degree"), "m")
+    top = rated.groupBy("n").agg(F.max_by("m", F.struct("degree", "m")).alias("hub"))
+    large = rated.join(degree.withColumnRenamed("degree", "own"), "n").where(F.col("degree") >= HUB * F.col("own")).select("n", F.col("m").alias("hub"))
+    hubs = cut(top.unionByName(large).distinct())
+    one = refused.join(hubs.withColumnRenamed("n", "b"), "b").select("a", F.col("hub").alias("b"))
+    other = refused.join(hubs.withColumnRenamed("n", "a"), "a").select("b", F.col("hub").alias("a"))
     return one.unionByName(other).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _sketches(signature: str) -> Column:
+    def lay(signatures: pd.Series) -> pd.Series:
+        if signatures.empty:
+            return signatures
+        return pd.Series([r.tobytes() for r in _sketch(np.frombuffer(b"".join(signatures), np.uint32).reshape(-1, SLOTS))])
+
+    return F.pandas_udf(lay, "binary")(signature)
+
+
+def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose sketches agree as much as a candidate's must."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for b in batches if b.num_rows):
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array(_agreeing(x, y) >= SKETCH_AGREE))
+
+    for end, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(texts.select(F.col("set_id").alias(end), F.col("sketch").alias(name)), end)
+    return pairs.select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
