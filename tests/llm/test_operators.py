@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import sys
 import zlib
 from pathlib import Path
@@ -117,6 +118,49 @@ def test_secret_scan(docs, empty):
     assert secretscan.with_spans(empty).count() == 0
 
 
+def ways(parsed, rng):
+    """A random text that a parsed expression matches."""
+    out = ""
+    for op, x in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(x)
+        elif name == "NOT_LITERAL":
+            out += "x"
+        elif name == "IN":
+            kind, y = rng.choice(x)
+            out += chr(y if str(kind) == "LITERAL" else rng.randint(*y))
+        elif name == "MAX_REPEAT":
+            out += "".join(ways(x[2], rng) for _ in range(rng.randint(x[0], min(x[1], x[0] + 2))))
+        elif name == "BRANCH":
+            out += ways(rng.choice(x[1]), rng)
+        elif name == "SUBPATTERN":
+            out += ways(x[3], rng)
+        else:
+            raise ValueError(name)
+    return out
+
+
+def test_license_gates_hold_for_all_a_rule_matches():
+    rng = random.Random(9)
+    shut = set()
+    for rule in licenses.rules():
+        for _ in range(60):
+            text = ways(re._parser.parse(rule.expression), rng)
+            raw = text.replace(" ", "\n")
+            if not set(rule.keywords) <= set(text.split()) or not (any(stem in raw for stem in licenses.STEMS) or re.search(licenses.CC_BY, raw)):
+                shut.add((rule.label, text))
+    assert not shut
+
+
+def test_license_words_apart_in_other_ways(spark):
+    texts = ["Creative\nCommons Attribution", "a public-domain dedication", "All rights\nreserved", "the Expat License", "released according to the GNU General Public License", "provided subject to the terms of the MIT License"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in licenses.scanned(table).select("doc_id", "license.labels", "license.score").collect()}
+    assert [found[i].labels for i in range(6)] == [["cc-by"], ["public-domain"], ["proprietary"], ["mit"], ["gpl"], ["mit"]]
+    assert [found[i].score for i in (4, 5)] == [licenses.CONFIDENCE[licenses.GRANT]] * 2
+
+
 def test_near_duplicates(docs, empty):
     out = neardup.near_duplicates(docs).collect()
     named = [(d, t) for d, t in corpus() if d is not None]

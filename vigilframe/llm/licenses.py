@@ -27,7 +27,7 @@ CONFIDENCE = {TEXT: 0.7, NAME: 0.6, GRANT: 0.85, VERSIONED: 0.95, IDENTIFIER: 1.
 # label; expression of the name; keywords it needs; versions, each as words; identifier as words
 FAMILIES = [
     ("apache", r"apache(?: software)? licen[cs]e", "apache", ["1 0", "1 1", "2 0", "2"], "apache"),
-    ("mit", r"(?:mit|expat)(?: x11)? licen[cs]e", "mit", [], "mit"),
+    ("mit", r"mit(?: x11)? licen[cs]e", "mit", [], "mit"),
     ("gpl", r"gnu (?:general public licen[cs]e|gpl)", "gnu", ["1", "1 0", "2", "2 0", "2 1", "3", "3 0"], "gpl"),
     ("lgpl", r"gnu (?:lesser|library) general public licen[cs]e", "gnu", ["2", "2 0", "2 1", "3", "3 0"], "lgpl"),
     ("agpl", r"gnu affero general public licen[cs]e", "affero", ["1 0", "3", "3 0"], "agpl"),
@@ -112,9 +112,11 @@ SINGLE = [
     ("apache", r"apache org licenses license 2 0", "apache", VERSIONED),
     ("apache", r"you may not use this file except in compliance with the license", "compliance", TEXT),
     ("apache", r"unless required by applicable law or agreed to in writing software distributed under the license", "unless applicable", TEXT),
-    ("gpl", r"gpl ?v?[23](?: 0)?(?: or later| only)?", "gpl", NAME),
-    ("gpl", r"gplv[23]", "gplv2", NAME),
-    ("gpl", r"gplv3(?: or later)?", "gplv3", NAME),
+    ("gpl", r"gpl v?[23](?: 0)?(?: or later| only)?", "gpl", NAME),
+    ("gpl", r"gpl2(?: 0)?(?: or later| only)?", "gpl2", NAME),
+    ("gpl", r"gpl3(?: 0)?(?: or later| only)?", "gpl3", NAME),
+    ("gpl", r"gplv2(?: 0)?(?: or later| only)?", "gplv2", NAME),
+    ("gpl", r"gplv3(?: 0)?(?: or later| only)?", "gplv3", NAME),
     ("gpl", r"you can redistribute it and or modify it under the terms of the gnu general public license", "gnu redistribute", VERSIONED),
     ("gpl", r"gnu org licenses (?:old licenses )?gpl(?: [23] 0)?", "gnu gpl", VERSIONED),
     ("lgpl", r"you can redistribute it and or modify it under the terms of the gnu lesser general public license", "gnu lesser", VERSIONED),
@@ -142,10 +144,13 @@ SINGLE = [
     ("notice", r"copyright(?: c)? (?:19|20)[0-9]{2}", "copyright", TEXT),
 ]
 
-GRANTED = r"(?:is |are )?(?:licen[cs]ed|released|distributed|available|provided|published|offered) (?:to you )?(?:under|according to|subject to) (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?"
-# A text without any of these holds no keyword set; "cc" and "by" are looked for as words that follow each other.
-STEMS = ("licen", "spdx", "copyright", "public domain", "creativecommons", "creative commons", "publicdomain", "unencumbered", "permission", "redistribut", "compliance",
-         "warranty", "gpl", "wtfpl", "cc0", "proprietary", "prohibited", "rights reserved", "agreement", "altered", "perl", "opensource", "mozilla", "boost", "retain", "dedication", "endorse", "apache", "clause")
+EXPAT = r"expat(?: x11)? licen[cs]e"
+HOW = ("under", "according to", "subject to")
+GRANTED = r"(?:is |are )?(?:licen[cs]ed|released|distributed|available|provided|published|offered) (?:to you )?{how} (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?"
+# No rule matches a text without any of these: each is part of one word, so it stands in the raw text as it does in the joined line, whatever lies between
+# words there. "cc" and "by" are looked for as words that follow each other.
+STEMS = ("licen", "spdx", "copyright", "domain", "commons", "unencumbered", "permission", "redistribut", "compliance",
+         "warranty", "gpl", "wtfpl", "cc0", "proprietary", "prohibited", "reserved", "agreement", "altered", "perl", "opensource", "mozilla", "boost", "retain", "dedication", "endorse", "apache", "clause")
 CC_BY = r"(?i)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
 
 
@@ -162,14 +167,19 @@ class Rule:
         return rf"(?<= )(?:{self.expression})(?= )"
 
 
+def _granted(label: str, name: str, need: tuple[str, ...]) -> list[Rule]:
+    return [Rule(label, GRANTED.replace("{how}", how) + name, (*need, *how.split()), GRANT) for how in HOW]
+
+
 def rules() -> list[Rule]:
-    """All rules in order: base phrases, single rules, and five forms of each family."""
+    """All rules in order: base phrases, single rules, another name of one family, and the forms of each family."""
     out = [Rule(label, phrase, tuple(phrase.split()), NAME, True) for phrase, label in BASE.items()]
     out += [Rule(label, expression, tuple(words.split()), priority) for label, expression, words, priority in SINGLE]
+    out += [Rule("mit", EXPAT, ("expat",), NAME), *_granted("mit", EXPAT, ("expat",))]
     for label, name, word, versions, identifier in FAMILIES:
         need = () if word == "licen" else (word,)
         out.append(Rule(label, name, need, NAME))
-        out.append(Rule(label, GRANTED + name, (*need, "under"), GRANT))
+        out += _granted(label, name, need)
         out.append(Rule(label, rf"spdx license identifier {identifier}(?: [0-9]+){{0,2}}(?: only| or later)?", ("spdx", "license", "identifier", *identifier.split()), IDENTIFIER))
         out += [Rule(f"{label}-{v.replace(' ', '.')}", rf"{name}(?: version| v)? {v}", (*need, *v.split()), VERSIONED) for v in versions]
     return out
