@@ -290,7 +290,8 @@ def _resolved(rows: DataFrame, percent: int, size: int) -> DataFrame:
         if roots is not None:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         checked = fresh if checked is None else cut(checked.unionByName(fresh).coalesce(parts))
-        roots = cut(components(links, parts).coalesce(parts))
+        if roots is None or not fresh.where("linked").isEmpty():  # without a new link the components stay as they are
+            roots = cut(components(links, parts).coalesce(parts))
     else:
         raise RuntimeError(f"near-duplicate candidates are left after {ROUNDS} rounds")
     named = classes.select("set_id")
