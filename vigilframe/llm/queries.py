@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilframe.llm import decontam, licenses, lmscore, neardup, packing, quality, qualityrules, secretscan, suffixes, wrappers
+from vigilframe.llm import decontam, dualtree, licenses, lmscore, mixing, neardup, packing, quality, qualityrules, repair, secretscan, suffixes, wrappers
 from vigilframe.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_suffix_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op11_source_mixing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repairs(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_vector_codes")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.compressed(table(spark, sf_dir, "embeddings"))
