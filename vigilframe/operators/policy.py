@@ -1,15 +1,15 @@
-"""Network and identity policies: decisions, anomalies, revisions.
+"""Network rule tables: decisions on single ports, anomalies, revisions.
 
-Network rules are rows (policy_id, rule_id, ord, effect, src_cidr, dst_cidr, proto, lo, hi, enabled); identity statements are rows
-(policy_id, rule_id, effect, principal, action, resource) with ``*`` as wildcard.
+Rules are rows (policy_id, rule_id, ord, effect, src_cidr, dst_cidr, proto, lo, hi, enabled).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilframe.functions import netaddr
+from vigilframe.operators.decisions import matches
 
 
 def numbered(rules: DataFrame) -> DataFrame:
@@ -22,46 +22,13 @@ def numbered(rules: DataFrame) -> DataFrame:
 
 
 def decide_flows(flows: DataFrame, rules: DataFrame, default: str = "deny") -> DataFrame:
-    """The first matching rule of each distinct (src_ip, dst_ip, proto, port), else the default.
-
-    A rule is looked up by its more selective side, so rules for any source are met by destination. Distinct flows are joined by the enclosing
-    network of that side at the prefix lengths that rules use (at most 66 pairs of side and length, the only thing collected), then filtered by the
-    other side and the port.
-    """
-    r = numbered(rules)
-    narrow = F.col("dst_len") > F.col("src_len")
-    r = r.withColumns({"side": F.when(narrow, "dst").otherwise("src"), "key_len": F.greatest("src_len", "dst_len"), "key_low": F.when(narrow, F.col("dst_low")).otherwise(F.col("src_low"))})
-    lengths = sorted((x[0], x[1]) for x in r.select("side", "key_len").distinct().collect())
-    f = flows.select("src_ip", "dst_ip", "proto", "port").distinct()
-    f = f.withColumns({"s": netaddr.ipv4_number(F.col("src_ip")), "d": netaddr.ipv4_number(F.col("dst_ip"))})
-    looked_up = [F.struct(F.lit(side).alias("side"), F.lit(n).alias("key_len")) for side, n in lengths]
-    spread = f.select("*", F.inline(F.array(*looked_up) if looked_up else F.expr("CAST(array() AS array<struct<side:string,key_len:int>>)")))
-    spread = spread.withColumn("key_low", netaddr.prefix_of(F.when(F.col("side") == "src", F.col("s")).otherwise(F.col("d")), F.col("key_len")))
-    same_proto = (r["proto"] == "any") | (r["proto"] == spread["proto"])
-    hit = spread.join(r, ["side", "key_len", "key_low"]).where(
-        F.col("s").between(F.col("src_low"), F.col("src_high")) & F.col("d").between(F.col("dst_low"), F.col("dst_high")) & F.col("port").between(F.col("lo"), F.col("hi")) & same_proto)
-    best = hit.groupBy("src_ip", "dst_ip", spread["proto"], "port").agg(F.min_by(F.struct("rule_id", "effect"), "ord").alias("b"))
+    """The first matching rule of each distinct (src_ip, dst_ip, proto, port), else the default. Addresses and rules of either family."""
     keys = ["src_ip", "dst_ip", "proto", "port"]
-    return f.select(*keys).join(best, keys, "left").select(
-        *keys, F.coalesce("b.rule_id", F.lit("default")).alias("rule_id"), F.coalesce("b.effect", F.lit(default)).alias("effect"))
-
-
-def decide_access(requests: DataFrame, statements: DataFrame, principals: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """Deny overrides allow for ``requests(principal, action, resource)``.
-
-    ``principals(principal, holder)`` lists who a principal acts as, ``ancestors(resource, parent)`` what a resource lies in, both
-    including themselves; ``*`` statements are reached by adding ``*`` to both.
-    """
-    star_p = requests.select("principal").distinct().withColumn("holder", F.lit("*"))
-    star_r = requests.select("resource").distinct().withColumn("parent", F.lit("*"))
-    s = statements.select(F.col("principal").alias("holder"), F.col("resource").alias("parent"), F.col("action").alias("wanted"), "effect")
-    j = (
-        requests.distinct().join(principals.unionByName(star_p).distinct(), "principal").join(ancestors.unionByName(star_r).distinct(), "resource")
-        .join(s, ["holder", "parent"]).where((F.col("wanted") == "*") | (F.col("wanted") == F.col("action"))))
-    g = j.groupBy("principal", "action", "resource").agg(F.bool_or(F.col("effect") == "deny").alias("denied"))
-    decision = F.when(F.col("denied"), "deny").when(F.col("denied").isNotNull(), "allow").otherwise("deny")
-    return requests.distinct().join(g, ["principal", "action", "resource"], "left").select(
-        "principal", "action", "resource", decision.alias("decision"), F.col("denied").isNull().alias("by_default"))
+    f = flows.select(*keys).distinct()
+    hit = f.join(matches(f, rules, ("proto", "lo", "hi")).withColumnRenamed("proto", "rule_proto"), ["src_ip", "dst_ip"])
+    hit = hit.where(F.col("port").between(F.col("lo"), F.col("hi")) & ((F.col("rule_proto") == "any") | (F.col("rule_proto") == F.col("proto"))))
+    best = hit.groupBy(*keys).agg(F.min_by(F.struct("rule_id", "effect"), "ord").alias("b"))
+    return f.join(best, keys, "left").select(*keys, F.coalesce("b.rule_id", F.lit("default")).alias("rule_id"), F.coalesce("b.effect", F.lit(default)).alias("effect"))
 
 
 def anomalies(rules: DataFrame) -> DataFrame:
@@ -104,16 +71,60 @@ def broad_rules(rules: DataFrame) -> DataFrame:
 
 
 def revision_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rules added, removed, changed or moved, and whether access grew or shrank."""
-    content = ["effect", "src_cidr", "dst_cidr", "proto", "lo", "hi"]
-    a = old.select("rule_id", F.struct(*content).alias("a"), F.col("ord").alias("oa"))
-    b = new.select("rule_id", F.struct(*content).alias("b"), F.col("ord").alias("ob"))
-    j = a.join(b, "rule_id", "full_outer")
-    change = (F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
-              .when(F.col("oa") != F.col("ob"), "moved"))
+    """Rules added, removed, changed or moved, and whether access grew or shrank.
+
+    A rule has moved if its place among the rules of both revisions is another, so an inserted rule moves none. Where both ends, the protocol and the ports of
+    one version hold those of the other, a changed rule is wider or narrower.
+    """
+    content = ["effect", "src_cidr", "dst_cidr", "proto", "lo", "hi", "enabled"]
+    sides = [f"{side}_{x}" for side in ("src", "dst") for x in ("low", "high")]
+
+    def version(rules: DataFrame, name: str) -> DataFrame:
+        full = rules if "enabled" in rules.columns else rules.withColumn("enabled", F.lit(True))
+        spans = numbered(full.withColumn("on", F.col("enabled")).withColumn("enabled", F.lit(True))).withColumn("enabled", F.col("on"))
+        return spans.select("policy_id", "rule_id", "ord", F.struct(*content).alias(name), F.struct(*sides).alias(f"{name}_span"))
+
+    a, b = version(old, "a"), version(new, "b")
+    common = a.withColumnRenamed("ord", "oa").join(b.withColumnRenamed("ord", "ob"), ["policy_id", "rule_id"])
+    place = lambda c: F.row_number().over(Window.partitionBy("policy_id").orderBy(c, "rule_id"))
+    live = common.where("a.enabled AND b.enabled").select("policy_id", "rule_id", place("oa").alias("was_at"), place("ob").alias("is_at"))
+    j = a.drop("ord").join(b.drop("ord"), ["policy_id", "rule_id"], "full_outer").join(live, ["policy_id", "rule_id"], "left")
+    change = (F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").when(F.col("was_at") != F.col("is_at"), "moved"))
+
+    def holds(x: str, y: str) -> Column:
+        inside = [(F.col(f"{x}_span.{side}_low") <= F.col(f"{y}_span.{side}_low")) & (F.col(f"{y}_span.{side}_high") <= F.col(f"{x}_span.{side}_high")) for side in ("src", "dst")]
+        same_proto = (F.col(f"{x}.proto") == "any") | (F.col(f"{x}.proto") == F.col(f"{y}.proto"))
+        return inside[0] & inside[1] & same_proto & (F.col(f"{x}.lo") <= F.col(f"{y}.lo")) & (F.col(f"{y}.hi") <= F.col(f"{x}.hi"))
+
     ea, eb = F.col("a.effect"), F.col("b.effect")
+    grows = lambda c: F.when(c, "access-expanded").otherwise("access-reduced")
+    switched = (F.col("b.enabled") & (eb == "allow")) | (F.col("a.enabled") & (ea == "deny"))
     impact = (
-        F.when(F.col("a").isNull(), F.when(eb == "allow", "access-expanded").otherwise("access-reduced"))
-        .when(F.col("b").isNull(), F.when(ea == "allow", "access-reduced").otherwise("access-expanded"))
-        .when(ea != eb, F.when(eb == "allow", "access-expanded").otherwise("access-reduced")).otherwise("review"))
-    return j.withColumn("change", change).where("change IS NOT NULL").select("rule_id", "change", impact.alias("impact"))
+        F.when(F.col("a").isNull(), grows(eb == "allow")).when(F.col("b").isNull(), grows(ea != "allow")).when(F.col("a.enabled") != F.col("b.enabled"), grows(switched))
+        .when(ea != eb, grows(eb == "allow")).when(holds("b", "a") & ~holds("a", "b"), grows(eb == "allow")).when(holds("a", "b") & ~holds("b", "a"), grows(eb != "allow")).otherwise("changed"))
+    return j.withColumn("change", change).where("change IS NOT NULL").select("policy_id", "rule_id", "change", impact.alias("impact"), "was_at", "is_at")
+
+
+def findings(rules: DataFrame, policies: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(policy_id, rule_id, finding, detail): anomalies, broad rules, allowing defaults of ``policies(policy_id, default)``, and references of ``refs`` (array of
+    object ids of a rule) to objects that ``known(id)`` lacks."""
+    live = rules.where("enabled") if "enabled" in rules.columns else rules
+    odd = anomalies(live).select("policy_id", "rule_id", F.col("kind").alias("finding"), F.col("because").alias("detail"))
+    wide = broad_rules(live).select("policy_id", "rule_id", F.lit("overly-broad").alias("finding"), F.col("why").alias("detail"))
+    out = odd.unionByName(wide)
+    if policies is not None:
+        out = out.unionByName(policies.where("default = 'allow'").select("policy_id", F.lit(None).cast("string").alias("rule_id"), F.lit("default-allow").alias("finding"), F.lit("default").alias("detail")))
+    if known is not None and "refs" in rules.columns:
+        named = live.select("policy_id", "rule_id", F.explode("refs").alias("detail"))
+        real = named.where(F.contains("detail", F.lit(":")) & ~F.col("detail").startswith("cidr:") & ~F.contains("detail", F.lit("*")) & ~F.split_part("detail", F.lit(":"), F.lit(2)).startswith("arn"))
+        gone = real.join(known.select(F.col("id").alias("detail")), "detail", "left_anti")
+        out = out.unionByName(gone.select("policy_id", "rule_id", F.lit("stale-reference").alias("finding"), "detail"))
+    return out
+
+
+def findings_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Findings of two revisions that only one has: ``introduced`` and ``resolved``."""
+    keys = ["policy_id", "rule_id", "finding", "detail"]
+    tagged = before.distinct().withColumn("side", F.lit(1)).unionByName(after.distinct().withColumn("side", F.lit(2)))
+    g = tagged.groupBy(*keys).agg(F.sum("side").alias("sides"))
+    return g.where("sides < 3").select(*keys, F.when(F.col("sides") == 2, "introduced").otherwise("resolved").alias("status"))

@@ -324,23 +324,6 @@ def policy_flows(t):
     return pol.decide_flows(f, rules(t))
 
 
-@query("policy_access", "obj rel",
-       """WITH q AS (SELECT id AS principal, 'read' AS action, 'role:p0' AS resource FROM obj WHERE type = 'user'), h AS (SELECT src AS principal, dst AS holder FROM rel WHERE type = 'MEMBER_OF' AND
-       src LIKE 'user:%' UNION SELECT id, id FROM obj WHERE type = 'user') SELECT q.principal, q.action, q.resource, CASE WHEN bool_or(h.holder IN (SELECT id FROM obj WHERE id IN ('group:n1',
-       'group:n2'))) THEN 'deny' WHEN bool_or(q.principal IN (SELECT id FROM obj WHERE disabled)) THEN 'deny' ELSE 'allow' END AS decision FROM q JOIN h ON h.principal = q.principal GROUP BY ALL""")
-def policy_access(t):
-    """Everyone may read, two groups and every disabled account may not."""
-    who = t.obj.where("type = 'user'").select(F.col("id").alias("principal"))
-    requests = who.select("principal", F.lit("read").alias("action"), F.lit("role:p0").alias("resource"))
-    holders = t.rel.where("type = 'MEMBER_OF' AND src LIKE 'user:%'").select(F.col("src").alias("principal"), F.col("dst").alias("holder")).unionByName(
-        who.select("principal", F.col("principal").alias("holder")))
-    general = t.spark.createDataFrame(
-        [("*", "read", "*", "allow"), ("group:n1", "*", "role:p0", "deny"), ("group:n2", "read", "*", "deny")], "principal string, action string, resource string, effect string")
-    off = t.obj.where("disabled").select(F.col("id").alias("principal"), F.lit("read").alias("action"), F.lit("role:p0").alias("resource"), F.lit("deny").alias("effect"))
-    parents = requests.select("resource").distinct().withColumn("parent", F.col("resource"))
-    return pol.decide_access(requests, general.unionByName(off), holders, parents).drop("by_default")
-
-
 def supplier_rules(t):
     """One rule per supplier: its own address to everywhere, every third one for its whole /24."""
     s, sh = _octets("s_suppkey")
@@ -368,11 +351,46 @@ def policy_broad(t):
     return pol.broad_rules(supplier_rules(t))
 
 
+# revisions of the supplier rules: some removed, some added, some turned round, one network widened, two pairs swapped, one switched off
+REVISED = """r AS (SELECT s_suppkey AS k, s_acctbal AS b, s_suppkey % 2 = 0 AS allow, n - CASE WHEN s_suppkey % 3 = 0 THEN n % 16 ELSE 0 END AS lo, n - CASE WHEN s_suppkey % 3 = 0 THEN n % 16 - 15 ELSE 0 END AS hi,
+ CASE WHEN s_suppkey % 5 = 0 THEN 65535 ELSE 443 END AS p FROM (SELECT s_suppkey, s_acctbal, (s_suppkey // 250 % 250) * 256 + s_suppkey % 250 AS n FROM supplier)),
+o AS (SELECT k, k AS ord, allow, lo, hi, p, true AS live FROM r WHERE b <= 9000),
+w AS (SELECT k, CASE WHEN k % 50 = 7 THEN k + 1 WHEN k % 50 = 8 THEN k - 1 ELSE k END AS ord, CASE WHEN b BETWEEN 4000 AND 5000 THEN NOT allow ELSE allow END AS allow, lo, hi, CASE WHEN k % 11 = 0 THEN 8080 ELSE p END AS p,
+ k % 13 <> 0 AS live FROM r WHERE b >= 1000)"""
+
+
+def revisions(t):
+    r = supplier_rules(t).join(t.supplier.select(F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("rule_id"), "s_acctbal", "s_suppkey"), "rule_id")
+    flipped = F.when(F.col("s_acctbal").between(4000, 5000), F.when(F.col("effect") == "allow", "deny").otherwise("allow")).otherwise(F.col("effect"))
+    k = F.col("s_suppkey")
+    new = r.where("s_acctbal >= 1000").withColumns({
+        "effect": flipped, "ord": F.when(k % 50 == 7, F.col("ord") + 1).when(k % 50 == 8, F.col("ord") - 1).otherwise(F.col("ord")), "hi": F.when(k % 11 == 0, 8080).otherwise(F.col("hi")), "enabled": k % 13 != 0})
+    return r.where("s_acctbal <= 9000").drop("s_acctbal", "s_suppkey"), new.drop("s_acctbal", "s_suppkey")
+
+
 @query("policy_diff", "",
-       """SELECT 'r' || s_suppkey AS rule_id, CASE WHEN s_acctbal < 1000 THEN 'removed' WHEN s_acctbal > 9000 THEN 'added' ELSE 'changed' END AS change, CASE WHEN s_acctbal < 1000 THEN CASE WHEN s_suppkey % 2
-       = 0 THEN 'access-reduced' ELSE 'access-expanded' END WHEN s_acctbal > 9000 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'access-expanded' ELSE 'access-reduced' END ELSE CASE WHEN s_suppkey % 2 = 0 THEN
-       'access-reduced' ELSE 'access-expanded' END END AS impact FROM supplier WHERE s_acctbal < 1000 OR s_acctbal > 9000 OR s_acctbal BETWEEN 4000 AND 5000""")
+       f"""WITH {REVISED}, live AS (SELECT o.k, row_number() OVER (ORDER BY o.ord, 'r' || o.k) AS was_at, row_number() OVER (ORDER BY w.ord, 'r' || o.k) AS is_at FROM o JOIN w USING (k) WHERE o.live AND w.live),
+       j AS (SELECT coalesce(o.k, w.k) AS k, CASE WHEN o.k IS NULL THEN 'added' WHEN w.k IS NULL THEN 'removed' WHEN (o.allow, o.p, o.live) <> (w.allow, w.p, w.live) THEN 'changed' WHEN was_at <> is_at THEN 'moved' END AS change,
+       CASE WHEN o.k IS NULL THEN w.allow WHEN w.k IS NULL THEN NOT o.allow WHEN o.live <> w.live THEN (w.live AND w.allow) OR (o.live AND NOT o.allow) WHEN o.allow <> w.allow THEN w.allow WHEN w.p > o.p THEN w.allow WHEN w.p < o.p
+       THEN NOT w.allow END AS grows, was_at, is_at FROM o FULL JOIN w USING (k) LEFT JOIN live USING (k))
+       SELECT 's' AS policy_id, 'r' || k AS rule_id, change, CASE WHEN grows THEN 'access-expanded' WHEN NOT grows THEN 'access-reduced' ELSE 'changed' END AS impact, CAST(was_at AS INT) AS was_at, CAST(is_at AS INT) AS is_at FROM j WHERE change IS NOT NULL""")
 def policy_diff(t):
-    r = supplier_rules(t).join(t.supplier.select(F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("rule_id"), "s_acctbal"), "rule_id")
-    flipped = F.when(F.col("s_acctbal").between(4000, 5000), F.when(F.col("effect") == "allow", "deny").otherwise("allow")).otherwise(F.col("effect"))
-    return pol.revision_diff(r.where("s_acctbal <= 9000"), r.where("s_acctbal >= 1000").withColumn("effect", flipped))
+    return pol.revision_diff(*revisions(t))
+
+
+def _findings_sql(name: str, version: str) -> str:
+    return f"""{name} AS (SELECT 'r' || y.k AS rule_id, CASE WHEN x.lo <= y.lo AND y.hi <= x.hi AND y.p <= x.p THEN CASE WHEN x.allow <> y.allow THEN 'shadowed' ELSE 'redundant' END ELSE 'conflicting' END AS finding, 'r' || x.k AS detail
+ FROM {version} x JOIN {version} y ON x.ord < y.ord AND x.lo <= y.hi AND y.lo <= x.hi WHERE x.live AND y.live AND ((x.lo <= y.lo AND y.hi <= x.hi AND y.p <= x.p) OR x.allow <> y.allow)
+ UNION SELECT 'r' || k, 'overly-broad', CASE WHEN p = 65535 THEN 'any destination,any port' ELSE 'any destination' END FROM {version} WHERE allow AND live
+ UNION SELECT 'r' || k, 'stale-reference', 'host:s' || (k + 20) FROM {version} WHERE live AND k + 20 > (SELECT max(s_suppkey) FROM supplier))"""
+
+
+@query("policy_revision_findings", "obj", f"""WITH {REVISED}, {_findings_sql('fo', 'o')}, {_findings_sql('fw', 'w')} SELECT 's' AS policy_id, rule_id, finding, detail, 'introduced' AS status FROM (SELECT * FROM fw EXCEPT SELECT * FROM fo)
+       UNION ALL SELECT 's', rule_id, finding, detail, 'resolved' FROM (SELECT * FROM fo EXCEPT SELECT * FROM fw) UNION ALL SELECT 's', NULL, 'default-allow', 'default', 'introduced'""")
+def policy_revision_findings(t):
+    """What a revision newly makes pointless, contradictory, broad or stale, and what it mends; its default becomes allow."""
+    refs = F.array(F.concat(F.lit("host:s"), (F.substring("rule_id", 2, 9).cast("long") + 20).cast("string")), F.lit("cidr:10.0.0.0/8"))
+    old, new = (r.withColumn("refs", refs) for r in revisions(t))
+    default = lambda d: t.spark.createDataFrame([("s", d)], "policy_id string, default string")
+    known = t.obj.select("id")
+    return pol.findings_diff(pol.findings(old, default("deny"), known), pol.findings(new, default("allow"), known))
