@@ -58,6 +58,11 @@ def network(name: str) -> Column:
     return F.expr(f"CASE WHEN {name} IS NULL OR {name} = 'any' THEN named_struct('len', 0, 'hi', 0L, 'lo', 0L) ELSE {at} END")
 
 
+def enclosing(at: str, length: int) -> Column:
+    """(len, hi, lo) of the network of a length around a network column."""
+    return F.expr(_MASKED.format(n=length, a=at))
+
+
 def _inside(at: str, net: str) -> Column:
     """Whether a network (an address is one of length 128) lies in another."""
     return F.expr(f"{at}.len >= {net}.len AND {_MASKED.format(n=net + '.len', a=at)} = {net}")

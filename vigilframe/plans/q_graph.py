@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigilframe.functions import semantics as sem
 from vigilframe.operators import graph as g
+from vigilframe.operators import observed as ob
 from vigilframe.operators import risk
 from vigilframe.operators.loops import cut
 from vigilframe.operators.propagate import exploitable, propagate, propagation_arcs
@@ -355,3 +357,41 @@ def exposure_metrics(t):
        FROM ({EXPO_SQL}) WHERE level IN ('HIGH', 'CRITICAL')""")
 def exposure_findings(t):
     return model(t).findings().select("id", "severity", "subject", "score")
+
+
+# ---------------------------------------------------------------- paths that incidents show
+
+# an incident: the failures of a fiftieth of the accounts against one host; logins of the graph are told by the hosts of the events
+SEEN_HOST = "CASE WHEN {0} LIKE 'host:s%' THEN 'host:h' || CAST(CAST(substr({0}, 7) AS BIGINT) % 20 AS VARCHAR) ELSE {0} END"
+
+
+@query("observed_path", "ev eo obj rel", f"""WITH own AS (SELECT target_id || '-' || CAST(CAST(substr(actor_id, 7) AS BIGINT) % 50 AS VARCHAR) AS incident_id, id AS event_id, us, event_type, actor_id FROM ev WHERE event_type = 'auth.failure'),
+ act AS (SELECT * FROM (SELECT incident_id, actor_id AS start, count(*) AS activity, row_number() OVER (PARTITION BY incident_id ORDER BY count(*) DESC, actor_id) AS n FROM own GROUP BY incident_id, actor_id) WHERE n <= 4),
+ one AS (SELECT * FROM (SELECT 'user:u' || substr(l.src, 7) AS start, a.dst AS node, o.criticality, l.conf AS confidence, l.dst AS mid, u.dst AS ident, row_number() OVER (PARTITION BY l.src, a.dst ORDER BY l.conf DESC, l.dst, u.dst) AS n
+ FROM rel l JOIN rel u ON u.src = l.dst AND u.type = 'USES' JOIN rel a ON a.src = u.dst AND a.type = 'CAN_ACCESS' JOIN obj o ON o.id = a.dst AND o.criticality IN ('high', 'critical') WHERE l.type = 'LOGGED_INTO') WHERE n = 1),
+ pth AS MATERIALIZED (SELECT * FROM (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY start ORDER BY {CRITRANK} DESC, confidence DESC, node) AS n FROM one) WHERE n <= 5),
+ hop AS (SELECT start, node, 0 AS pos, start AS source, 'LOGGED_INTO' AS rel, {SEEN_HOST.format("mid")} AS target FROM pth UNION ALL SELECT start, node, 1, {SEEN_HOST.format("mid")}, 'USES', ident FROM pth
+ UNION ALL SELECT start, node, 2, ident, 'CAN_ACCESS', {SEEN_HOST.format("node")} FROM pth),
+ inv AS MATERIALIZED (SELECT incident_id, own.event_id, own.us, object_id FROM own JOIN eo ON eo.event_id = own.event_id),
+ mk AS (SELECT act.incident_id, act.start, act.activity, h.node, h.pos, h.target, CASE WHEN h.target <> act.start THEN (SELECT min({{'us': i.us, 'e': i.event_id}}) FROM inv i WHERE i.incident_id = act.incident_id AND i.object_id = h.target) END AS f1,
+ (SELECT min({{'us': i.us, 'e': i.event_id}}) FROM inv i JOIN inv j ON j.incident_id = i.incident_id AND j.event_id = i.event_id AND j.object_id = h.source WHERE i.incident_id = act.incident_id AND i.object_id = h.target) AS f2
+ FROM act JOIN hop h ON h.start = act.start),
+ sc AS (SELECT incident_id, start, activity, node, count(f1) AS observed_steps, string_agg(target || '@' || CASE WHEN f1 IS NULL THEN '' ELSE coalesce(f2.e, f1.e) END, ' ' ORDER BY pos) AS steps FROM mk GROUP BY ALL),
+ rk AS (SELECT sc.*, pth.criticality, pth.confidence, row_number() OVER (PARTITION BY incident_id ORDER BY observed_steps DESC, {CRITRANK} DESC, confidence DESC, activity DESC, start, node) AS n FROM sc JOIN pth USING (start, node))
+ SELECT incident_id, start, node, criticality, confidence, activity, observed_steps, steps FROM rk WHERE n = 1""")
+def observed_path(t):
+    """The path from an account through a host it used to a critical one, whose steps the incident's events show best."""
+    number = F.substring("actor_id", 7, 20).cast("long") % 50
+    own = t.ev.where("event_type = 'auth.failure'").select(F.concat_ws("-", "target_id", number.cast("string")).alias("incident_id"), F.col("id").alias("event_id"), "us", "event_type", "actor_id")
+    rel = cut(t.rel.where("type IN ('LOGGED_INTO', 'USES', 'CAN_ACCESS')").select("src", "type", "dst", "conf"))
+    edge = lambda kind, a, b: rel.where(F.col("type") == kind).select(F.col("src").alias(a), F.col("dst").alias(b), F.col("conf").alias(f"{kind}_conf"))
+    p = edge("LOGGED_INTO", "who", "mid").join(edge("USES", "mid", "ident"), "mid").join(edge("CAN_ACCESS", "ident", "node"), "ident").join(t.obj.select(F.col("id").alias("node"), "criticality"), "node")
+    p = p.where("criticality IN ('high', 'critical')").withColumn("n", F.row_number().over(Window.partitionBy("who", "node").orderBy(F.desc("LOGGED_INTO_conf"), "mid", "ident"))).where("n = 1")
+    p = p.withColumn("n", F.row_number().over(Window.partitionBy("who").orderBy(F.desc(F.expr(CRITRANK)), F.desc("LOGGED_INTO_conf"), "node"))).where(F.col("n") <= ob.TOP_PATHS)
+    seen = lambda c: F.when(F.col(c).startswith("host:s"), F.concat(F.lit("host:h"), (F.substring(c, 7, 20).cast("long") % 20).cast("string"))).otherwise(F.col(c))
+    start = F.concat(F.lit("user:u"), F.substring("who", 7, 20))
+    hops = F.array(*[F.struct(a.alias("source"), F.lit(kind).alias("rel"), b.alias("target")) for kind, a, b in (("LOGGED_INTO", start, seen("mid")), ("USES", seen("mid"), F.col("ident")), ("CAN_ACCESS", F.col("ident"), seen("node")))])
+    paths = p.select(start.alias("start"), "node", "criticality", F.col("LOGGED_INTO_conf").alias("confidence"), hops.alias("hops"))
+    out = ob.observed_paths(own, t.eo, paths)
+    steps = F.array_join(F.transform("hops", lambda h: F.concat(h["target"], F.lit("@"), F.coalesce(h["event_id"], F.lit("")))), " ")
+    return out.withColumn("steps", steps).drop("hops")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigilframe.operators.filters import EventFilter
+from vigilframe.operators.loops import cut
 from vigilframe.plans.registry import query
 from vigilframe.streaming import operators as st
 
@@ -49,16 +50,27 @@ def st_session(t):
     return st.run_available(t.spark, lambda s: st.sessions(s, "2 hours"), events(t), ["actor_id", "start_us", "end_us", "n"])
 
 
-@query("st_filter", "ev", "SELECT id FROM ev WHERE severity_rank >= 3 AND (event_type = 'auth' OR event_type LIKE 'auth.%')")
+@query("st_filter", "ev",
+       """SELECT id, CASE WHEN src_ip LIKE '10.10.%' THEN CASE WHEN CAST(split_part(src_ip, '.', 3) AS INT) % 2 = 0 THEN 'net-' || split_part(src_ip, '.', 3) ELSE 'corp' END WHEN CAST(split_part(src_ip, '.', 4) AS INT) < 16 THEN
+       'dmz' END AS zone FROM ev WHERE severity_rank >= 3 AND (event_type = 'auth' OR event_type LIKE 'auth.%')""")
 def st_filter(t):
+    """Alerts with the zone of their source, from a zone table of several prefix lengths."""
     wanted = EventFilter(event_types=("auth",), min_severity="HIGH")
-    return st.run_available(t.spark, lambda s: st.alerts(s, wanted), events(t, False), ["id"])
+    zones = t.ev.where("k < 80 AND k % 2 = 0").select(F.concat(F.lit("10.10."), (F.col("k") % 4).cast("string"), F.lit(".0/24")).alias("cidr"), F.concat(F.lit("net-"), (F.col("k") % 4).cast("string")).alias("zone")).distinct()
+    fixed = t.spark.createDataFrame([("10.0.0.0/8", "corp"), ("198.51.100.0/28", "dmz"), ("2001:db8::/32", "six")], "cidr string, zone string")
+    table = cut(zones.unionByName(fixed))
+    e = t.ev.select("id", "us", "event_type", "actor_id", "target_id", "severity_rank", "src_ip", F.timestamp_micros("us").alias("ts"))
+    return st.run_available(t.spark, lambda s: st.zoned(st.alerts(s, wanted), "src_ip", table), e, ["id", "zone"])
+
+
+TIMEOUT = 10 * 365 * 86_400_000_000  # longer than the table: only what is open at its end expires
 
 
 @query("st_state", "ev",
-       """SELECT actor_id, target_id, us, CASE WHEN login THEN 'opened' ELSE 'closed' END AS change FROM (SELECT *, event_type = 'auth.login' AS login, lag(event_type = 'auth.login') OVER (PARTITION BY actor_id, target_id
-       ORDER BY us, id) AS was FROM ev WHERE event_type LIKE 'auth.%') WHERE (login AND (was IS NULL OR NOT was)) OR (NOT login AND was)""")
+       f"""WITH c AS (SELECT actor_id, target_id, us, id, event_type = 'auth.login' AS login, lag(event_type = 'auth.login') OVER w AS was, lead(id) OVER w IS NULL AS last FROM ev WHERE event_type LIKE 'auth.%'
+       WINDOW w AS (PARTITION BY actor_id, target_id ORDER BY us, id)), x AS (SELECT *, login AND (was IS NULL OR NOT was) AS op FROM c)
+       SELECT actor_id, target_id, us, CASE WHEN login THEN 'opened' ELSE 'closed' END AS change FROM x WHERE op OR (NOT login AND was)
+       UNION ALL SELECT actor_id, target_id, max(us) FILTER (op) + {TIMEOUT}, 'expired' FROM x GROUP BY ALL HAVING bool_or(last AND login)""")
 def st_state(t):
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    e = events(t, False).where("event_type LIKE 'auth.%'")
-    return st.run_available(t.spark, st.open_sessions, e, ["actor_id", "target_id", "us", "change"])
+    e = events(t).where("event_type LIKE 'auth.%' OR id = 'end'")
+    return st.run_available(t.spark, lambda s: st.open_sessions(s, timeout_us=TIMEOUT), e, ["actor_id", "target_id", "us", "change"]).where("actor_id <> 'end'")

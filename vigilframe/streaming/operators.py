@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from vigilframe.operators import decisions
 from vigilframe.operators.filters import EventFilter
 from vigilframe.operators.loops import shared_dir
 
@@ -44,52 +44,122 @@ def alerts(events: DataFrame, wanted: EventFilter) -> DataFrame:
     return events.where(wanted.column())
 
 
+def zoned(events: DataFrame, address: str, networks: DataFrame, zone: str = "zone", cidr: str = "cidr") -> DataFrame:
+    """Events with the ``zone`` of the smallest network around an address of either family; null where there is none.
+
+    One stream-static join for each prefix length in use when the stream starts (at most 129, most specific first), by the key of the enclosing network; there is
+    no state, and the static side is read again in every micro-batch.
+    """
+    nets = networks.select(F.col(zone).alias("zone_"), decisions.network(cidr).alias("net")).where("net IS NOT NULL").groupBy("net").agg(F.min("zone_").alias("zone_"))
+    lengths = sorted((r[0] for r in nets.select("net.len").distinct().collect()), reverse=True)
+    out, found = events.withColumn("at_", decisions.network(address)), []
+    for n in lengths:
+        side = nets.where(F.col("net.len") == n).select(F.col("net").alias(f"net_{n}"), F.col("zone_").alias(f"zone_{n}"))
+        out = out.join(side, decisions.enclosing("at_", n) == F.col(f"net_{n}"), "left").drop(f"net_{n}")
+        found.append(F.when(F.col("at_.len") >= n, F.col(f"zone_{n}")))
+    return out.withColumn(zone, F.coalesce(*found) if found else F.lit(None).cast("string")).drop("at_", *(f"zone_{n}" for n in lengths))
+
+
+BUCKET_MS = 60_000
+FLUSH = 4096
+
+
 class OpenSessions(StatefulProcessor):
-    """Login and logout per (actor, host): emits a row whenever a session opens or closes, ignores repeats."""
+    """Sessions of one (actor, host) in event time: ``opened``, ``closed``, or ``expired`` when no logout came within the time-out.
+
+    Events wait in buckets of a minute until the watermark has passed the bucket; its timer then takes them in the order of their time, however they arrived.
+    An open session has a timer of its own. Rows are read one by one; what is held of them is at most ``FLUSH`` rows and, later, one bucket. Nothing is kept
+    of a pair that has no open session and no waiting event.
+    """
+
+    def __init__(self, timeout_us: int):
+        self.timeout_us = timeout_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("open", "since_us bigint")
-
-    def handleInputRows(self, key, rows, timer_values):
-        frames = [f for f in rows]
-        if not frames:
-            return
-        f = pd.concat(frames).sort_values(["us", "id"])
-        out = []
-        since = self.state.get()[0] if self.state.exists() else None
-        for us, kind in zip(f["us"], f["event_type"]):
-            if kind == "auth.login" and since is None:
-                since = int(us)
-                out.append((key[0], key[1], int(us), "opened"))
-            elif kind != "auth.login" and since is not None:
-                since = None
-                out.append((key[0], key[1], int(us), "closed"))
-        if since is None:
-            self.state.clear()
-        else:
-            self.state.update((since,))
-        if out:
-            yield pd.DataFrame(out, columns=["actor_id", "target_id", "us", "change"])
+        self.handle = handle
+        self.since = handle.getValueState("since", "us bigint")
+        self.waiting = handle.getMapState("waiting", "until bigint", "events array<struct<us:bigint,id:string,login:boolean>>")
+
+    def _put(self, rows: dict[int, list[tuple]]) -> None:
+        for until, found in rows.items():
+            if self.waiting.containsKey((until,)):
+                found = [*(tuple(e) for e in self.waiting.getValue((until,))[0]), *found]
+            else:
+                self.handle.registerTimer(until)
+            self.waiting.updateValue((until,), (found,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        fresh: dict[int, list[tuple]] = {}
+        n = 0
+        for row in rows:
+            until = (row["us"] // 1000 // BUCKET_MS + 1) * BUCKET_MS
+            fresh.setdefault(until, []).append((row["us"], row["id"], row["event_type"] == "auth.login"))
+            n += 1
+            if n % FLUSH == 0:
+                self._put(fresh)
+                fresh = {}
+        self._put(fresh)
+        return iter(())
+
+    def _expired(self, key, until_us: int):
+        """A session whose time-out lies at or before an instant ends there."""
+        since = self.since.get()[0] if self.since.exists() else None
+        if since is not None and since + self.timeout_us <= until_us:
+            self.since.clear()
+            yield Row(actor_id=key[0], target_id=key[1], us=since + self.timeout_us, change="expired")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if self.waiting.containsKey((at,)):
+            events = sorted(tuple(e) for e in self.waiting.getValue((at,))[0])
+            self.waiting.removeKey((at,))
+            for us, _, login in events:
+                yield from self._expired(key, us)
+                opened = self.since.exists()
+                if login and not opened:
+                    self.since.update((us,))
+                    self.handle.registerTimer(-(-(us + self.timeout_us) // 1000 // BUCKET_MS) * BUCKET_MS)
+                    yield Row(actor_id=key[0], target_id=key[1], us=us, change="opened")
+                elif not login and opened:
+                    self.since.clear()
+                    yield Row(actor_id=key[0], target_id=key[1], us=us, change="closed")
+        # nothing waits: the watermark is as far as is known; else the waiting buckets see to the session
+        yield from self._expired(key, 1000 * (at if self.waiting.exists() else max(at, timerValues.getCurrentWatermarkInMs())))
 
     def close(self) -> None:
         pass
 
 
-def open_sessions(events: DataFrame) -> DataFrame:
-    """Session changes with state per (actor, host); needs the RocksDB state store."""
-    return events.select("actor_id", "target_id", "us", "id", "event_type").groupBy("actor_id", "target_id").transformWithStateInPandas(
-        OpenSessions(), "actor_id string, target_id string, us bigint, change string", "Append", "None")
+def open_sessions(events: DataFrame, delay: str = "1 hour", timeout_us: int = 30 * 86_400_000_000) -> DataFrame:
+    """(actor_id, target_id, us, change): session changes of logins and logouts that may arrive up to ``delay`` late and out of order.
+
+    A login while a session is open and a logout while none is are ignored. Needs the RocksDB state store. Later rows than the delay are dropped.
+    """
+    keyed = events.select("actor_id", "target_id", "us", "id", "event_type", F.timestamp_micros("us").alias("at")).withWatermark("at", delay).groupBy("actor_id", "target_id")
+    return keyed.transformWithState(OpenSessions(timeout_us), "actor_id string, target_id string, us bigint, change string", "Append", "EventTime")
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_available(spark: SparkSession, build, source: DataFrame, schema_cols: list[str]) -> DataFrame:
-    """Write ``source`` as files, stream them through ``build`` with the availableNow trigger, and read the output."""
+    """Write ``source`` as files, stream them through ``build`` with the availableNow trigger, and read the output.
+
+    The query keeps its state in RocksDB; the session's own setting is put back.
+    """
     base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     source.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(source.schema).parquet(f"{base}/in")
     result = build(stream)
-    q = (
-        result.select(*schema_cols).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKS)
+    try:
+        q = (
+            result.select(*schema_cols).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp")
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(setting, before)
     q.awaitTermination()
     return spark.read.schema(result.select(*schema_cols).schema).parquet(f"{base}/out")
