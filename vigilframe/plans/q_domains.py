@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigilframe.operators import deps, surface, trace
 from vigilframe.operators import secrets as sec
+from vigilframe.operators.loops import cut
 from vigilframe.plans.registry import query
 
 H, DAY = 3_600_000_000, 86_400_000_000
@@ -256,17 +258,55 @@ def vuln_exact(t):
     return deps.vulnerable_exact(packages(t), advisories(t)).select("p_partkey", "id")
 
 
-@query("vuln_constraint", "",
-       "SELECT p_partkey FROM (SELECT *, p_partkey % 2 AS e FROM part) p JOIN (SELECT p_partkey % 2 AS e, p_name, max(p_size) AS m FROM part GROUP BY ALL) a ON a.e = p.e AND a.p_name = p.p_name WHERE p_size < m AND "
-       "p_size + 1 > m // 2 AND (p_size + 1 > m // 2)")
+# constraints of six kinds, with their bounds as numbers; the last cannot be read
+DECLARED_SQL = """(SELECT p.*, CASE k WHEN 0 THEN '^' || p_size || '.0.0' WHEN 1 THEN '~' || p_size || '.3' WHEN 2 THEN CASE e WHEN 0 THEN '>=' || p_size || '.1.0 <' || (p_size + 2) || '.0.0' ELSE '>=' || p_size || '.1, <' || (p_size + 2) END
+ WHEN 3 THEN '^0.0.' || (p_size % 5) WHEN 4 THEN CASE e WHEN 0 THEN p_size || '.x' ELSE '==' || p_size || '.*' END ELSE 'latest' END AS "constraint",
+ CASE k WHEN 0 THEN p_size * 1000000 WHEN 1 THEN p_size * 1000000 + 3000 WHEN 2 THEN p_size * 1000000 + 1000 WHEN 3 THEN p_size % 5 WHEN 4 THEN p_size * 1000000 END AS lo,
+ CASE k WHEN 0 THEN (p_size + 1) * 1000000 WHEN 1 THEN p_size * 1000000 + 4000 WHEN 2 THEN (p_size + 2) * 1000000 WHEN 3 THEN p_size % 5 + 1 WHEN 4 THEN (p_size + 1) * 1000000 END AS hi FROM (SELECT *, p_partkey % 2 AS e, p_partkey // 2 % 6 AS k FROM part) p)"""
+ADVISED_SQL = """(SELECT p_partkey % 2 AS e, p_name, 'A-' || p_name AS id, max(p_size) // 2 * 1000000 + 5000 AS alo, max(p_size) * 1000000 AS ahi FROM part GROUP BY ALL UNION ALL SELECT DISTINCT p_partkey % 2, p_name, 'Z-' || p_name, 0, 3 FROM part)"""
+LOOSE_SQL = f"(SELECT p.*, a.id FROM {DECLARED_SQL} p JOIN {ADVISED_SQL} a ON a.e = p.e AND a.p_name = p.p_name AND lo < ahi AND hi > alo AND alo < ahi)"
+
+
+def declared(t):
+    size = F.col("p_size").cast("string")
+    npm = F.col("p_partkey") % 2 == 0
+    more = (F.col("p_size") + 2).cast("string")
+    text = F.array(
+        F.concat(F.lit("^"), size, F.lit(".0.0")), F.concat(F.lit("~"), size, F.lit(".3")),
+        F.when(npm, F.concat(F.lit(">="), size, F.lit(".1.0 <"), more, F.lit(".0.0"))).otherwise(F.concat(F.lit(">="), size, F.lit(".1, <"), more)), F.concat(F.lit("^0.0."), (F.col("p_size") % 5).cast("string")),
+        F.when(npm, F.concat(size, F.lit(".x"))).otherwise(F.concat(F.lit("=="), size, F.lit(".*"))), F.lit("latest"))
+    return t.part.select("p_partkey", "p_type", F.when(npm, "npm").otherwise("pypi").alias("ecosystem"), F.col("p_name").alias("name"), F.get(text, (F.expr("p_partkey DIV 2 % 6")).cast("int")).alias("constraint"))
+
+
+def all_advisories(t):
+    early = packages(t).select(F.concat(F.lit("Z-"), "name").alias("id"), "ecosystem", "name", F.lit("0").alias("introduced"), F.lit("0.0.3").alias("fixed"), F.lit(None).cast("string").alias("last_affected")).distinct()
+    return advisories(t).unionByName(early)
+
+
+@query("vuln_constraint", "", f"SELECT p_partkey, id FROM {LOOSE_SQL}")
 def vuln_constraint(t):
-    p = packages(t).withColumn("constraint", F.concat(F.lit("^"), F.split("version", r"\.")[0], F.lit(".0.0"))).where("constraint <> '^0.0.0'")
-    return deps.vulnerable_constraint(p, advisories(t)).select("p_partkey")
+    return deps.vulnerable_constraint(declared(t).drop("p_type"), all_advisories(t)).select("p_partkey", "id")
+
 
+@query("constraint_forms", "", f"""SELECT CASE e WHEN 0 THEN 'npm' ELSE 'pypi' END AS ecosystem, lo IS NOT NULL AS parsed, count(DISTINCT "constraint") AS n FROM {DECLARED_SQL} GROUP BY ALL""")
+def constraint_forms(t):
+    return deps.constraint_ranges(declared(t)).groupBy("ecosystem", "parsed").agg(F.countDistinct("constraint").alias("n"))
 
-@query("vulnerable_packages", "", f"SELECT p_brand AS project, count(*) AS n FROM {VULN} GROUP BY p_brand")
+
+@query("vulnerable_packages", "",
+       f"""SELECT 'package:' || p_partkey AS target, 'exact' AS basis, p_size || '.' || (p_partkey % 10) || '.0' AS version, NULL AS "constraint", 0.9::DOUBLE AS confidence, 'A-' || p_name AS advisories FROM {VULN}
+       WHERE p_type <> 'LARGE' AND p_partkey % 3 <> 0 UNION ALL SELECT 'dependency:' || p_partkey, 'constraint', NULL, any_value("constraint"), 0.5, string_agg(id, ',' ORDER BY id) FROM {LOOSE_SQL} WHERE p_type = 'LARGE' AND p_partkey % 3 <> 0
+       GROUP BY p_partkey""")
 def vulnerable_packages(t):
-    return deps.vulnerable_exact(packages(t), advisories(t)).groupBy("project").agg(F.count("*").alias("n"))
+    """Installed and merely declared packages that projects use, with their advisories."""
+    installed = packages(t).join(t.part.where("p_type <> 'LARGE'").select("p_partkey"), "p_partkey").withColumn("target", F.concat(F.lit("package:"), F.col("p_partkey").cast("string")))
+    wanted = declared(t).where("p_type = 'LARGE'").withColumn("target", F.concat(F.lit("dependency:"), F.col("p_partkey").cast("string")))
+    uses = t.part.where("p_partkey % 3 <> 0").select(F.explode(F.array(*[F.concat(F.lit(k), F.col("p_partkey").cast("string")) for k in ("package:", "dependency:")])).alias("target"))
+    z = F.col("id").startswith("Z-")
+    ranges = all_advisories(t)
+    exact = deps.vulnerable(installed, wanted.limit(0), ranges.where(~z), uses)
+    loose = deps.vulnerable(installed.limit(0), wanted, ranges, uses)
+    return exact.unionByName(loose).withColumn("advisories", F.array_join("advisories", ","))
 
 
 @query("dep_projects", "",
@@ -290,20 +330,52 @@ def osv_intervals(t):
     return deps.osv_intervals(t.part.select(doc.alias("line"))).select("id", "ecosystem", "name", "introduced", F.coalesce("fixed", F.lit("")).alias("fixed"))
 
 
-@query("sbom_packages", "", "SELECT p_brand AS doc, p_name AS name, CAST(p_size AS VARCHAR) AS version FROM part")
-def sbom_packages(t):
-    comp = F.collect_list(F.struct(F.lit("library").alias("type"), F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("version")))
-    spdx = F.collect_list(F.struct(F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("versionInfo")))
+# the parts of a brand are the packages of a project; each depends on two later ones, and odd brands name what their root depends on
+PLACED = "(SELECT p_brand, p_name, p_size, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, CAST(substr(p_brand, -1, 1) AS INT) % 2 = 1 AS odd FROM part)"
+NODE_SQL = "'npm:' || p_name || '@' || p_partkey || '.' || p_size"
+
+
+def sboms(t):
+    """One document per brand: CycloneDX for odd ones, SPDX for even ones."""
+    placed = t.part.withColumn("i", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")))
+    i = F.col("i")
+    ref = lambda n: F.concat(F.lit("p"), n.cast("string"))
+    version = F.concat_ws(".", F.col("p_partkey").cast("string"), F.col("p_size").cast("string"))
+    purl = F.concat(F.lit("pkg:npm/"), F.replace(F.url_encode("p_name"), F.lit("+"), F.lit("%20")), F.lit("@"), version)
+    comp = F.array_sort(F.collect_list(F.struct(ref(i).alias("bom-ref"), F.lit("library").alias("type"), purl.alias("purl"))))
+    needs = F.array_sort(F.collect_list(F.struct(ref(i).alias("ref"), F.array(ref(2 * i), ref(2 * i + 1)).alias("dependsOn"))))
     odd = F.substring("p_brand", -1, 1).isin("1", "3", "5", "7", "9")
-    a = t.part.where(odd).groupBy(F.col("p_brand").alias("doc")).agg(comp.alias("components"))
-    b = t.part.where(~odd).groupBy(F.col("p_brand").alias("doc")).agg(spdx.alias("packages"))
-    docs = a.select("doc", F.to_json(F.struct("components")).alias("line")).unionByName(b.select("doc", F.to_json(F.struct("packages")).alias("line")))
-    return deps.sbom_packages(docs, "doc")
+    root = F.array(F.struct(F.lit("root").alias("ref"), F.array(F.lit("p1"), F.lit("p6")).alias("dependsOn")))
+    head = F.struct(F.struct(F.lit("root").alias("bom-ref"), F.lit("app").alias("name")).alias("component"))
+    c = placed.where(odd).groupBy(F.col("p_brand").alias("doc")).agg(comp.alias("components"), needs.alias("needs"))
+    c = c.select("doc", F.to_json(F.struct(head.alias("metadata"), "components", F.concat(root, "needs").alias("dependencies"))).alias("line"))
+    pack = F.array_sort(F.collect_list(F.struct(ref(i).alias("SPDXID"), F.array(F.struct(F.lit("purl").alias("referenceType"), purl.alias("referenceLocator"))).alias("externalRefs"))))
+    link = lambda a, kind, b: F.struct(a.alias("spdxElementId"), F.lit(kind).alias("relationshipType"), b.alias("relatedSpdxElement"))
+    links = F.flatten(F.collect_list(F.array(link(ref(i), "DEPENDS_ON", ref(2 * i)), link(ref(2 * i + 1), "DEPENDENCY_OF", ref(i)))))
+    x = placed.where(~odd).groupBy(F.col("p_brand").alias("doc")).agg(pack.alias("packages"), links.alias("relationships"))
+    return c.unionByName(x.select("doc", F.to_json(F.struct("packages", "relationships")).alias("line")))
+
+
+@query("sbom_packages", "", f"SELECT p_brand AS doc, 'npm' AS ecosystem, p_name AS name, p_partkey || '.' || p_size AS version, i = 1 OR (odd AND i = 6) AS direct FROM {PLACED}")
+def sbom_packages(t):
+    return deps.sbom_tables(sboms(t), "doc")[0]
+
+
+@query("sbom_edges", "", f"WITH n AS (SELECT *, {NODE_SQL} AS node FROM {PLACED}) SELECT a.p_brand AS doc, a.node AS parent, b.node AS child FROM n a JOIN n b ON a.p_brand = b.p_brand AND b.i // 2 = a.i")
+def sbom_edges(t):
+    return deps.sbom_tables(sboms(t), "doc")[1]
 
 
-@query("dep_graph", "", f"SELECT p_brand AS project, p_name AS name, p_type = 'PROMO' AS direct, count(*) AS vulnerabilities FROM {VULN} GROUP BY ALL")
+@query("dep_graph", "", f"""WITH RECURSIVE n AS (SELECT *, {NODE_SQL} AS node FROM {PLACED}), w AS (SELECT p_brand, node, i, node AS via, 1 AS depth FROM n WHERE i = 1 OR (odd AND i = 6)
+       UNION ALL SELECT n.p_brand, n.node, n.i, w.via, w.depth + 1 FROM w JOIN n ON n.p_brand = w.p_brand AND n.i // 2 = w.i), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, node ORDER BY depth, via) AS rn FROM w) WHERE rn = 1)
+       SELECT n.p_brand AS doc, n.node, n.i = 1 OR (odd AND n.i = 6) AS direct, b.depth, b.via, CASE WHEN n.p_size >= 30 THEN 'A' || (n.p_size % 7) || ',B' ELSE '' END AS vulnerabilities FROM n JOIN b ON b.p_brand = n.p_brand AND b.node = n.node""")
 def dep_graph(t):
-    return deps.vulnerable_exact(packages(t), advisories(t)).groupBy("project", "name", "direct").agg(F.count("*").alias("vulnerabilities"))
+    """Every package of every project with its distance, the direct dependency that brings it in, and its advisories."""
+    packs, edges = deps.sbom_tables(cut(sboms(t)), "doc")
+    packs = cut(packs)
+    size = F.substring_index("version", ".", -1).cast("int")
+    hits = packs.where(size >= 30).select("ecosystem", "name", "version", F.explode(F.array(F.concat(F.lit("A"), (size % 7).cast("string")), F.lit("B"))).alias("id"))
+    return deps.dependency_graph(packs, edges, hits, "doc").withColumn("vulnerabilities", F.array_join("vulnerabilities", ","))
 
 
 @query("pair_versions", "",
