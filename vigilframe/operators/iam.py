@@ -113,7 +113,7 @@ def privilege_paths(
 def holds_privileged_role(edges: DataFrame, objects: DataFrame, who: DataFrame) -> DataFrame:
     """(id): principals that reach a privileged role over memberships and roles."""
     privileged = objects.where("type = 'role' AND privileged").select(F.col("id").alias("node"))
-    reach = closure(edges, who.select(F.col("id").alias("start")), 20, F.col("type").isin("MEMBER_OF", "HAS_ROLE"))
+    reach = closure(edges, who.select(F.col("id").alias("start")), 1 << 30, F.col("type").isin("MEMBER_OF", "HAS_ROLE"))
     return reach.where("hops > 0").join(privileged, "node", "left_semi").select(F.col("start").alias("id")).distinct()
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from vigilframe.functions import netaddr
 from vigilframe.functions.levels import SEVERITIES, severity_name
-from vigilframe.operators.graph import closure
+from vigilframe.operators.graph import closure, union_all
+from vigilframe.operators.loops import cut
+from vigilframe.operators.network import most_specific_suffix
 
 # Ports that should not face the Internet.
 SENSITIVE_PORTS: dict[int, tuple[str, str]] = {
@@ -34,7 +36,7 @@ def name_covers(pattern: Column, name: Column) -> Column:
     """Certificate names: equal, or a wildcard for exactly one label."""
     wild = pattern.startswith("*.") & (F.substring_index(name, ".", 1) != "") & F.contains(name, F.lit("."))
     rest = F.substring(name, F.instr(name, ".") + 1, F.length(name))
-    return (pattern == name) | (wild & (rest == F.substring(pattern, 3, 300)))
+    return (pattern == name) | (wild & (rest == F.substring(pattern, 3, F.length(pattern))))
 
 
 def certificates(certs: DataFrame, now_us: int | Column, soon_days: int = 30) -> DataFrame:
@@ -58,7 +60,7 @@ def name_mismatch(endpoints: DataFrame, names: DataFrame) -> DataFrame:
         F.lit("certificate-name-mismatch").alias("rule"), F.concat_ws("|", "endpoint", "name").alias("subject"), F.lit("MEDIUM").alias("severity"))
 
 
-def resolve_names(dns: DataFrame, hops: int = 8) -> DataFrame:
+def resolve_names(dns: DataFrame, hops: int = 1 << 30) -> DataFrame:
     """(name, node): everything a name leads to over CNAME chains, addresses included; ``dns(name, type, value)``."""
     edges = dns.where("type IN ('CNAME', 'A', 'AAAA')").select(F.col("name").alias("src"), F.col("value").alias("dst"))
     starts = dns.select(F.col("name").alias("start")).distinct()
@@ -83,12 +85,61 @@ def exposed_services(services: DataFrame) -> DataFrame:
     return s.select(F.lit("exposed-sensitive-service").alias("rule"), F.col("service").alias("subject"), "severity", "product")
 
 
+def nearest_marked(marked: DataFrame, parents: DataFrame) -> DataFrame:
+    """(asset, value, hops): for all that lies below something ``marked(asset, value)``, the value of the nearest such thing up ``parents(asset, parent)``; the
+    smallest among equally near ones.
+
+    Marks go down level by level, and what has one takes no other, so every link is followed once and circles end; no asset is left half way.
+    """
+    links = cut(parents.select("asset", "parent").distinct())
+    frontier = cut(marked.groupBy("asset").agg(F.min("value").alias("value")).withColumn("hops", F.lit(0)))
+    levels = [frontier]
+    while not frontier.isEmpty():
+        below = links.join(frontier.withColumnRenamed("asset", "parent"), "parent").groupBy("asset").agg(F.min("value").alias("value"), (F.max("hops") + 1).alias("hops"))
+        frontier = cut(below.join(union_all([x.select("asset") for x in levels]), "asset", "left_anti"))
+        levels.append(frontier)
+    return union_all(levels)
+
+
 def ownership(assets: DataFrame, owners: DataFrame, parents: DataFrame) -> DataFrame:
-    """(asset, owner, via): its own owner, else the smallest owner of a parent ``parents(asset, parent)``."""
-    own = assets.select("asset").join(owners.groupBy("asset").agg(F.min("owner").alias("direct")), "asset", "left")
-    up = parents.join(owners.select(F.col("asset").alias("parent"), "owner"), "parent").groupBy("asset").agg(F.min("owner").alias("inherited"))
-    via = F.when(F.col("direct").isNotNull(), "direct").when(F.col("inherited").isNotNull(), "inherited")
-    return own.join(up, "asset", "left").select("asset", F.coalesce("direct", "inherited").alias("owner"), via.alias("via"))
+    """(asset, owner, via, hops): its own owner, else that of the nearest owned thing it runs on or lies in, at any distance."""
+    found = nearest_marked(owners.select("asset", F.col("owner").alias("value")), parents)
+    via = F.when(F.col("hops") == 0, "direct").when(F.col("hops") > 0, "inherited")
+    return assets.select("asset").join(found, "asset", "left").select("asset", F.col("value").alias("owner"), via.alias("via"), "hops")
+
+
+def heads(links: DataFrame) -> DataFrame:
+    """(node, head, unfinished) of ``links(node, up)``, one upward link per node: where the links of a node end. Pointers double in every round, so a chain of
+    n links takes log n rounds. Nodes of a circle, and those that lead into one, are returned as unfinished."""
+    state = cut(links.select("node", "up"))
+    rounds = max(1, state.count()).bit_length() + 1
+    moving = True
+    while moving and rounds:
+        nxt = state.withColumnsRenamed({"node": "n", "up": "u"})
+        state = cut(state.join(nxt, F.col("up") == F.col("n"), "left").select("node", F.coalesce("u", "up").alias("up"), F.col("u").isNotNull().alias("moved")))
+        moving = not state.where("moved").isEmpty()
+        state, rounds = state if not moving else state.select("node", "up"), rounds - 1
+    if not moving:
+        return state.select("node", F.col("up").alias("head"), F.lit(False).alias("unfinished"))
+    ends = state.join(links.select(F.col("node").alias("up")).distinct().withColumn("more", F.lit(True)), "up", "left")
+    return ends.select("node", F.col("up").alias("head"), F.col("more").isNotNull().alias("unfinished"))
+
+
+def out_of_scope(names: DataFrame, scopes: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """(rule, subject, members): names (``name``) that no authorized suffix of ``scopes(suffix)`` covers, one row per group. A name joins the closest parent name that
+    is out of scope itself, other assets (``name`` too) the flagged thing that ``parents(name, parent)`` gives; ``members`` are the group's names, the subject first."""
+    tagged = most_specific_suffix(names.select("name").distinct(), "name", scopes.select("suffix").distinct().withColumn("scope", F.lit(True)), "scope")
+    flagged = cut(tagged.where("scope IS NULL").select("name"))
+    labels = F.split("name", r"\.")
+    above = F.transform(F.sequence(F.lit(2), F.size(labels)), lambda i: F.struct(i.alias("skip"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("up")))
+    ups = flagged.where(F.contains("name", F.lit("."))).select("name", F.inline(above)).join(flagged.select(F.col("name").alias("up")), "up").groupBy("name").agg(F.min_by("up", "skip").alias("up"))
+    if parents is not None:
+        other = parents.join(flagged, "name", "left_semi").join(flagged.select(F.col("name").alias("parent")), "parent", "left_semi").groupBy("name").agg(F.min("parent").alias("up"))
+        ups = other.unionByName(ups.join(other, "name", "left_anti"))
+    top = heads(ups.select(F.col("name").alias("node"), "up")).select(F.col("node").alias("name"), "head")
+    grouped = flagged.join(top, "name", "left").withColumn("head", F.coalesce("head", "name"))
+    g = grouped.groupBy("head").agg(F.array_sort(F.collect_set(F.when(F.col("name") != F.col("head"), F.col("name")))).alias("rest"))
+    return g.select(F.lit("out-of-scope-asset").alias("rule"), F.col("head").alias("subject"), F.concat(F.array("head"), "rest").alias("members"))
 
 
 def unowned(assets: DataFrame, owned: DataFrame) -> DataFrame:

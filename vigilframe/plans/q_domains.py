@@ -416,9 +416,13 @@ def surf_dangling(t):
     return surface.dangling(dns(t), live)
 
 
-@query("surface_assets", "", f"SELECT name, CASE WHEN name LIKE 'blog.%' THEN substr(name, 6) WHEN name LIKE '%.net' THEN '10.9.8.7' ELSE '203.0.113.9' END AS node FROM {HOSTS}")
+DNS_SQL = f"(SELECT name, CASE WHEN name LIKE 'blog.%' THEN substr(name, 6) WHEN name LIKE '%.net' THEN '10.9.8.7' ELSE '203.0.113.9' END AS value FROM {HOSTS})"
+
+
+@query("surface_assets", "", f"WITH RECURSIVE w AS (SELECT name, value AS node, 1 AS hops FROM {DNS_SQL} UNION ALL SELECT w.name, d.value, hops + 1 FROM w JOIN {DNS_SQL} d ON d.name = w.node) SELECT name, node, hops FROM w")
 def surface_assets(t):
-    return surface.resolve_names(dns(t)).where("hops = 1").select("name", "node")
+    """Everything each name leads to, at any distance."""
+    return surface.resolve_names(dns(t)).select("name", "node", "hops")
 
 
 @query("surf_names", "", f"SELECT 'certificate-name-mismatch' AS rule, 'e|' || name AS subject, 'MEDIUM' AS severity FROM {HOSTS} WHERE NOT (name LIKE '%.example.com' AND length(name) - length(replace(name, '.', '')) = 2)")
@@ -444,21 +448,31 @@ def surf_services(t):
 
 
 def surf_parts(t):
-    owners = t.supplier.where("s_acctbal > 3000").select(F.concat(F.lit("host:s"), F.col("s_suppkey").cast("string")).alias("asset"), F.col("s_name").alias("owner"))
-    parents = t.rel.where("type = 'RUNS'").select(F.col("dst").alias("asset"), F.col("src").alias("parent"))
+    """Some hosts and some networks have owners; services run on hosts, hosts lie in networks, networks in a region's organization."""
+    hosts_owned = t.supplier.where("s_acctbal > 6000").select(F.concat(F.lit("host:s"), F.col("s_suppkey").cast("string")).alias("asset"), F.col("s_name").alias("owner"))
+    nets_owned = t.nation.where("n_nationkey % 3 = 0").select(F.concat(F.lit("network:n"), F.col("n_nationkey").cast("string")).alias("asset"), F.col("n_name").alias("owner"))
+    orgs_owned = t.region.where("r_regionkey = 1").select(F.concat(F.lit("organization:o"), F.col("r_regionkey").cast("string")).alias("asset"), F.col("r_name").alias("owner"))
+    owners = hosts_owned.unionByName(nets_owned).unionByName(orgs_owned)
+    lies_in = t.nation.select(F.concat(F.lit("network:n"), F.col("n_nationkey").cast("string")).alias("asset"), F.concat(F.lit("organization:o"), F.col("n_regionkey").cast("string")).alias("parent"))
+    parents = t.rel.where("type = 'RUNS'").select(F.col("dst").alias("asset"), F.col("src").alias("parent")).unionByName(
+        t.rel.where("type = 'MEMBER_OF' AND src LIKE 'host:%'").select(F.col("src").alias("asset"), F.col("dst").alias("parent"))).unionByName(lies_in)
     assets = t.obj.where("type IN ('host', 'service')").select(F.col("id").alias("asset"), (F.col("type") == "service").alias("internet"), "criticality")
     return assets, owners, parents
 
 
-OWN = """(SELECT a.id AS asset, a.type, a.criticality, coalesce(max(d.s_name), min(p.s_name)) AS owner, CASE WHEN max(d.s_name) IS NOT NULL THEN 'direct' WHEN min(p.s_name) IS NOT NULL THEN 'inherited' ELSE '' END AS via FROM
- obj a LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 3000) d ON 'host:s' || d.s_suppkey = a.id LEFT JOIN rel r ON r.type = 'RUNS' AND r.dst = a.id LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 3000) p ON
- 'host:s' || p.s_suppkey = r.src WHERE a.type IN ('host', 'service') GROUP BY a.id, a.type, a.criticality)"""
+OWN = """(WITH ow AS (SELECT 'host:s' || s_suppkey AS id, s_name AS owner FROM supplier WHERE s_acctbal > 6000 UNION ALL SELECT 'network:n' || n_nationkey, n_name FROM nation WHERE n_nationkey % 3 = 0 UNION ALL
+ SELECT 'organization:o' || r_regionkey, r_name FROM region WHERE r_regionkey = 1), up AS (SELECT dst AS id, src AS parent FROM rel WHERE type = 'RUNS' UNION ALL SELECT src, dst FROM rel WHERE type = 'MEMBER_OF' AND src LIKE 'host:%'
+ UNION ALL SELECT 'network:n' || n_nationkey, 'organization:o' || n_regionkey FROM nation), l0 AS (SELECT id AS asset, id AS node, 0 AS hops FROM obj WHERE type IN ('host', 'service')),
+ l1 AS (SELECT DISTINCT asset, parent AS node, 1 AS hops FROM l0 JOIN up ON up.id = node), l2 AS (SELECT DISTINCT asset, parent AS node, 2 AS hops FROM l1 JOIN up ON up.id = node),
+ l3 AS (SELECT DISTINCT asset, parent AS node, 3 AS hops FROM l2 JOIN up ON up.id = node), best AS (SELECT asset, min({'h': hops, 'o': owner}) AS b FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2
+ UNION ALL SELECT * FROM l3) l JOIN ow ON ow.id = l.node GROUP BY asset) SELECT a.id AS asset, a.type, a.criticality, b.o AS owner, CASE WHEN b.h = 0 THEN 'direct' WHEN b.h > 0 THEN 'inherited' ELSE '' END AS via, b.h AS hops
+ FROM obj a LEFT JOIN best ON best.asset = a.id WHERE a.type IN ('host', 'service'))"""
 
 
-@query("surface_owner", "obj rel", f"SELECT asset, coalesce(owner, '') AS owner, via FROM {OWN}")
+@query("surface_owner", "obj rel", f"SELECT asset, coalesce(owner, '') AS owner, via, hops FROM {OWN}")
 def surface_owner(t):
     o = surface.ownership(*surf_parts(t))
-    return o.select("asset", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("via", F.lit("")).alias("via"))
+    return o.select("asset", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("via", F.lit("")).alias("via"), "hops")
 
 
 @query("surf_unowned", "obj rel",
@@ -483,9 +497,9 @@ def surf_storage(t):
     return surface.public_storage(b)
 
 
-@query("surf_scope", "", f"SELECT 'out-of-scope-asset' AS rule, name AS subject FROM {HOSTS} WHERE name NOT LIKE '%.example.com' AND name NOT LIKE '%.example.net'")
+@query("surf_scope", "", f"""WITH fl AS (SELECT name FROM {HOSTS} WHERE name NOT LIKE '%.example.com'), hd AS (SELECT name, coalesce((SELECT min({{'n': length(p.name), 'p': p.name}}) FROM fl p WHERE fl.name LIKE '%.' || p.name).p, name) AS head FROM fl)
+       SELECT 'out-of-scope-asset' AS rule, head AS subject, head || coalesce(',' || string_agg(name, ',' ORDER BY name) FILTER (name <> head), '') AS members FROM hd GROUP BY head""")
 def surf_scope(t):
-    from vigilframe.operators.network import most_specific_suffix
-
-    scopes = t.region.where("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "example.com").otherwise("example.net").alias("suffix"), F.lit("ours").alias("scope"))
-    return most_specific_suffix(hosts(t), "name", scopes, "scope").where("scope IS NULL").select(F.lit("out-of-scope-asset").alias("rule"), F.col("name").alias("subject"))
+    """Names outside the scope, each group under its uppermost name."""
+    scopes = t.region.where("r_regionkey = 0").select(F.lit("example.com").alias("suffix"))
+    return surface.out_of_scope(hosts(t), scopes).withColumn("members", F.array_join("members", ","))

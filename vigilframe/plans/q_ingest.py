@@ -254,18 +254,16 @@ def zone_of_ip(t):
 
 
 @query("scope_domain", "",
-       """SELECT page_id, CASE WHEN regexp_extract(url, '://([^/?#:]+)', 1) LIKE 'blog.%' THEN 'other' WHEN regexp_extract(url, '://([^/?#:]+)', 1) LIKE
-       '%.example.com' THEN 'com' WHEN regexp_extract(url, '://([^/?#:]+)', 1) LIKE '%.example.net' THEN 'net' ELSE 'none' END AS scope FROM pages WHERE NOT
-       regexp_extract(url, '://([^/?#:]+)', 1) LIKE 'blog.%'""")
+       """SELECT page_id, CASE WHEN host LIKE 'blog.%.example.com' THEN 'blogs' WHEN '.' || host LIKE '%.example.com' THEN 'com' WHEN '.' || host LIKE '%.example.net' THEN 'net' WHEN '.' || host LIKE '%.site3.example.org'
+       THEN 'three' ELSE 'none' END AS scope FROM (SELECT page_id, regexp_extract(url, '://([^/?#:]+)', 1) AS host FROM pages)""")
 def scope_domain(t):
+    """Every page by the longest authorized suffix of its host, some of them inside others."""
     from vigilframe.operators.network import most_specific_suffix
 
-    host = F.regexp_extract("url", r"://([^/?#:]+)", 1)
-    p = t.pages.select("page_id", host.alias("host")).where("host NOT LIKE 'blog.%'")
-    scopes = t.region.where("r_regionkey < 2").select(
-        F.when(F.col("r_regionkey") == 0, "example.com").otherwise("example.net").alias("suffix"),
-        F.when(F.col("r_regionkey") == 0, "com").otherwise("net").alias("scope"))
-    return most_specific_suffix(p, "host", scopes, "scope").select("page_id", F.coalesce("scope", F.lit("none")).alias("scope"))
+    p = t.pages.select("page_id", F.regexp_extract("url", r"://([^/?#:]+)", 1).alias("host"))
+    blogs = p.where("host LIKE 'blog.%.example.com'").select(F.col("host").alias("suffix"), F.lit("blogs").alias("scope")).distinct()
+    fixed = t.spark.createDataFrame([("example.com", "com"), ("example.net", "net"), ("site3.example.org", "three")], "suffix string, scope string")
+    return most_specific_suffix(p, "host", fixed.unionByName(blogs), "scope").select("page_id", F.coalesce("scope", F.lit("none")).alias("scope"))
 
 
 @query("resolve_refs", "obj",
