@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,63 +29,99 @@ from vigilframe.llm.common import cut, pieces
 SEQUENCE = 2048
 UNIT = 8
 END_ID = 1
-_STEM = re.compile(r"([A-Za-z]+)([.,;:!?]+)?")
-KEPT_WORDS = 500_000  # words whose ids a worker remembers
+_STEM = re.compile(r"([A-Za-z]+)([.,;:!?]+)")
+_MARKS = re.compile(r"[.,;:!?]+")
+KEPT_BYTES = 48 << 20  # of words that a worker remembers, their places counted
+JOINED = 2000  # words encoded in one go
 COLUMNS = 4000  # pivots of the linear program at most; the plan is valid after any of them
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class Encoder:
-    """Ids of texts through a word cache. The tokenizer drops blanks and line feeds and never joins across them, so words can be encoded apart."""
+    """Ids of texts through a cache. The tokenizer drops blanks and line feeds and never joins across them, so words can be encoded apart; what a worker remembers
+    of them is bounded in bytes.
+
+    New words of letters alone, or of marks alone, are encoded many at a time with blanks between them: the token that ends a word tells them apart again. If their
+    ends do not come out right, or the tokenizer has no such tokens, they are encoded one by one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab() if suffix else {}
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
+        """Words and where their two stems stand; stems and where their ids stand. Stem 0 is empty."""
         self.place: dict[str, int] = {}
-        self.stems: dict[str, list[int]] = {}
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.ids, self.filled = np.zeros(1 << 18, np.uint32), 0
+        self.stems: dict[str, int] = {"": 0}
+        self.first, self.second = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.ids, self.filled, self.held = np.zeros(1 << 14, np.uint32), 0, 0
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray, at: int) -> None:
+        while self.filled + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        while at + len(sizes) > len(self.size):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.size[at : at + len(sizes)] = sizes
+        self.start[at : at + len(sizes)] = self.filled + np.cumsum(sizes) - sizes
+        self.filled += len(ids)
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words. ASCII letters with marks after them are two runs to the tokenizer, whatever their case, so most new words are known stems."""
-        parts = [(m.group(1).lower(), m.group(2) or "") if (m := _STEM.fullmatch(w)) else (w, "") for w in words]
         stems = self.stems
-        fresh = [x for x in dict.fromkeys(x for pair in parts for x in pair) if x not in stems]
-        for at in range(0, len(fresh), 20_000):
-            block = fresh[at : at + 20_000]
-            for x, encoding in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                stems[x] = encoding.ids
-        ids = [stems[a] + stems[b] if b else stems[a] for a, b in parts]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, total = len(self.place) - len(words), int(size.sum())
-        while len(self.place) > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-        while self.filled + total > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.size[first : len(self.place)] = size
-        self.start[first : len(self.place)] = self.filled + np.cumsum(size) - size
-        self.filled += total
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, with the end id after each text, and where each text's ids start."""
-        if len(self.place) > KEPT_WORDS:
+        parts = [(w.lower() if w.isascii() else w, "") if w.isalpha() else (m.group(1).lower(), m.group(2)) if (m := _STEM.fullmatch(w)) else (w, "") for w in words]
+        fresh = [x for x in dict.fromkeys(chain.from_iterable(parts)) if x not in stems]
+        single = [x for x in fresh if x.isalpha() or _MARKS.fullmatch(x)] if self.ends.any() else []
+        known_ends = set(single)
+        alone = [x for x in fresh if x not in known_ends] if len(single) < len(fresh) else []
+        for at in range(0, len(single), JOINED):
+            block = single[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.flatnonzero(self.ends[ids])
+            if len(cuts) != len(block) or cuts[-1] != len(ids) - 1:
+                alone += block
+                continue
+            self._keep(ids, np.diff(np.concatenate([[-1], cuts])), len(stems))
+            stems.update(zip(block, range(len(stems), len(stems) + len(block)), strict=True))
+        for at in range(0, len(alone), JOINED):
+            block = alone[at : at + JOINED]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(block, add_special_tokens=False)]
+            self._keep(np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)), len(stems))
+            stems.update(zip(block, range(len(stems), len(stems) + len(block)), strict=True))
+        known = len(self.place) - len(words)
+        while len(self.place) > len(self.first):
+            self.first, self.second = np.resize(self.first, 2 * len(self.first)), np.resize(self.second, 2 * len(self.second))
+        self.first[known : len(self.place)] = np.fromiter((stems[a] for a, _ in parts), np.int32, len(parts))
+        self.second[known : len(self.place)] = np.fromiter((stems[b] for _, b in parts), np.int32, len(parts))
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, with the end id after each text, and where each text's ids start. Python sees the distinct words of the texts only."""
+        if self.held > KEPT_BYTES:
             self._forget()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = [w for ws in split for w in ws]
-        fresh = [w for w in dict.fromkeys(words) if w not in self.place]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = [w for w in distinct if w not in self.place]
+        self.held += sum(map(len, fresh)) + 100 * len(fresh)
         self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
         self._learn(fresh)
-        which = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        places = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        which = places[coded.indices.to_numpy()]
+        which = np.stack([self.first[which], self.second[which]], axis=1).reshape(-1)
         size = self.size[which]
-        out = self.ids[np.repeat(self.start[which] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))]
-        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(ws) for ws in split])] if texts else np.zeros(0, np.int64)
+        before = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        out = self.ids[np.repeat(self.start[which] - before[:-1], size) + np.arange(before[-1])]
+        ends = before[2 * np.cumsum(split.value_lengths().to_numpy(), dtype=np.int64)]
         out = np.insert(out, ends, END_ID)
         return out.astype("<u4"), np.concatenate([[0], ends + np.arange(1, len(texts) + 1)]).astype(np.int64)
 
@@ -96,7 +133,7 @@ def tokenized(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> Data
         encoder = Encoder(tokenizer)
         for batch in batches:
             for part in pieces(batch, "text", 2 << 20):
-                ids, starts = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                ids, starts = encoder.encode(part.column(1))
                 doc, start, length, crc, total = [], [], [], [], []
                 view = memoryview(ids).cast("B")
                 for key, a, b in zip(part.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
