@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import Words, flat, lowered, pieces
+from vigilframe.llm.common import Words, flat, lowered, pieces, released
 from vigilframe.llm.fmindex import FMIndex
 
 WINDOW = 13
@@ -170,7 +170,7 @@ def _pass(docs: DataFrame, phrases: Phrases) -> DataFrame:
         yield from flush()
 
     carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[5:])
-    return docs.mapInArrow(search, FOUND + carried)
+    return docs.mapInArrow(released(search), FOUND + carried)
 
 
 def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, str]]]:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import Words, cut, flat, lowered, mixed, pieces, runs_of
+from vigilframe.llm.common import Words, cut, flat, lowered, mixed, pieces, released, runs_of
 
 SHINGLE = 5
 SLOTS = 128
@@ -83,7 +83,7 @@ def signed(docs: DataFrame, size: int = SHINGLE, carry: tuple[str, ...] = ()) ->
                 columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (ids, signatures, packed)), *part.columns[2:]]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", "signature", "packed", *part.schema.names[2:]])
 
-    return chosen.mapInArrow(sign, schema)
+    return chosen.mapInArrow(released(sign), schema)
 
 
 def _entries(sets: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def _entries(sets: DataFrame) -> DataFrame:
                     [_fixed(keys.reshape(n * ORDERS, -1)), _fixed(sketch).take(pa.array(numbers)), part.column(0).take(pa.array(numbers))], names=["key", "sketch", "set_id"],
                 )
 
-    return sets.select("set_id", "signature").mapInArrow(lay_out, "key binary, sketch binary, set_id binary")
+    return sets.select("set_id", "signature").mapInArrow(released(lay_out), "key binary, sketch binary, set_id binary")
 
 
 def _sketch(slots: np.ndarray) -> np.ndarray:
@@ -174,7 +174,7 @@ def _neighbours(entries: DataFrame) -> DataFrame:
         if tail:
             yield _edge(*tail, part_no + 1, 0)
 
-    return entries.mapInArrow(pairs, PAIR)
+    return entries.mapInArrow(released(pairs), PAIR)
 
 
 def _edge(keys: np.ndarray, sketches: np.ndarray, ids: list, edge: int, side: int) -> pa.RecordBatch:
@@ -228,7 +228,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int = SHIN
 
     left = texts.select(F.col("set_id").alias("a"), F.col("packed").alias("x"))
     right = texts.select(F.col("set_id").alias("b"), F.col("packed").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary, linked boolean")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(released(compare), "a binary, b binary, linked boolean")
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -332,7 +332,7 @@ def kept_rows(docs: DataFrame, percent: int = 85, size: int = SHINGLE) -> DataFr
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), *part.columns[2:]], names=["doc_id", "text", *part.schema.names[2:]])
 
     schema = "doc_id long, text string" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[2:])
-    return chosen.mapInArrow(unpack, schema).select(*(F.col(c if c in ("doc_id", "text") else f"carried_{c}").alias(c) for c in docs.columns))
+    return chosen.mapInArrow(released(unpack), schema).select(*(F.col(c if c in ("doc_id", "text") else f"carried_{c}").alias(c) for c in docs.columns))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -378,4 +378,4 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     for end, name in (("a", "x"), ("b", "y")):
         pairs = pairs.join(texts.select(F.col("set_id").alias(end), F.col("sketch").alias(name)), end)
-    return pairs.select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
+    return pairs.select("a", "b", "x", "y").mapInArrow(released(judge), "a binary, b binary")

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import cut, pieces
+from vigilframe.llm.common import cut, pieces, released
 
 SEQUENCE = 2048
 UNIT = 8
@@ -146,7 +146,7 @@ def tokenized(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> Data
                         total.append(b - a)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, length, crc, total)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(encode), PIECES)
 
 
 def _knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -285,6 +285,6 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFrame
                 slot[mine] = where.slot[k][run]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence_id), pa.array(slot)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot"])
 
-    placed = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", F.col("rank").cast("long")).mapInArrow(place, PIECES + ", sequence_id long, slot long")
+    placed = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", F.col("rank").cast("long")).mapInArrow(released(place), PIECES + ", sequence_id long, slot long")
     offset = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot")) - F.col("length")
     return placed.withColumn("offset", offset).drop("slot")

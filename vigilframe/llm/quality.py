@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import fold
+from vigilframe.llm.common import fold, trim
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -110,5 +110,7 @@ def with_score(docs: DataFrame, model: Model | None, text: str = "text", score:
             x = _measures([(t or "").encode() for t in batch], *tools)
             z = _terms((x - model.middle) / model.spread) @ model.weights
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            del batch, x, z
+            trim()
 
     return docs.withColumn(score, scored(F.coalesce(F.col(text), F.lit(""))))

@@ -13,9 +13,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilframe.llm.common import trim
+
 KINDS = ("assign", "access", "hex", "novel")
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -86,26 +88,22 @@ def with_spans(docs: DataFrame, text: str = "text", spans: str = "secret_spans",
         tool = packer()
         for batch in batches:
             yield pd.Series([[{"kind": k, "start": s, "end": e} for k, s, e in spans_of(t or "", tool, least)] for t in batch])
+            del batch
+            trim()
 
     return docs.withColumn(spans, found(F.coalesce(F.col(text), F.lit(""))))
 
 
-def masked(text: str, spans: str):
+def masked(text: str, spans: str) -> Column:
     """The text with every span, or run of overlapping spans, replaced by ``[redacted]``."""
+    ordered = F.array_sort(F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("done"))
+
+    def part(frm: Column, length: Column) -> Column:
+        return F.substring(F.col(text), (frm + 1).cast("int"), length.cast("int"))
+
+    def hide(a: Column, s: Column) -> Column:
+        out = F.concat(a["out"], part(a["done"], s["start"] - a["done"]), F.lit("[redacted]"))
+        return F.struct(F.when(s["start"] >= a["done"], out).otherwise(a["out"]).alias("out"), F.greatest(a["done"], s["end"]).alias("done"))
 
-    @F.pandas_udf("string")
-    def hide(texts: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for t, all_spans in zip(texts, found, strict=True):
-            if t is None or all_spans is None or not len(all_spans):
-                out.append(t)
-                continue
-            parts, done = [], 0
-            for s in sorted(all_spans, key=lambda s: (s["start"], s["end"])):
-                if s["start"] >= done:
-                    parts += [t[done : s["start"]], "[redacted]"]
-                done = max(done, s["end"])
-            out.append("".join([*parts, t[done:]]))
-        return pd.Series(out, dtype=object)
-
-    return hide(F.col(text), F.col(spans))
+    return F.aggregate(ordered, begin, hide, lambda a: F.concat(a["out"], part(a["done"], F.length(text))))
