@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,35 +122,63 @@ def walk(links: DataFrame, starts: DataFrame, depth: int = 3, backward: bool = T
                                                               F.lit(0.0).alias("confidence"), F.lit(0).alias("level"))
 
 
-def best_chains(links: DataFrame, starts: DataFrame, max_links: int = 6, branches: int = 3, floor: float = 0.1, min_conf: float = 0.3) -> DataFrame:
-    """Best causal chain into each ``starts(start, node, bound_us)`` by summed support; no object twice.
+# Links of one trace, links of a chain, links tried at each step and in one search: limits of the answer, not of the data behind it.
+MAX_LINKS, CHAIN_LINKS, BRANCHES, BUDGET = 400, 12, 3, 2000
+LEAST_CONFIDENCE, LEAST_SUPPORT = 0.3, 0.1
 
-    The support of a link is its confidence, halved for every quarter of an hour (hyperbolically) before the link that follows it. Every partial chain
-    goes on with its best ``branches`` links, so a start has at most branches^max_links of them; the first link is an observed one where there is any
-    (column ``kind``, if the links have it).
+
+def best_chain(subject: str, links: list[tuple], max_links: int = CHAIN_LINKS, branches: int = BRANCHES, budget: int = BUDGET) -> tuple[list[tuple], float]:
+    """The chain of causes into ``subject`` with the largest summed support, nearest link first; no object twice. ``links``: (cause, effect, us, confidence, observed, event).
+
+    A link supports the one after it by its confidence, halved a quarter of an hour before it (hyperbolically); below ``LEAST_SUPPORT`` it is none. The first link
+    is an observed one where there is any. The search goes depth-first over the best links of each step, so its first chain is the greedy one.
     """
-    observed = F.col("kind") == "observed" if "kind" in links.columns else F.lit(True)
-    usable = cut(links.where(F.col("confidence") >= min_conf).select("cause", F.col("effect").alias("node"), "us", "confidence", "event_id", observed.alias("observed")))
-    state = cut(starts.select("start", F.array("node").alias("path"), F.array().cast("array<string>").alias("trail"), "node", "bound_us", F.lit(0.0).alias("score"), F.lit(0).alias("n")))
-    done = [state.where("1 = 0")]
-    for turn in range(max_links):
-        j = state.join(usable, "node").where((F.col("us") <= F.col("bound_us")) & ~F.array_contains("path", F.col("cause")))
-        if turn == 0:
-            j = j.withColumn("any_observed", F.max("observed").over(Window.partitionBy("start"))).where("observed OR NOT any_observed")
-            support = F.col("confidence")
-        else:
-            support = F.col("confidence") / (1 + (F.col("bound_us") - F.col("us")) / F.lit(MINUTE_US) / 15)
-        w = Window.partitionBy("start", "trail").orderBy(F.desc("support"), F.desc("us"), F.desc("cause"), F.desc("event_id"))
-        grown = j.withColumn("support", support).where(F.col("support") >= floor).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= branches)
-        state = cut(grown.select(
-            "start", F.concat("path", F.array("cause")).alias("path"), F.concat("trail", F.array("event_id")).alias("trail"), F.col("cause").alias("node"), F.col("us").alias("bound_us"),
-            (F.col("score") + F.col("support")).alias("score"), (F.col("n") + 1).alias("n")))
-        if state.isEmpty():
-            break
-        done.append(state)
-    best = F.max_by(F.struct("path", "score", "n"), F.struct("score", F.array_join("path", ">")))
-    return union_all(done).groupBy("start").agg(best.alias("b")).select(
-        "start", F.array_join(F.reverse("b.path"), ">").alias("chain"), F.round("b.score", 4).alias("score"), F.col("b.n").alias("links"))
+    into: dict[str, list[tuple]] = {}
+    for link in links:
+        if link[3] >= LEAST_CONFIDENCE:
+            into.setdefault(link[1], []).append(link)
+    best: tuple[list[tuple], float] = ([], 0.0)
+    left = budget
+
+    def steps(node: str, bound: int | None, taken: set[str]) -> list[tuple]:
+        fits = [x for x in into.get(node, ()) if x[0] not in taken and (bound is None or x[2] <= bound)]
+        if bound is None:
+            fits = [x for x in fits if x[4]] or fits
+        rated = [(x[3] if bound is None else x[3] / (1 + (bound - x[2]) / MINUTE_US / 15), x[2], x[0], x[5] or "", x) for x in fits]
+        return sorted((r for r in rated if r[0] >= LEAST_SUPPORT), key=lambda r: r[:4], reverse=True)[:branches]
+
+    # one entry for each link of the chain: the steps still to try after it, the chain up to it, its support
+    open_steps = [(iter(steps(subject, None, {subject})), [], 0.0)]
+    while open_steps:
+        rest, chain, support = open_steps[-1]
+        step = next(rest, None)
+        if step is None or left <= 0:
+            open_steps.pop()
+            continue
+        left -= 1
+        grown, total = [*chain, step[4]], support + step[0]
+        if total > best[1]:
+            best = grown, total
+        if len(grown) < max_links:
+            open_steps.append((iter(steps(step[4][0], step[4][2], {subject, *(x[0] for x in grown)})), grown, total))
+    return best
+
+
+def best_chains(traced: DataFrame, max_links: int = CHAIN_LINKS) -> DataFrame:
+    """(start, chain, score, links): the best causal chain into each start of ``traced(start, cause, effect, us, confidence, level)`` and, if there are any, ``kind`` and
+    ``event_id``. Of a trace its ``MAX_LINKS`` nearest links count, so a search is small; starts are searched side by side."""
+    observed = F.col("kind") == "observed" if "kind" in traced.columns else F.lit(True)
+    event = F.col("event_id") if "event_id" in traced.columns else F.lit(None).cast("string")
+    w = Window.partitionBy("start").orderBy("level", F.desc("us"), "cause", "effect", F.desc("confidence"))
+    near = traced.withColumn("n", F.row_number().over(w)).where(F.col("n") <= MAX_LINKS).select("start", "cause", "effect", "us", "confidence", observed.alias("observed"), event.alias("event_id"))
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        subject = rows["start"].iloc[0]
+        chain, score = best_chain(subject, list(rows[["cause", "effect", "us", "confidence", "observed", "event_id"]].itertuples(index=False, name=None)), max_links)
+        text = ">".join([x[0] for x in reversed(chain)] + [subject])
+        return pd.DataFrame({"start": [subject], "chain": [text], "score": [round(score, 4)], "links": [len(chain)]})
+
+    return near.groupBy("start").applyInPandas(search, "start string, chain string, score double, links int").where("links > 0")
 
 
 # ---------------------------------------------------------------- replay

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
 
+from pyspark.sql import functions as F
 
 from vigilframe.operators import timeline as tl
+from vigilframe.operators.graph import union_all
+from vigilframe.operators.loops import shared_dir
 from vigilframe.plans.registry import query
 from vigilframe.sources import columns, decode, files
 
@@ -207,18 +210,62 @@ def export_graph(t):
     return total(n, "node").unionByName(total(e, "edge"))
 
 
+def _digest_sql(name: str, rows: str, **columns: str) -> str:
+    """Rows and digest of a table whose columns are named here with their JSON text."""
+    body = " || ',' || ".join(f"""'"{c}":' || {text}""" for c, text in sorted(columns.items()))
+    return f"""SELECT '{name}' AS name, count(*) AS rows, CAST(coalesce(sum(CAST('0x' || substr(sha256('{{' || {body} || '}}'), 1, 15) AS HUGEINT)), 0) AS VARCHAR) AS digest FROM ({rows})"""
+
+
+def _quoted(column: str) -> str:
+    return f"""'"' || {column} || '"'"""
+
+
 @query("bundle_closure", "ev eo inc",
        """WITH s AS (SELECT * FROM ev WHERE severity = 'HIGH'), o AS (SELECT DISTINCT object_id FROM eo WHERE event_id IN (SELECT id FROM s)), r AS (SELECT DISTINCT
-       actor_id, target_id FROM ev WHERE event_type = 'auth.login') SELECT 'events' AS name, count(*) AS rows FROM s UNION ALL SELECT 'event_objects', count(*) FROM
-       eo WHERE event_id IN (SELECT id FROM s) UNION ALL SELECT 'objects', count(*) FROM o UNION ALL SELECT 'relationships', count(*) FROM r WHERE actor_id IN
-       (SELECT object_id FROM o) AND target_id IN (SELECT object_id FROM o) UNION ALL SELECT 'incident_events', count(*) FROM inc WHERE event_id IN (SELECT id
-       FROM s)""")
+       actor_id, target_id FROM ev WHERE event_type = 'auth.login') SELECT 'events' AS name, count(*) AS rows, '' AS digest FROM s UNION ALL """
+       + _digest_sql("event_objects", "SELECT * FROM eo WHERE event_id IN (SELECT id FROM s)", event_id=_quoted("event_id"), object_id=_quoted("object_id"), role=_quoted("role"), us="CAST(us AS VARCHAR)") + " UNION ALL "
+       + _digest_sql("objects", "SELECT * FROM o", id=_quoted("object_id")) + " UNION ALL "
+       + _digest_sql("relationships", "SELECT * FROM r WHERE actor_id IN (SELECT object_id FROM o) AND target_id IN (SELECT object_id FROM o)", src=_quoted("actor_id"), dst=_quoted("target_id")) + " UNION ALL "
+       + _digest_sql("incident_events", "SELECT * FROM inc WHERE event_id IN (SELECT id FROM s)", incident_id=_quoted("incident_id"), event_id=_quoted("event_id"), us="CAST(us AS VARCHAR)"))
 def bundle_closure(t):
     edges = t.ev.where("event_type = 'auth.login'").select(F.col("actor_id").alias("src"), F.col("target_id").alias("dst")).distinct()
     objects = t.eo.select(F.col("object_id").alias("id")).distinct()
     parts = files.bundle(t.ev.where("severity = 'HIGH'"), t.eo, t.inc, edges, objects)
     m = files.manifest(parts)
-    return m.select(F.col("table").alias("name"), "rows")
+    return m.select(F.col("table").alias("name"), "rows", F.when(F.col("table") == "events", "").otherwise(F.col("digest")).alias("digest"))
+
+
+def _state(t, keep: str):
+    """Merged objects and relationships of some events, with these events and what they involve."""
+    from vigilframe.operators import merge
+
+    e = t.ev.where(keep)
+    base = [
+        F.substring("id", 7, 20).cast("long").alias("seq"), F.col("us").alias("first_us"), F.col("us").alias("last_us"), F.col("us").alias("from_us"), F.lit(None).cast("long").alias("to_us"), "source", "confidence",
+        F.array("event_type").alias("tags"), F.lit(1).cast("long").alias("observations"), F.lit(False).alias("synthetic")]
+    o = merge.merge_objects(e.select(F.col("target_id").alias("key"), F.col("target_id").alias("name"), *base).withColumnRenamed("key", "id"))
+    r = merge.merge_relationships(e.select(F.concat_ws(">", "actor_id", "target_id").alias("key"), F.col("actor_id").alias("src"), F.col("event_type").alias("type"), F.col("target_id").alias("dst"), *base).drop("tags").withColumn("type", F.lit("SEEN")).withColumnRenamed("key", "id"))
+    ids = e.select(F.col("id").alias("event_id"))
+    return {"objects": o, "relationships": r, "events": e, "event_objects": t.eo.join(ids, "event_id", "left_semi"), "incident_events": t.inc.join(ids, "event_id", "left_semi")}
+
+
+@query("bundle_import", "ev eo inc", """WITH s AS (SELECT * FROM ev WHERE k % 2 = 0), b AS (SELECT * FROM ev WHERE k % 3 = 0), every AS (SELECT * FROM ev WHERE k % 2 = 0 OR k % 3 = 0),
+       o AS (SELECT 'objects' AS name, target_id AS id, greatest(count(*) FILTER (k % 2 = 0), count(*) FILTER (k % 3 = 0)) AS observations, min(us) AS first_us, max(us) AS last_us, max(confidence) AS confidence FROM every GROUP BY target_id),
+       r AS (SELECT 'relationships', actor_id || '>' || target_id, greatest(count(*) FILTER (k % 2 = 0), count(*) FILTER (k % 3 = 0)), min(us), max(us), max(confidence) FROM every GROUP BY actor_id, target_id)
+       SELECT * FROM o UNION ALL SELECT * FROM r UNION ALL SELECT 'events', id, 1, us, us, confidence FROM every UNION ALL SELECT 'event_objects', e.object_id, count(*), min(e.us), max(e.us), NULL FROM eo e JOIN every ON every.id = e.event_id GROUP BY e.object_id
+       UNION ALL SELECT 'incident_events', i.incident_id, count(*), min(i.us), max(i.us), NULL FROM inc i JOIN every ON every.id = i.event_id GROUP BY i.incident_id""")
+def bundle_import(t):
+    """A store of half the events after a bundle of a third of them was imported, twice."""
+    base = f"{shared_dir(t.spark).rstrip('/')}/bundle-{uuid.uuid4().hex}"
+    files.create_store(_state(t, "k % 2 = 0"), f"{base}/store")
+    files.write_bundle(_state(t, "k % 3 = 0"), f"{base}/bundle")
+    files.import_bundle(t.spark, f"{base}/bundle", f"{base}/store")
+    s = files.import_bundle(t.spark, f"{base}/bundle", f"{base}/store")
+    merged = [s[name].select(F.lit(name).alias("name"), "id", "observations", "first_us", "last_us", "confidence") for name in ("objects", "relationships")]
+    one = s["events"].select(F.lit("events").alias("name"), "id", F.lit(1).cast("long").alias("observations"), F.col("us").alias("first_us"), F.col("us").alias("last_us"), "confidence")
+    links = [s[name].groupBy(F.lit(name).alias("name"), F.col(key).alias("id")).agg(F.count("*").alias("observations"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.lit(None).cast("double").alias("confidence"))
+             for name, key in (("event_objects", "object_id"), ("incident_events", "incident_id"))]
+    return union_all([*merged, one, *links])
 
 
 @query("evidence_for_object", "eo", "SELECT object_id, event_id FROM eo WHERE object_id = 'host:h2'")
