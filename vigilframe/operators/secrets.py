@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilframe.functions.folds import once
 from vigilframe.functions.text import entropy, redact_secret
 
 # Token formats with the confidence of the rule.
@@ -19,7 +20,6 @@ TOKENS: dict[str, tuple[str, float]] = {
     "jwt": (r"(?<![A-Za-z0-9_\-])(eyJ[A-Za-z0-9_\-]{5,2048}\.eyJ[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{8,})(?![A-Za-z0-9_\-])", 0.7),
     "private-key": (r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)", 0.95),
     "url-credentials": (r"(?i)\b[a-z][a-z0-9+.\-]{1,20}://[^\s:/?#@\"'<>]{1,128}:([^\s@/?#\"'<>]{1,256})@[a-z0-9.\-_~%\[\]]+", 0.8),
-    "assignment": (r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_.\-]?key|access[_.\-]?key)[\"']?\s*(?::=|=>|=|:)\s*[\"']([^\"'\s]{4,512})[\"']", 0.6),
 }
 # Words that announce a secret, and the shape of a random-looking string.
 KEYWORD = (
@@ -56,6 +56,10 @@ PLACEHOLDER_SHAPES = [
 TEST_PATH = r"(?i)(^|[/_.\-])(tests?|specs?|fixtures?|examples?|samples?|mocks?|docs?)([/_.\-]|$)"
 
 
+# What a line must hold for a rule's pattern to match at all.
+GATES = {"github-token": "_", "gitlab-token": "glpat-", "slack-token": "xox", "stripe-key": "k_live_", "openai-key": "sk-", "google-api-key": "AIza", "jwt": "eyJ", "private-key": "PRIVATE KEY", "url-credentials": "://"}
+
+
 def is_placeholder(value: Column, key: Column | None = None) -> Column:
     """Whether a value only stands for a secret. ``key``: the name it was assigned to; a value that repeats its own name, or the last part of it, is one."""
     t = F.regexp_replace(F.trim(value), r"^[\"']+|[\"']+$", "")
@@ -78,31 +82,75 @@ CLOUD_SECRET_BITS = 3.5
 CLOUD_SECRET_CONFIDENCE = 0.7
 
 
-def scan(texts: DataFrame, key: str, text: str = "text", threshold: float = 4.5) -> DataFrame:
-    """(key, line, rule, value) of every candidate in whole texts, placeholders left out."""
-    lines = texts.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("n", "content")).select(key, (F.col("n") + 1).alias("line"), "content")
+# Names of credentials: last words, their endings, and pairs of last words; what is assigned to them has this confidence.
+SECRET_WORDS = ["password", "passwd", "pwd", "pass", "passphrase", "secret", "token", "apikey"]
+SECRET_ENDINGS = ["password", "passwd", "secret", "token", "apikey"]
+SECRET_PAIRS = ["api key", "secret key", "app key", "master key", "encryption key", "signing key"]
+ASSIGNMENT_CONFIDENCE = 0.6
+# A name, a sign of assignment and a value, quoted or bare; an XML element that holds a value. Group 1 is the name, group 2 the value.
+ASSIGNED = r"""([A-Za-z_][A-Za-z0-9_.\-]{0,80})["']?\s*(?::=|=>|=|:)\s*("[^"]{1,512}"|'[^']{1,512}'|[^\s"'<>,;]{1,512})"""
+ELEMENT = r"<([A-Za-z_][A-Za-z0-9_.\-]{0,80})>([^<>\s][^<>]{0,255})</\1>"
+
+
+def key_parts(key: Column) -> Column:
+    """Lower-case words of a name in snake, kebab, dotted or camel case."""
+    spaced = F.regexp_replace(F.regexp_replace(key, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
+    return F.filter(F.split(F.lower(spaced), r"[\s_.\-]+"), lambda p: p != "")
+
+
+def is_secret_key(key: Column) -> Column:
+    """Whether a name is that of a credential: by its last word, or its last two."""
+
+    def named(parts: Column) -> Column:
+        last = F.element_at(parts, -1)
+        ending = F.lit(False)
+        for word in SECRET_ENDINGS:
+            ending = ending | last.endswith(word)
+        return (F.size(parts) > 0) & (last.isin(SECRET_WORDS) | ending | F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), " ").isin(SECRET_PAIRS))
+
+    return once(key_parts(key), named)
+
+
+def assignments(lines: DataFrame, key: str, config: Column | None = None) -> DataFrame:
+    """(key, line, rule, value): what names of credentials are set to. Bare values and XML elements count in configuration files only (``config``); elsewhere a bare
+    value is an expression. Numbers, paths, addresses and placeholders are none."""
+    pair = lambda pattern: F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all("content", F.lit(pattern), F.lit(2)).alias("raw"))
+    found = F.when(F.col("content").rlike(r"[=:]|</"), F.concat(pair(ASSIGNED), F.transform(pair(ELEMENT), lambda p: F.struct(p["name"].alias("name"), p["raw"].alias("raw")))))
+    rows = lines.withColumn("config_", config if config is not None else F.lit(False)).select(key, "line", "config_", F.inline(found))
+    quoted = F.col("raw").rlike("""^"[^"]*"$|^'[^']*'$""")
+    rows = rows.withColumns({"quoted": quoted, "value": F.when(quoted, F.expr("substring(raw, 2, length(raw) - 2)")).otherwise(F.col("raw"))}).where("quoted OR config_")
+    path = F.contains("value", F.lit("://")) | F.col("value").rlike(r"^(/|\./|\.\./|~/).*/")
+    plain = ~F.col("value").rlike(r"^\d+$") & ~path & (F.trim("value") != "") & is_secret_key(F.col("name"))
+    return rows.where(plain & ~is_placeholder(F.col("value"), F.element_at(key_parts(F.col("name")), -1))).select(key, "line", F.lit("assignment").alias("rule"), "value")
+
+
+def scan(texts: DataFrame, key: str, text: str = "text", threshold: float = 4.5, config: Column | None = None) -> DataFrame:
+    """(key, line, rule, value) of every candidate in whole texts, placeholders left out. ``config``: whether a row of ``texts`` is a configuration file."""
+    named_config = texts.withColumn("config_", config if config is not None else F.lit(False))
+    lines = named_config.select(key, "config_", F.posexplode(F.split(F.col(text), "\n")).alias("n", "content")).select(key, "config_", (F.col("n") + 1).alias("line"), "content")
+    none = F.expr("CAST(array() AS array<struct<rule:string,value:string>>)")
 
     def named(rule: str, pattern: str) -> Column:
         values = F.regexp_extract_all("content", F.lit(pattern), F.lit(1))
         return F.transform(values, lambda v: F.struct(F.lit(rule).alias("rule"), v.alias("value")))
 
-    found = [named(rule, pattern) for rule, (pattern, _) in TOKENS.items()]
+    found = [F.when(F.contains("content", F.lit(GATES[rule])), named(rule, pattern)).otherwise(none) if rule in GATES else named(rule, pattern) for rule, (pattern, _) in TOKENS.items()]
     cloud = F.filter(named("aws-secret-access-key", CLOUD_SECRET), lambda h: h["value"].rlike(r"\d") & h["value"].rlike("[a-z]") & h["value"].rlike("[A-Z]") & (entropy(h["value"]) >= CLOUD_SECRET_BITS))
-    found.append(F.when(F.col("content").rlike(CLOUD_SECRET_LINE), cloud).otherwise(F.filter(cloud, lambda h: F.lit(False))))
-    hits = lines.select(key, "line", F.explode(F.flatten(F.array(*found))).alias("h")).select(key, "line", "h.*").distinct()
+    found.append(F.when(F.col("content").rlike(CLOUD_SECRET_LINE), cloud).otherwise(none))
+    hits = lines.select(key, "line", F.explode(F.flatten(F.array(*found))).alias("h")).select(key, "line", "h.*").where(~is_placeholder(F.col("value")))
+    hits = hits.unionByName(assignments(lines, key, F.col("config_"))).distinct()
     near = lines.where(F.col("content").rlike(KEYWORD)).select(key, "line", F.explode(F.regexp_extract_all("content", F.lit(RANDOM), F.lit(1))).alias("value"))
     is_hex = F.col("value").rlike(r"^[0-9a-fA-F]+$")
     mixed = F.when(is_hex, F.col("value").rlike(r"\d")).otherwise(F.col("value").rlike(r"\d") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[A-Z]"))
     random = near.where(mixed & ~F.col("value").rlike(r"^[a-z0-9._\-]+(?:/[a-z0-9._\-]+){2,}$")).withColumn("bits", entropy(F.col("value")))
-    random = random.where(F.col("bits") >= F.when(is_hex, threshold * 4 / 6).otherwise(threshold)).select(key, "line", F.lit("high-entropy").alias("rule"), "value").distinct()
+    random = random.where((F.col("bits") >= F.when(is_hex, threshold * 4 / 6).otherwise(threshold)) & ~is_placeholder(F.col("value"))).select(key, "line", F.lit("high-entropy").alias("rule"), "value").distinct()
     # a value another rule already names is not reported again
-    random = random.join(hits.select(key, "line", "value"), [key, "line", "value"], "left_anti")
-    return hits.unionByName(random).where(~is_placeholder(F.col("value")))
+    return hits.unionByName(random.join(hits.select(key, "line", "value"), [key, "line", "value"], "left_anti"))
 
 
 def confidence(rule: Column, path: Column) -> Column:
     """Precision of the rule, lowered for paths that look like tests; 0.05 to 0.99."""
-    base = F.when(rule == "aws-secret-access-key", CLOUD_SECRET_CONFIDENCE).otherwise(F.lit(0.5))
+    base = F.when(rule == "aws-secret-access-key", CLOUD_SECRET_CONFIDENCE).when(rule == "assignment", ASSIGNMENT_CONFIDENCE).otherwise(F.lit(0.5))
     for name, (_, score) in TOKENS.items():
         base = F.when(rule == name, score).otherwise(base)
     return F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.99), base - F.when(path.rlike(TEST_PATH), 0.3).otherwise(0.0))), 4)

@@ -159,14 +159,24 @@ def chain_verify(t):
 
 # ---------------------------------------------------------------- secrets
 
-ASSIGN = r"""(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_.\-]?key|access[_.\-]?key)["'']?\s*(?::=|=>|=|:)\s*["'']([^"''\s]{4,512})["'']"""
+LINES_SQL = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)"
+ASSIGN_SQL = f"""(SELECT DISTINCT doc_id, line, substr(raw, 2, length(raw) - 2) AS value FROM (SELECT *, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(name, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'),
+ '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[\\s_.\\-]+'), lambda p: p <> '') AS parts FROM (SELECT doc_id, line, unnest(regexp_extract_all(content, '{sec.ASSIGNED.replace("'", "''")}', 1)) AS name,
+ unnest(regexp_extract_all(content, '{sec.ASSIGNED.replace("'", "''")}', 2)) AS raw FROM {LINES_SQL}))
+ WHERE left(raw, 1) IN ('"', chr(39)) AND (list_contains({sec.SECRET_WORDS}, parts[-1]) OR regexp_matches(parts[-1], '({"|".join(sec.SECRET_ENDINGS)})$') OR list_contains({sec.SECRET_PAIRS}, array_to_string(parts[-2:], ' ')))
+ AND NOT regexp_full_match(substr(raw, 2, length(raw) - 2), '[0-9]+'))"""
 
 
-@query("secret_scan", "",
-       f"""SELECT DISTINCT doc_id, line, 'assignment' AS rule, unnest(regexp_extract_all(content, '{ASSIGN}', 1)) AS value FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content,
-       generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)""")
+@query("secret_scan")
 def secret_scan(t):
-    return sec.scan(t.documents, "doc_id").where("rule = 'assignment'").select("doc_id", F.col("line").cast("long").alias("line"), "rule", "value")
+    """Every rule over all lines; tests compare it with a plain search."""
+    return sec.scan(t.documents, "doc_id").select("doc_id", F.col("line").cast("long").alias("line"), "rule", "value")
+
+
+@query("secret_assignments", "", f"SELECT doc_id, line, value FROM {ASSIGN_SQL}")
+def secret_assignments(t):
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "content")).select("doc_id", (F.col("n") + 1).cast("long").alias("line"), "content")
+    return sec.assignments(lines, "doc_id").select("doc_id", "line", "value").distinct()
 
 
 @query("secret_rules", "")
@@ -189,12 +199,11 @@ def secret_confidence(t):
     return t.pages.select("page_id", sec.confidence(rule, path).alias("confidence"))
 
 
-@query("secret_fingerprint", "",
-       f"""SELECT count(*) AS places, substr(v, 1, 3) || '****' || right(v, 4) AS shown FROM (SELECT DISTINCT doc_id, line, v FROM (SELECT doc_id, line, unnest(regexp_extract_all(content, '{ASSIGN}', 1)) AS v
-       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents))) WHERE length(v) > 11 GROUP BY v""")
+@query("secret_fingerprint", "", f"SELECT count(*) AS places, CASE WHEN length(value) >= 12 THEN substr(value, 1, 3) || '****' || right(value, 4) ELSE repeat('*', least(length(value), 8)) END AS shown FROM {ASSIGN_SQL} GROUP BY value")
 def secret_fingerprint(t):
-    hits = sec.scan(t.documents, "doc_id").where("rule = 'assignment' AND length(value) > 11")
-    return sec.report(hits, "doc_id", "salt").select("places", "shown")
+    """One row per assigned secret, with the places it stands in."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "content")).select("doc_id", (F.col("n") + 1).alias("line"), "content")
+    return sec.report(sec.assignments(lines, "doc_id").distinct(), "doc_id", "salt").select("places", "shown")
 
 
 @query("secret_allowlist", "", "SELECT page_id, page_id % 5 = 0 OR page_id % 2 = 0 AS allowed FROM pages")
