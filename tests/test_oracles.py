@@ -8,7 +8,8 @@ from tools.check import TABLES, norm
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["flt_narrow", "histogram", "max_window", "merge_objects", "memberships", "det_chains", "diff_objects", "packet_flows", "policy_flows", "decode_syslog",
-         "secret_scan", "vuln_exact", "surf_dangling", "trace_walk", "st_dedup"]
+         "secret_assignments", "vuln_exact", "vuln_constraint", "dep_graph", "surf_dangling", "surface_owner", "surf_scope", "trace_walk", "st_dedup", "policy_ports", "policy_diff", "observed_path", "bundle_closure",
+         "scope_domain"]
 
 
 @pytest.fixture(scope="module")
