@@ -102,6 +102,21 @@ def test_fm_index():
         assert sorted(index.locate(np.arange(low[k], high[k])).tolist()) == places
 
 
+def test_novel_strings_by_size_alone():
+    rng = random.Random(12)
+    words = ["".join(rng.choices(["ver", "sch", "ung", "keit", "in", "der", "lich", "ein"], k=rng.randint(1, 6))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    tool, found = secretscan.packer(), 0
+    for _ in range(40):
+        key = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=24))  # letters only
+        for text in (f"{prose(60)} secret key is {key} {prose(60)}", f"{prose(60)} {key} is the api key {prose(60)}", f"{prose(60)} api key: {'und so ' * 12}{key} {prose(60)}"):
+            spans = [text[s:e] for k, s, e in secretscan.spans_of(text, tool) if k == "novel"]
+            found += key in spans
+            assert set(spans) <= {key}  # long words beside it are left alone
+        assert not secretscan.spans_of(f"{prose(60)} {key} {prose(60)}", tool)  # nothing sensitive near it
+    assert found >= 118
+
+
 def test_secret_scan(docs, empty):
     out = secretscan.with_spans(docs.select("doc_id", "text"), spans="all_spans").collect()
     base = [[s for s in r.all_spans if s.kind != "novel"] for r in out]

@@ -29,9 +29,10 @@ _ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASC
 
 SENSITIVE = re.compile(r"passw|passphrase|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|signing[ _-]?key|credential|bearer|authorization|client[ _-]?id|session[ _-]?id|\bauth\b|\bpwd\b|\bkey\b", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-CONTEXT_CHARS = 60  # before a candidate: where the sensitive word must stand
+CONTEXT_CHARS = 100  # on either side of a candidate: where the sensitive word must stand
 AROUND_CHARS = 400  # text on either side that the candidate is measured against
-NOVEL_SHARE = 0.6  # of the candidate's length
+# Marginal bytes per character that make a candidate new: random strings of letters and digits cost 0.9 or more, words, names and paths nearly always less than 0.8.
+NOVEL_SHARE = 0.85
 LEVEL = 3
 
 IDENTIFIERS = (
@@ -52,9 +53,7 @@ def _novel(text: str, taken: list[tuple[int, int]], packer: zstandard.ZstdCompre
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
         word = m.group()
-        if not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
-            continue
-        if any(s < end and start < e for s, e in taken) or not SENSITIVE.search(text, max(0, start - CONTEXT_CHARS), start):
+        if any(s < end and start < e for s, e in taken) or not (SENSITIVE.search(text, max(0, start - CONTEXT_CHARS), start) or SENSITIVE.search(text, end, end + CONTEXT_CHARS)):
             continue
         before, after = text[max(0, start - AROUND_CHARS) : start], text[end : end + AROUND_CHARS]
         alone = len(packer.compress((before + after).encode()))
