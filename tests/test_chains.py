@@ -50,3 +50,43 @@ def test_chains_of_many_starts(spark):
     rows = [("a", "x", "a", 100, 0.9, 1), ("a", "y", "x", 90, 0.8, 2), ("a", "z", "x", 95, 0.4, 2), ("b", "x", "b", 10, 0.2, 1), ("c", "x", "c", 10, 0.5, 1)]
     got = {r.start: (r.chain, r.links) for r in trace.best_chains(spark.createDataFrame(rows, "start string, cause string, effect string, us long, confidence double, level int")).collect()}
     assert got == {"a": ("y>x>a", 2), "c": ("x>c", 1)}
+
+
+def test_chains_use_every_link(spark):
+    """The cause that goes on lies behind ten newer links of its relation and a newer way to its object, and the start has over 400 links."""
+    minute = 60_000_000
+    links = [("x", "a", 1000 * minute, 0.9)] + [(f"late{k}", "x", (1000 - k) * minute, 0.3) for k in range(10)] + [("y", "x", 989 * minute, 0.9)]
+    links += [("x", "y", 1100 * minute, 0.9)] + [(f"new{k}", "y", (1099 - k) * minute, 0.9) for k in range(10)] + [("z", "y", 988 * minute, 0.9), ("end", "z", 987 * minute, 0.9)]
+    links += [(f"n{k}", "a", k * minute, 0.3) for k in range(450)]
+    table = spark.createDataFrame([(*x, f"e{k}") for k, x in enumerate(links)], "cause string, effect string, us long, confidence double, event_id string")
+    starts = spark.createDataFrame([("a", "a", 2000 * minute)], "start string, node string, bound_us long")
+    (got,) = trace.best_chains(table, starts).collect()
+    assert (got.chain, got.links) == ("end>z>y>x>a", 4)
+
+
+def test_chains_equal_the_plain_search(spark):
+    rng = random.Random(6)
+    rows = []
+    for start in range(25):
+        nodes = [f"s{start}", *(f"n{k}" for k in range(6))]
+        for k in range(rng.randint(0, 14)):
+            rows.append((f"s{start}", *rng.sample(nodes, 2), rng.randrange(90) * 60_000_000, rng.choice([0.2, 0.3, 0.6, 0.9]), rng.choice(["observed", "correlated"]), f"e{k}"))
+    table = spark.createDataFrame(rows, "start string, cause string, effect string, us long, confidence double, kind string, event_id string")
+    got = {r.start: r.score for r in trace.best_chains(table).collect()}
+    want = {s: trace.best_chain(s, [(c, e, us, conf, kind == "observed", ev) for w, c, e, us, conf, kind, ev in rows if w == s], budget=10**9) for s in {r[0] for r in rows}}
+    assert got == {s: round(score, 4) for s, (chain, score) in want.items() if chain}
+
+
+def test_query_equals_sql(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from tools.check import TABLES, norm
+
+    sf_dir = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in TABLES.split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.execute(entry.oracle_sql()["trace_chain"]).fetchall()
+    got = entry.queries()["trace_chain"](spark, sf_dir).select("start", "chain", "score", "links").collect()
+    assert sorted(tuple(map(norm, r)) for r in got) == sorted(tuple(map(norm, r)) for r in want)
