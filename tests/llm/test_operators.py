@@ -343,3 +343,22 @@ def test_tree_matching():
     a, b = dom.parse("<ul><li>1<li>2<li>3</ul><p>x"), dom.parse("<ul><li>1<li>3</ul><div>y</div><p>x")
     score, pairs = wrappers.matching(a, b)
     assert score == len(pairs) == 5
+
+
+def test_near_duplicates_look_at_a_pair_once(spark, monkeypatch):
+    """Pairs between components are judged when they are candidates, when they are refused and when a hub is new, not again in every round."""
+    rng = random.Random(7)
+    texts = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts.append(" ".join(base))
+        for _ in range(250):
+            words = list(base)
+            for k in range(rng.randint(4, 6)):
+                words[5 + 45 * k + rng.randrange(40)] = f"x{rng.randrange(10**7)}"
+            texts.append(" ".join(words))
+    judged, rounds, apart, compare = [], [], neardup._apart, neardup.confirmed
+    monkeypatch.setattr(neardup, "_apart", lambda pairs, roots: (judged.extend((r.a, r.b) for r in pairs.collect()), apart(pairs, roots))[1])
+    monkeypatch.setattr(neardup, "confirmed", lambda *args: (rounds.append(1), compare(*args))[1])
+    neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    assert len(rounds) >= 4 and len(judged) <= 2 * len(set(judged))

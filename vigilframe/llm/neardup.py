@@ -272,17 +272,24 @@ def _resolved(rows: DataFrame, percent: int, size: int) -> DataFrame:
     members = open_pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     # the sketch stays beside the text: proposals are judged by it before texts are compared
     texts = cut(rows.select("row", "packed", "signature").join(classes.join(members, "set_id"), "row").select("set_id", "packed", _sketches("signature").alias("sketch")))
-    checked, roots = None, None
+    checked = roots = fresh = refused = hubs = None
     for turn in range(ROUNDS):
-        left = open_pairs
         if checked is None:  # each set's best neighbours first; links between those usually join a whole group, and the rest need no comparison
-            ends = left.select(F.col("a").alias("n"), "a", "b", "agree").unionByName(left.select(F.col("b").alias("n"), "a", "b", "agree"))
+            ends = open_pairs.select(F.col("a").alias("n"), "a", "b", "agree").unionByName(open_pairs.select(F.col("b").alias("n"), "a", "b", "agree"))
             best = F.slice(F.sort_array(F.collect_list(F.struct("agree", "a", "b")), asc=False), 1, BEST)  # of at most 2 * NEIGHBOURS * ORDERS
             left = ends.groupBy("n").agg(best.alias("p")).select(F.inline("p")).select("a", "b").distinct()
         else:
-            links = checked.where("linked").select("a", "b")
-            proposed = _apart(_proposed(cut(_apart(checked.where("NOT linked").select("a", "b"), roots)), links).join(checked, ["a", "b"], "left_anti"), roots)
-            left = _apart(left.select("a", "b").join(checked, ["a", "b"], "left_anti"), roots).unionByName(_alike(proposed, texts)).distinct()
+            # a pair is judged by components once when it is refused: proposals are new when the refusal is, or when a hub is new to an earlier refusal
+            lately, before = cut(_apart(fresh.where("NOT linked").select("a", "b"), roots)), hubs
+            hubs = cut(_hubs(checked.where("linked").select("a", "b")))
+            proposed = _proposed(lately, hubs).join(checked, ["a", "b"], "left_anti")
+            if refused is not None:
+                late = cut(hubs.join(before, ["n", "hub"], "left_anti"))
+                proposed = proposed.unionByName(_apart(_proposed(refused, late).join(checked, ["a", "b"], "left_anti"), roots)).distinct()
+            left = _alike(proposed, texts)
+            if turn == 1:  # what the first round left of the candidates; afterwards they are all compared or inside one component
+                left = _apart(open_pairs.select("a", "b").join(checked, ["a", "b"], "left_anti"), roots).unionByName(left).distinct()
+            refused = lately if refused is None else cut(refused.unionByName(lately).coalesce(parts))
         fresh = cut(confirmed(left, texts, percent, size).coalesce(16 * parts))
         if fresh.isEmpty():
             break
@@ -342,18 +349,21 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def _proposed(refused: DataFrame, links: DataFrame) -> DataFrame:
-    """For every refused pair: each side with the hubs of the other, one of which is often the text both were made from.
-
-    Hubs of a text are its most linked neighbour and all neighbours with ``HUB`` times its own links or more. ``refused`` is all that was refused so
-    far, because a side may have got its first link, or a new hub, since.
-    """
+def _hubs(links: DataFrame) -> DataFrame:
+    """(n, hub): a text's most linked neighbour, and all neighbours with ``HUB`` times its own links or more."""
     ends = links.select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(links.select(F.col("b").alias("n"), F.col("a").alias("m")))
     degree = ends.groupBy("n").agg(F.count("*").alias("degree"))
     rated = ends.join(degree.select(F.col("n").alias("m"), "degree"), "m")
     top = rated.groupBy("n").agg(F.max_by("m", F.struct("degree", "m")).alias("hub"))
     large = rated.join(degree.withColumnRenamed("degree", "own"), "n").where(F.col("degree") >= HUB * F.col("own")).select("n", F.col("m").alias("hub"))
-    hubs = cut(top.unionByName(large).distinct())
+    return top.unionByName(large).distinct()
+
+
+def _proposed(refused: DataFrame, hubs: DataFrame) -> DataFrame:
+    """For every refused pair: each side with the hubs of the other, one of which is often the text both were made from.
+
+    A hub is linked with its text, so a proposal of a pair between two components is one between the same two.
+    """
     one = refused.join(hubs.withColumnRenamed("n", "b"), "b").select("a", F.col("hub").alias("b"))
     other = refused.join(hubs.withColumnRenamed("n", "a"), "a").select("b", F.col("hub").alias("a"))
     return one.unionByName(other).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
