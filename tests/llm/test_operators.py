@@ -362,3 +362,25 @@ def test_near_duplicates_look_at_a_pair_once(spark, monkeypatch):
     monkeypatch.setattr(neardup, "confirmed", lambda *args: (rounds.append(1), compare(*args))[1])
     neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
     assert len(rounds) >= 4 and len(judged) <= 2 * len(set(judged))
+
+
+def test_quality_rules_learn_from_every_labelled_row(spark):
+    """12,000 alike rows and one odd one, wherever it stands, are all in the forest; the threshold is the exact order statistic."""
+    rng = np.random.default_rng(11)
+    texts = [(i, " ".join("w" * int(n) for n in rng.integers(2, 9, 60)) + ("!" * (i % 7))) for i in range(12000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    forest = qualityrules.learn(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    rows = qualityrules.judged(qualityrules.counted(docs), forest).collect()
+    passed = [r.anomaly for r in rows if not r.base_failed]
+    assert len([a for a in passed if a > forest.threshold]) <= qualityrules.GOOD_LOST * len(passed)
+    assert abs(sorted(passed, reverse=True)[int(qualityrules.GOOD_LOST * len(passed))] + 1e-9 - forest.threshold) < 1e-12
+    # reordered input gives the same forest
+    again = qualityrules.learn(docs.repartition(3), docs.select("doc_id", F.lit(1).alias("quality")))
+    assert (again.feature == forest.feature).all() and (again.value == forest.value).all() and again.threshold == forest.threshold
+
+
+def test_quality_rules_extents_cover_all_rows():
+    x = np.random.default_rng(12).normal(size=(40_000, 4))
+    none = np.full((qualityrules.TREES, 1), -1)
+    count, low, high = qualityrules._extents(x, np.arange(len(x)) % qualityrules.TREES, 1, none, none.astype(float), 0)
+    assert count.sum() == len(x) and (low.min(axis=0) == x.min(axis=0)).all() and (high.max(axis=0) == x.max(axis=0)).all()
