@@ -384,3 +384,83 @@ def test_quality_rules_extents_cover_all_rows():
     none = np.full((qualityrules.TREES, 1), -1)
     count, low, high = qualityrules._extents(x, np.arange(len(x)) % qualityrules.TREES, 1, none, none.astype(float), 0)
     assert count.sum() == len(x) and (low.min(axis=0) == x.min(axis=0)).all() and (high.max(axis=0) == x.max(axis=0)).all()
+
+
+def _texts(spark, pages):
+    """{url: text} of (url, html) rows."""
+    rows = [(i, url, source) for i, (url, source) in enumerate(pages)]
+    return {r.url: r.text for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+
+
+def _page(*texts, tag="div"):
+    return "<html><body>" + "".join(f"<{tag} class=t{k}>{t}</{tag}>" for k, t in enumerate(texts)) + "</body></html>"
+
+
+def test_wrappers_count_over_all_pages(spark):
+    """A text that all small pages share is not template while the many large ones vary there."""
+    pages = [(f"http://a.example/{i}", _page("Site words", "A shared lead", f"Small {i}")) for i in range(60)]
+    pages += [(f"http://a.example/{i}", _page("Site words", f"Lead {i}", f"Large {i} " + "word " * 6500)) for i in range(60, 120)]
+    by = _texts(spark, pages)
+    assert by["http://a.example/7"] == "A shared lead\nSmall 7"
+    assert by["http://a.example/70"].startswith("Lead 70\nLarge 70 word")
+
+
+def test_every_layout_of_a_host_has_its_wrapper(spark):
+    """Four pages of a rare layout lose their own site words though hundreds of others have none; too rare ones are taken together."""
+    pages = [(f"http://a.example/{i}", _page("Site words", f"Text {i}")) for i in range(300)]
+    pages += [(f"http://a.example/s{i}", _page("Shop words", f"Ware {i}", f"Price {i} " + "long " * i, tag="section")) for i in range(4)]
+    pages += [(f"http://b.example/{i}", f"<body><div class=only-{'abcdefgh'[i]}>Text {i}</div><p>Words of b</p></body>") for i in range(8)]
+    by = _texts(spark, pages)
+    assert by["http://a.example/299"] == "Text 299"
+    assert [by[f"http://a.example/s{i}"] for i in range(4)] == [f"Ware {i}\n" + f"Price {i} {'long ' * i}".strip() for i in range(4)]
+    assert [by[f"http://b.example/{i}"] for i in range(8)] == [f"Text {i}" for i in range(8)]
+
+
+def test_copies_are_one_page_and_numbers_in_ids_one_name(spark):
+    """Fifty copies do not make their article template; ids that count articles do not hide the site's words."""
+    copy = _page("Site words", "An article", "Its end")
+    pages = [(f"http://a.example/c{i}", copy) for i in range(50)] + [(f"http://a.example/{i}", _page("Site words", f"Article {i}", f"End {i}")) for i in range(2)]
+    pages += [(f"http://b.example/{i}", f"<body class='post-{i}'><div id=entry{i}>Entry {i}</div><div class=x>Words of b</div></body>") for i in range(5)]
+    by = _texts(spark, pages)
+    assert {by[f"http://a.example/c{i}"] for i in range(50)} == {"An article\nIts end"} and by["http://a.example/1"] == "Article 1\nEnd 1"
+    assert [by[f"http://b.example/{i}"] for i in range(5)] == [f"Entry {i}" for i in range(5)]
+
+
+def test_a_template_text_stays_where_it_is_not_template(spark):
+    """Equal words at another place, in two pages only, or in most but not nine of ten pages are text."""
+    pages = [(f"http://a.example/{i}", _page("Site words", f"Text {i}", "Often" if i % 5 else f"Else {i}") + ("<p>Site words</p>" if i == 3 else "")) for i in range(20)]
+    pages += [(f"http://b.example/{i}", _page("Same", f"Text {i}")) for i in range(2)]
+    by = _texts(spark, pages)
+    assert by["http://a.example/3"] == "Text 3\nOften\nSite words" and by["http://a.example/5"] == "Text 5\nElse 5"
+    assert by["http://b.example/0"] == "Same\nText 0"
+
+
+def test_html_extraction_of_no_rows(spark):
+    assert wrappers.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(("small", "large"), [(400, 1 << 22), (0, 1 << 22), (0, 4)])
+def test_tree_matching_is_the_largest(monkeypatch, small, large):
+    monkeypatch.setattr(wrappers, "SMALL_TABLE", small)
+    monkeypatch.setattr(wrappers, "LARGE_TABLE", large)
+    rng = random.Random(5)
+
+    def tree(depth):
+        node = dom.Node(rng.choice("abc"))
+        node.children = [tree(depth - 1) for _ in range(rng.randint(0, 5) if depth else 0)]
+        return node
+
+    def most(a, b):
+        if a.name != b.name:
+            return 0
+        best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+        for i, x in enumerate(a.children):
+            for j, y in enumerate(b.children):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + most(x, y))
+        return best[-1][-1] + 1
+
+    for _ in range(150):
+        a, b = tree(4), tree(4)
+        score, pairs = wrappers.matching(a, b)
+        assert score == len(pairs) == most(a, b) == len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs})
+        assert all(x.name == y.name for x, y in pairs)

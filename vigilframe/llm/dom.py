@@ -20,27 +20,23 @@ _ENDS = {
     "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)), "tbody": (("thead", "tbody", "tfoot"), ("table",)), "tfoot": (("thead", "tbody"), ("table",)),
 }
 DEPTH = 200  # elements nested deeper stand beside each other at this depth, as in browsers; their text stays
+_NUMBER = re.compile("[0-9]+")
 _SCOPES = frozenset("table td th caption button html body".split())
 
 
 class Node:
-    __slots__ = ("children", "marks", "tag")
+    """``name``: the tag with its classes and id, their numbers as 0: what tells an element of a template from another."""
+
+    __slots__ = ("children", "marks", "name", "tag")
 
     def __init__(self, tag: str, marks: str = ""):
         self.tag, self.marks = tag, marks
+        self.name = f"{tag}.{_NUMBER.sub('0', marks)}" if marks else tag
         self.children: list[Node | str] = []
 
     def nodes(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
-    @property
-    def name(self) -> str:
-        """The tag with its classes and id: what tells an element of a template from another."""
-        return f"{self.tag}.{self.marks}" if self.marks else self.tag
-
-    def own_text(self) -> str:
-        return " ".join("".join(c for c in self.children if isinstance(c, str)).split())
-
 
 def parse(source: str) -> Node:
     """The tree of a page. Unclosed elements end where HTML ends them; text inside scripts, styles and the like is left out."""
