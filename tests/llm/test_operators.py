@@ -416,6 +416,12 @@ def test_every_layout_of_a_host_has_its_wrapper(spark):
     assert [by[f"http://b.example/{i}"] for i in range(8)] == [f"Text {i}" for i in range(8)]
 
 
+def test_pages_of_rare_layouts_lose_the_words_of_the_largest(spark):
+    pages = [(f"http://a.example/{i}", _page("Site words", f"Text {i}")) for i in range(20)]
+    pages += [(f"http://a.example/s{i}", "<html><body><div class=t0>Site words</div><section>Ware</section><div class=t0>Other words</div></body>") for i in range(1)]
+    assert _texts(spark, pages)["http://a.example/s0"] == "Ware\nOther words"
+
+
 def test_copies_are_one_page_and_numbers_in_ids_one_name(spark):
     """Fifty copies do not make their article template; ids that count articles do not hide the site's words."""
     copy = _page("Site words", "An article", "Its end")

@@ -265,7 +265,7 @@ def kinds(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame, known: DataFrame) -> DataFrame:
-    """(host, kind, template) from all pages of each kind."""
+    """(host, kind, template) from all pages of each kind. Template blocks of a host's largest layout are so in its rare layouts too."""
     every = pages.where("layout IS NOT NULL").join(known, ["host", "kind"]).select("host", "kind", "pages", "h", "html", "reference")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +283,11 @@ def wrappers(pages: DataFrame, known: DataFrame) -> DataFrame:
 
     seen = every.mapInArrow(align, "host string, kind string, pages long, h long, seen array<struct<node:int,key:long>>").dropDuplicates(["host", "kind", "h"])
     counted = seen.select("host", "kind", "pages", F.inline("seen")).groupBy("host", "kind", "pages", "node", "key").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") * 100 >= F.col("pages") * SHARE).groupBy("host", "kind").agg(F.array_sort(F.collect_set("key")).alias("template"))
+    learned = cut(counted.where(F.col("n") * 100 >= F.col("pages") * SHARE).groupBy("host", "kind", "pages").agg(F.collect_set("key").alias("template")))
+    alone = learned.where("kind <> ''")
+    largest = alone.groupBy("host").agg(F.max_by("template", F.struct("pages", "kind")).alias("template"))
+    rest = learned.where("kind = ''").select("host", "template").unionByName(largest).groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("template"))).alias("template"))
+    return alone.select("host", "kind", "template").unionByName(rest.select("host", F.lit("").alias("kind"), "template"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
