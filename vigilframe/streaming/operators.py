@@ -60,83 +60,146 @@ def zoned(events: DataFrame, address: str, networks: DataFrame, zone: str = "zon
     return out.withColumn(zone, F.coalesce(*found) if found else F.lit(None).cast("string")).drop("at_", *(f"zone_{n}" for n in lengths))
 
 
-BUCKET_MS = 60_000
-FLUSH = 4096
+BUCKET_MS = 1_800_000
+FLUSH = 16_384
+SHARDS = 64
+KEPT = 400_000
 
 
 class OpenSessions(StatefulProcessor):
-    """Sessions of one (actor, host) in event time: ``opened``, ``closed``, or ``expired`` when no logout came within the time-out.
+    """Sessions of all (actor, host) of one shard in event time: ``opened``, ``closed``, or ``expired`` when no logout came within the time-out.
 
-    Events wait in buckets of a minute until the watermark has passed the bucket; its timer then takes them in the order of their time, however they arrived.
-    An open session has a timer of its own. Rows are read one by one; what is held of them is at most ``FLUSH`` rows and, later, one bucket. Nothing is kept
-    of a pair that has no open session and no waiting event.
+    Events wait in buckets of half an hour until the watermark has passed the bucket; its timer then takes them in the order of their time, however they arrived.
+    Every access to the state is a message to the JVM, so pairs share the buckets and timers of their shard, and the sessions of at most ``most`` pairs are kept from
+    a shard's first timer in a batch to the last of its waiting buckets. Rows are read one by one; what is held of them is at most ``FLUSH`` rows and, later, one
+    bucket. A pair without an open session and a waiting event has at
+    most its place in the bucket of a time-out that is not over.
     """
 
-    def __init__(self, timeout_us: int):
-        self.timeout_us = timeout_us
+    def __init__(self, timeout_us: int, most: int = KEPT):
+        self.timeout_us, self.most = timeout_us, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.since = handle.getValueState("since", "us bigint")
-        self.waiting = handle.getMapState("waiting", "until bigint", "events array<struct<us:bigint,id:string,login:boolean>>")
-
-    def _put(self, rows: dict[int, list[tuple]]) -> None:
+        self.since = handle.getMapState("since", "actor_id string, target_id string", "us bigint")
+        self.waiting = handle.getMapState("waiting", "until bigint", "events array<struct<actor_id:string,target_id:string,us:bigint,id:string,login:boolean>>")
+        self.due = handle.getMapState("due", "until bigint", "sessions array<struct<actor_id:string,target_id:string,us:bigint>>")
+        # per shard: buckets that this batch has still to take, and (session, session in the state) of pairs; shards that have no session in the state
+        self.left: dict[int, set[int]] = {}
+        self.kept: dict[int, dict[tuple, tuple]] = {}
+        self.bare: set[int] = set()
+
+    def _put(self, state, rows: dict[int, list[tuple]]) -> None:
         for until, found in rows.items():
-            if self.waiting.containsKey((until,)):
-                found = [*(tuple(e) for e in self.waiting.getValue((until,))[0]), *found]
-            else:
+            before = state.getValue((until,))
+            if before is None:
                 self.handle.registerTimer(until)
-            self.waiting.updateValue((until,), (found,))
+            else:
+                found = [*(tuple(e) for e in before[0]), *found]
+            state.updateValue((until,), (found,))
+
+    def _take(self, state, at: int) -> list[tuple]:
+        found = state.getValue((at,))
+        if found is None:
+            return []
+        state.removeKey((at,))
+        return [tuple(e) for e in found[0]]
 
     def handleInputRows(self, key, rows, timerValues):
         fresh: dict[int, list[tuple]] = {}
         n = 0
         for row in rows:
             until = (row["us"] // 1000 // BUCKET_MS + 1) * BUCKET_MS
-            fresh.setdefault(until, []).append((row["us"], row["id"], row["event_type"] == "auth.login"))
+            fresh.setdefault(until, []).append((row["actor_id"], row["target_id"], row["us"], row["id"], row["event_type"] == "auth.login"))
             n += 1
             if n % FLUSH == 0:
-                self._put(fresh)
+                self._put(self.waiting, fresh)
                 fresh = {}
-        self._put(fresh)
+        self._put(self.waiting, fresh)
         return iter(())
 
-    def _expired(self, key, until_us: int):
-        """A session whose time-out lies at or before an instant ends there."""
-        since = self.since.get()[0] if self.since.exists() else None
-        if since is not None and since + self.timeout_us <= until_us:
-            self.since.clear()
-            yield Row(actor_id=key[0], target_id=key[1], us=since + self.timeout_us, change="expired")
+    def _get(self, shard: int, pair: tuple) -> tuple:
+        if pair in self.kept[shard]:
+            return self.kept[shard][pair]
+        found = None if shard in self.bare else self.since.getValue(pair)
+        return (None, None) if found is None else (found[0], found[0])
+
+    def _set(self, shard: int, pair: tuple, since: int | None, stored: int | None) -> None:
+        if since == stored:
+            self.kept[shard].pop(pair, None)
+        else:
+            self.kept[shard][pair] = (since, stored)
+            if sum(map(len, self.kept.values())) > self.most:
+                self._store(shard)
+
+    def _store(self, shard: int) -> None:
+        for pair, (since, _) in self.kept[shard].items():
+            self.bare.discard(shard)
+            if since is None:
+                self.since.removeKey(pair)
+            else:
+                self.since.updateValue(pair, (since,))
+        self.kept[shard] = {}
+
+    def _taken(self, shard: int, at: int):
+        """The events of a bucket, in the order of their time."""
+        due: dict[int, list[tuple]] = {}
+        for actor, target, us, _, login in sorted(self._take(self.waiting, at), key=lambda e: (e[2], e[3], e[4])):
+            since, stored = self._get(shard, (actor, target))
+            if since is not None and since + self.timeout_us <= us:
+                yield Row(actor_id=actor, target_id=target, us=since + self.timeout_us, change="expired")
+                since = None
+            if login and since is None:
+                since = us
+                due.setdefault(-(-(us + self.timeout_us) // 1000 // BUCKET_MS) * BUCKET_MS, []).append((actor, target, us))
+                yield Row(actor_id=actor, target_id=target, us=us, change="opened")
+            elif not login and since is not None:
+                since = None
+                yield Row(actor_id=actor, target_id=target, us=us, change="closed")
+            self._set(shard, (actor, target), since, stored)
+        self._put(self.due, due)
+
+    def _timed_out(self, shard: int, at: int):
+        """Sessions whose time-out lies in a bucket and that are still open; everything before it has been taken."""
+        for actor, target, us in self._take(self.due, at):
+            since, stored = self._get(shard, (actor, target))
+            if since == us:
+                self._set(shard, (actor, target), None, stored)
+                yield Row(actor_id=actor, target_id=target, us=us + self.timeout_us, change="expired")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if self.waiting.containsKey((at,)):
-            events = sorted(tuple(e) for e in self.waiting.getValue((at,))[0])
-            self.waiting.removeKey((at,))
-            for us, _, login in events:
-                yield from self._expired(key, us)
-                opened = self.since.exists()
-                if login and not opened:
-                    self.since.update((us,))
-                    self.handle.registerTimer(-(-(us + self.timeout_us) // 1000 // BUCKET_MS) * BUCKET_MS)
-                    yield Row(actor_id=key[0], target_id=key[1], us=us, change="opened")
-                elif not login and opened:
-                    self.since.clear()
-                    yield Row(actor_id=key[0], target_id=key[1], us=us, change="closed")
-        # nothing waits: the watermark is as far as is known; else the waiting buckets see to the session
-        yield from self._expired(key, 1000 * (at if self.waiting.exists() else max(at, timerValues.getCurrentWatermarkInMs())))
+        at, known, shard = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs(), key[0]
+        first = shard not in self.left
+        if first:
+            self.left[shard] = {until for (until,) in list(self.waiting.keys()) if until <= known}
+            self.kept[shard] = {}
+            if not self.since.exists():
+                self.bare.add(shard)
+        left = self.left[shard]
+        taken = at in left
+        if taken:
+            left.remove(at)
+            yield from self._taken(shard, at)
+        if left:
+            yield from self._timed_out(shard, at)
+        elif first or taken:
+            # nothing is left to take: the watermark is as far as is known, also for time-outs whose timers are new
+            for until in sorted(until for (until,) in list(self.due.keys()) if until <= known):
+                yield from self._timed_out(shard, until)
+            self._store(shard)
 
     def close(self) -> None:
         pass
 
 
-def open_sessions(events: DataFrame, delay: str = "1 hour", timeout_us: int = 30 * 86_400_000_000) -> DataFrame:
+def open_sessions(events: DataFrame, delay: str = "1 hour", timeout_us: int = 30 * 86_400_000_000, most: int = KEPT) -> DataFrame:
     """(actor_id, target_id, us, change): session changes of logins and logouts that may arrive up to ``delay`` late and out of order.
 
     A login while a session is open and a logout while none is are ignored. Needs the RocksDB state store. Later rows than the delay are dropped.
     """
-    keyed = events.select("actor_id", "target_id", "us", "id", "event_type", F.timestamp_micros("us").alias("at")).withWatermark("at", delay).groupBy("actor_id", "target_id")
-    return keyed.transformWithState(OpenSessions(timeout_us), "actor_id string, target_id string, us bigint, change string", "Append", "EventTime")
+    shard = F.pmod(F.xxhash64("actor_id", "target_id"), F.lit(SHARDS)).alias("shard")
+    keyed = events.select("actor_id", "target_id", "us", "id", "event_type", shard, F.timestamp_micros("us").alias("at")).withWatermark("at", delay).groupBy("shard")
+    return keyed.transformWithState(OpenSessions(timeout_us, most), "actor_id string, target_id string, us bigint, change string", "Append", "EventTime")
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
