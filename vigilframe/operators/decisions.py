@@ -274,6 +274,8 @@ def decide(requests: DataFrame, edges: DataFrame, hosts: DataFrame, rules: DataF
     Legs are only asked for where they can matter: the first leg for requests denied, the second for hosts whose first leg is open.
     """
     kind_of = lambda c: F.substring_index(c, ":", 1)
+    # written once: else every leg plans and evaluates them anew, and the driver holds all these plans
+    hosts, rules, policies, statements = cut(hosts.select("host", "ip")), cut(rules), cut(policies), cut(statements)
     edges = cut(edges.where(F.col("type").isin("OWNS", "LOGGED_INTO", "USES", "HAS_IDENTITY", "MEMBER_OF", "HAS_ROLE", "CONTAINS", "RUNS")).select("src", "type", "dst"))
     q = cut(requests.select("subject", "verb", "target", wanted_ports(F.col("verb")).alias("wanted")).distinct())
     is_principal = kind_of("subject").isin(PRINCIPALS)
@@ -329,7 +331,7 @@ def decide(requests: DataFrame, edges: DataFrame, hosts: DataFrame, rules: DataF
     ways = ranked.groupBy("subject", "verb", "target").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "p"))), lambda x: F.struct(x["p"]["pivot"].alias("pivot"), x["p"]["source"].alias("source"), x["p"]["rules1"].alias("rules1"), x["p"]["rules2"].alias("rules2"))).alias("pivots"))
 
     keys = ["subject", "verb", "target"]
-    out = q.join(net, keys, "left").join(ident, keys, "left").join(ways, keys, "left")
+    out = q.join(net, keys, "left").join(cut(ident), keys, "left").join(cut(ways), keys, "left")
     allowed = F.coalesce("net_ok", F.lit(True)) & F.coalesce(F.col("identity") == "allow", F.lit(True))
     decision = F.when(F.col("net_ok").isNull() & F.col("identity").isNull(), "not-evaluated").when(allowed, "allow").otherwise("deny")
     return out.withColumn("decision", decision).select(
